@@ -103,13 +103,16 @@ def _roots(pointers: DataFrame) -> DataFrame:
 def assign_canonical(notices: DataFrame) -> DataFrame:
     """(id, dup_of) for rows inserted in id order; ``dup_of`` is null for canonical rows.
 
-    Needs id, source, published_at and dedup_key.
+    Needs id, source, published_at and dedup_key. These narrow rows are checkpointed first, so titles are
+    read and normalised once however many jobs follow.
     """
+    ensure_checkpoint_dir(notices.sparkSession)
+    notices = notices.select("id", *CELL).checkpoint()
     cells = _cell_matches(notices)
     pointers = cells.filter(F.col("hit") < F.col("m")).select("m", F.col("hit").alias("parent"))
     roots = _roots(pointers).withColumnsRenamed({"m": "hit"})
     cell = cells.join(roots, "hit", "left").select(*CELL, "n", "hit", F.coalesce("root", "hit").alias("root"))
-    rows = hot_lookup_join(notices.select("id", *CELL), cell, CELL, "id", "n")
+    rows = hot_lookup_join(notices, cell, CELL, "id", "n")
     return rows.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import text
 
 TODAY_DOCS = date(2026, 9, 8)
-TODAY_ORDERS = date(1998, 6, 15)
+TODAY_ORDERS = date(2001, 6, 15)
 TODAY_EVENTS = date(2024, 1, 20)
 KST = "INTERVAL 9 HOURS"
 
@@ -215,7 +215,7 @@ def order_target(n_name: Column, r_name: Column, key: Column, cust: Column) -> C
         .when(pick == 6, F.concat(F.lit("학부생 ("), year, F.lit("학년 불가)")))
         .when(pick == 7, F.concat(F.lit("1, "), year, F.lit("학년 제외한 재학생")))
         .when(pick == 8, F.concat(F.lit("1~"), year, F.lit("학년 및 졸업 예정자")))
-        .when(pick == 9, F.concat(F.lit("9"), (cust % 10).cast("string"), F.lit("학번, 신입생")))
+        .when(pick == 9, F.concat(F.lit("0"), (cust % 3).cast("string"), F.lit("학번 재학생")))
         .when(pick == 10, F.concat(r_name, F.lit(" "), year, F.lit("학년")))
         .otherwise(F.lit("참가 희망자"))
     )
@@ -231,7 +231,7 @@ ORDER_TARGET = """CASE o_orderkey % 12
   WHEN 6 THEN '학부생 (' || (o_custkey % 4 + 1) || '학년 불가)'
   WHEN 7 THEN '1, ' || (o_custkey % 4 + 1) || '학년 제외한 재학생'
   WHEN 8 THEN '1~' || (o_custkey % 4 + 1) || '학년 및 졸업 예정자'
-  WHEN 9 THEN '9' || (o_custkey % 10) || '학번, 신입생'
+  WHEN 9 THEN '0' || (o_custkey % 3) || '학번 재학생'
   WHEN 10 THEN r_name || ' ' || (o_custkey % 4 + 1) || '학년'
   ELSE '참가 희망자' END"""
 
@@ -360,14 +360,14 @@ def profile_customers(spark: SparkSession, sf: str) -> DataFrame:
         F.col("r_name").alias("college"),
         F.col("n_name").alias("major"),
         (c % 4 + 1).cast("int").alias("year"),
-        (F.lit(1998) - c % 4).cast("int").alias("entrance_year"),
+        (F.lit(2001) - c % 4).cast("int").alias("entrance_year"),
         F.array_distinct(F.concat(F.array("c_mktsegment"), second)).alias("interests"),
     )
 
 
 PROFILES = """profiles AS (
   SELECT CAST(c_custkey AS VARCHAR) AS profile_id, r_name AS college, n_name AS major,
-         CAST(c_custkey % 4 + 1 AS INTEGER) AS year, CAST(1998 - c_custkey % 4 AS INTEGER) AS entrance_year,
+         CAST(c_custkey % 4 + 1 AS INTEGER) AS year, CAST(2001 - c_custkey % 4 AS INTEGER) AS entrance_year,
          CASE WHEN c_custkey % 3 = 0 AND c_mktsegment <> 'BUILDING' THEN [c_mktsegment, 'BUILDING'] ELSE [c_mktsegment] END AS interests
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 

@@ -29,7 +29,7 @@ ENTRIES = """entries AS (
          CAST(id AS VARCHAR) AS entry, title FROM evs
   UNION ALL
   SELECT substr(d, 1, 10), 1, 0, 'imported', d, first_seq, 0, uid, title
-  FROM (SELECT *, '1998-06' || substr(date, 8) AS d FROM kept_imports)),
+  FROM (SELECT *, '2001-06' || substr(date, 8) AS d FROM kept_imports)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY origin, kind_ord, date, t1, t2) AS pos,
                   count(*) OVER (PARTITION BY day) AS n FROM entries)"""
 WITH_ENTRIES = (*WITH_EVENTS, ad.IMPORTED, UPSERTED, ENTRIES)
@@ -41,7 +41,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     imports = cal.upsert_imported(ad.imported_events(spark, sf))
-    moved = imports.withColumn("date", F.concat(F.lit("1998-06"), F.expr("substring(date, 8)")))
+    moved = imports.withColumn("date", F.concat(F.lit("2001-06"), F.expr("substring(date, 8)")))
     return cal.union_days(events(spark, sf), moved)
 
 
@@ -69,7 +69,7 @@ def _(spark, sf):
 
 @query(
     "next_event",
-    ctes(*WITH_EVENTS) + "SELECT id, kind, date FROM evs WHERE day >= '1998-06-15' ORDER BY date, published_at DESC, id DESC, kind_ord LIMIT 1",
+    ctes(*WITH_EVENTS) + "SELECT id, kind, date FROM evs WHERE day >= '2001-06-15' ORDER BY date, published_at DESC, id DESC, kind_ord LIMIT 1",
 )
 def _(spark, sf):
     return cal.next_event(events(spark, sf), ad.TODAY_ORDERS).select("id", "kind", "date")
@@ -78,9 +78,9 @@ def _(spark, sf):
 @query(
     "landing_day",
     ctes(*WITH_EVENTS)
-    + """SELECT i.id, coalesce(min(e.day) FILTER (e.day >= '1998-06-15'), max(e.day), '-') AS landing_day,
-  coalesce('/calendar?month=' || substr(coalesce(min(e.day) FILTER (e.day >= '1998-06-15'), max(e.day)), 1, 7) || '&date='
-    || coalesce(min(e.day) FILTER (e.day >= '1998-06-15'), max(e.day)) || '&notice=' || i.id, '-') AS href
+    + """SELECT i.id, coalesce(min(e.day) FILTER (e.day >= '2001-06-15'), max(e.day), '-') AS landing_day,
+  coalesce('/calendar?month=' || substr(coalesce(min(e.day) FILTER (e.day >= '2001-06-15'), max(e.day)), 1, 7) || '&date='
+    || coalesce(min(e.day) FILTER (e.day >= '2001-06-15'), max(e.day)) || '&notice=' || i.id, '-') AS href
 FROM order_items i LEFT JOIN evs e USING (id) GROUP BY i.id""",
 )
 def _(spark, sf):
@@ -101,22 +101,22 @@ def _(spark, sf):
 @query(
     "month_agenda",
     ctes(*WITH_ENTRIES)
-    + """SELECT day, kind, entry, row_number() OVER (ORDER BY day, origin, kind_ord, date, t1, t2) - 1 AS pos FROM ranked WHERE substr(day, 1, 7) = '1998-06'""",
+    + """SELECT day, kind, entry, row_number() OVER (ORDER BY day, origin, kind_ord, date, t1, t2) - 1 AS pos FROM ranked WHERE substr(day, 1, 7) = '2001-06'""",
 )
 def _(spark, sf):
-    return cal.month_agenda(entries(spark, sf), 1998, 6).select("day", "kind", "entry", "pos")
+    return cal.month_agenda(entries(spark, sf), 2001, 6).select("day", "kind", "entry", "pos")
 
 
 @query(
     "month_grid",
     ctes(*WITH_ENTRIES, """cells AS (
-  SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '1998-05-31', DATE '1998-07-04', INTERVAL 1 DAY) t(d))""")
+  SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2001-05-27', DATE '2001-06-30', INTERVAL 1 DAY) t(d))""")
     + """SELECT strftime(c.d, '%Y-%m-%d') AS day, day(c.d) AS dom, month(c.d) = 6 AS in_month, count(e.day) AS n,
   count(e.day) FILTER (e.kind = 'deadline') AS n_deadlines
 FROM cells c LEFT JOIN entries e ON e.day = strftime(c.d, '%Y-%m-%d') GROUP BY c.d""",
 )
 def _(spark, sf):
-    return cal.month_grid(entries(spark, sf), 1998, 6)
+    return cal.month_grid(entries(spark, sf), 2001, 6)
 
 
 @query(
@@ -137,7 +137,7 @@ def _(spark, sf):
 @query(
     "sort_deadline",
     ctes(*ITEMS)
-    + """, r AS (SELECT id, published_at, CAST(substr(due, 1, 10) AS DATE) - DATE '1998-06-15' AS days FROM order_items)
+    + """, r AS (SELECT id, published_at, CAST(substr(due, 1, 10) AS DATE) - DATE '2001-06-15' AS days FROM order_items)
 SELECT id, CASE WHEN days IS NULL THEN 1 WHEN days >= 0 THEN 0 ELSE 2 END AS rank, coalesce(abs(days), 0) AS rank_days,
   row_number() OVER (ORDER BY CASE WHEN days IS NULL THEN 1 WHEN days >= 0 THEN 0 ELSE 2 END, coalesce(abs(days), 0), published_at DESC, id DESC) - 1 AS pos FROM r""",
 )
@@ -165,7 +165,7 @@ def _(spark, sf):
     return files.csv_rows(events(spark, sf))
 
 
-STAMP = "19980615T000000Z"
+STAMP = "20010615T000000Z"
 UID_DOMAIN = "notices.example.org"
 ICS_SQL = """ics AS (
   SELECT id, kind, date, 'notice-' || source_notice_id || '-' || kind || '@notices.example.org' AS uid,
@@ -184,7 +184,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "export_ics_blocks",
     ctes(*WITH_EVENTS, ICS_SQL)
-    + r"""SELECT id, kind, replace('BEGIN:VEVENT|UID:' || uid || '|DTSTAMP:19980615T000000Z|' || span || '|SUMMARY:' || subject
+    + r"""SELECT id, kind, replace('BEGIN:VEVENT|UID:' || uid || '|DTSTAMP:20010615T000000Z|' || span || '|SUMMARY:' || subject
   || '|DESCRIPTION:AI가 공지에서 추출한 날짜예요. 반드시 원문에서 확인하세요.\n원문: ' || source_url || '|URL:' || source_url || '|END:VEVENT', '|', chr(13) || chr(10)) AS block FROM ics""",
 )
 def _(spark, sf):
@@ -231,7 +231,7 @@ def _(spark, sf):
 @query(
     "fn_days",
     ctes(*ITEMS)
-    + """SELECT id, CAST(substr(due, 1, 10) AS DATE) - DATE '1998-06-15' AS days_left, abs(CAST(substr(due, 1, 10) AS DATE) - published_at) AS apart
+    + """SELECT id, CAST(substr(due, 1, 10) AS DATE) - DATE '2001-06-15' AS days_left, abs(CAST(substr(due, 1, 10) AS DATE) - published_at) AS apart
 FROM order_items WHERE due IS NOT NULL""",
 )
 def _(spark, sf):
@@ -245,7 +245,7 @@ def _(spark, sf):
 @query(
     "fn_dday",
     ctes(*WITH_EVENTS)
-    + """, d AS (SELECT id, kind, CAST(day AS DATE) - DATE '1998-06-15' AS n FROM evs)
+    + """, d AS (SELECT id, kind, CAST(day AS DATE) - DATE '2001-06-15' AS n FROM evs)
 SELECT id, kind, CASE WHEN n < 0 THEN '마감' WHEN n = 0 THEN 'D-DAY' ELSE 'D-' || n END AS label,
   CASE WHEN n < 0 THEN 'Closed' WHEN n = 0 THEN 'D-DAY' ELSE 'D-' || n END AS label_en,
   CASE WHEN n < 0 THEN 'closed' WHEN n <= 2 THEN 'urgent' WHEN n <= 7 THEN 'soon' ELSE 'open' END AS tone FROM d""",
@@ -314,7 +314,7 @@ def _(spark, sf):
 
 @query(
     "fn_entrance_year",
-    ctes(ad.PROFILES) + "SELECT profile_id, 1998 - year + 1 AS entrance_year FROM profiles",
+    ctes(ad.PROFILES) + "SELECT profile_id, 2001 - year + 1 AS entrance_year FROM profiles",
 )
 def _(spark, sf):
     rows = ad.profile_customers(spark, sf)

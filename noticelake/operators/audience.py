@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake import dims
+from noticelake.dims import SCORE
 from noticelake.functions.dates import days_until
-from noticelake.operators.match import FEATURES, completed_semesters, score_pairs
+from noticelake.operators.match import completed_semesters, score_pairs
 from noticelake.operators.skew import hot_lookup_join
 from noticelake.operators.views import FAR_PAST
+from noticelake.session import ensure_checkpoint_dir
 
 SEGMENT = ["p_college", "p_major", "p_year", "p_entrance", "p_interests"]
 TEXTS = "array<string>"
@@ -36,7 +38,8 @@ def with_segment(profiles: DataFrame) -> DataFrame:
 
 def segments(profiles: DataFrame) -> DataFrame:
     """Distinct attribute combinations with the number of profiles behind each."""
-    return with_segment(profiles).groupBy("segment", *SEGMENT).agg(F.count("*").alias("n_profiles"))
+    ensure_checkpoint_dir(profiles.sparkSession)
+    return with_segment(profiles).groupBy("segment", *SEGMENT).agg(F.count("*").alias("n_profiles")).checkpoint()
 
 
 def _prefixed(prefix: str, values: str) -> Column:
@@ -62,17 +65,6 @@ def _names_units() -> Column:
     return (F.size("t_majors") > 0) | (F.size("t_colleges") > 0)
 
 
-def _shared_keys() -> Column:
-    """Keys of a notice that names units: only those units. Otherwise: boards, title and interests."""
-    named = F.concat(_prefixed("m|", "t_majors"), _prefixed("c|", "t_colleges"))
-    open_ = F.concat(
-        _prefixed("m|", "b_majors"), _prefixed("c|", "b_colleges"), _prefixed("m|", "n_majors"), _prefixed("c|", "n_colleges"),
-        F.transform(F.map_keys("hits"), lambda i: F.concat(F.lit("i|"), i)),
-    )
-    none = F.array().cast(TEXTS)
-    return F.when(F.col("grad_only"), none).otherwise(F.array_distinct(F.when(_names_units(), named).otherwise(open_)))
-
-
 def _open_years(today: date) -> Column:
     """Years neither excluded nor short of a stated number of semesters."""
     years = F.array(*[F.lit(y) for y in (1, 2, 3, 4)])
@@ -102,23 +94,77 @@ def _year_keys(today: date, sure_score: bool) -> Column:
     return F.when(F.col("grad_only") | _names_units(), F.array().cast(TEXTS)).otherwise(keys)
 
 
+# Features that decide the score and its reasons, as stored in a signature.
+SIGNATURE = (
+    "t_majors array<string>, t_colleges array<string>, b_majors array<string>, b_colleges array<string>, "
+    "n_majors array<string>, n_colleges array<string>, years array<int>, cohorts array<int>, year_label string, "
+    "year_label_en string, excluded_years array<int>, semesters array<int>, grad_only boolean, broad boolean, "
+    "hits map<string,int>"
+)
+SIGNATURE_COLS = [part.split(" ")[0] for part in SIGNATURE.split(", ")]
+
+
 def with_signature(features: DataFrame) -> DataFrame:
-    return features.withColumn("sig", F.to_json(F.struct(*FEATURES)))
+    """Adds ``sig``. Where units are named, boards, title and the open-to-all rule can no longer matter."""
+    named, none = _names_units(), F.array().cast(TEXTS)
+    unused = {c: F.when(named, none).otherwise(F.col(c)).alias(c) for c in ("b_majors", "b_colleges", "n_majors", "n_colleges")}
+    unused["broad"] = (F.col("broad") & ~named).alias("broad")
+    return features.withColumn("sig", F.to_json(F.struct(*[unused.get(c, F.col(c)) for c in SIGNATURE_COLS])))
+
+
+def _signed(features: DataFrame, keep: list) -> tuple[DataFrame, DataFrame]:
+    """(id, sig, keep...) rows, computed once, and the distinct signatures with ``n`` notices each."""
+    ensure_checkpoint_dir(features.sparkSession)
+    rows = with_signature(features).select("id", "sig", *keep).checkpoint()
+    sigs = rows.groupBy("sig").agg(F.count("*").alias("n"))
+    return rows, sigs.withColumn("f", F.from_json("sig", SIGNATURE)).select("sig", "n", "f.*")
+
+
+def _points() -> Column:
+    """What a notice offers to whom: (key, role, points)."""
+    def offer(prefix: str, values: str, role: str, points: str) -> Column:
+        return F.transform(values, lambda v: F.struct(
+            F.concat(F.lit(prefix), v).alias("key"), F.lit(role).alias("role"), F.lit(SCORE[points]).alias("points")))
+
+    interests = F.transform(F.map_entries("hits"), lambda e: F.struct(
+        F.concat(F.lit("i|"), e["key"]).alias("key"), F.lit("interest").alias("role"), e["value"].alias("points")))
+    every = F.concat(
+        offer("m|", "t_majors", "unit", "major"), offer("c|", "t_colleges", "unit", "college"),
+        offer("m|", "b_majors", "board", "board_major"), offer("c|", "b_colleges", "board", "board_college"),
+        offer("m|", "n_majors", "title", "title_major"), offer("c|", "n_colleges", "title", "title_college"), interests,
+    )
+    return F.filter(every, lambda _: ~F.col("grad_only"))
+
 
+def _scores(sigs: DataFrame, segs: DataFrame, today: date) -> DataFrame:
+    """(sig, segment, score, allowed, sure) for the pairs that share a unit or an interest.
 
-def _signatures(features: DataFrame) -> DataFrame:
-    """One row per signature; all its notices have the same features."""
-    return features.groupBy("sig").agg(*[F.any_value(c).alias(c) for c in FEATURES if c != "hits"], F.count("*").alias("n"),
-                                       F.any_value(F.map_entries("hits")).alias("_hits")).withColumn(
-        "hits", F.map_from_entries("_hits")).drop("_hits")
+    The points of a pair are the best offer per role among the keys both sides have.
+    """
+    offers = sigs.select("sig", F.inline(_points()))
+    wants = segs.select("segment", F.explode(_segment_keys()).alias("key"))
+
+    def best(role: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("role") == role, F.col("points"))), F.lit(0)).alias(role)
 
+    shared = offers.join(wants, "key").groupBy("sig", "segment").agg(*[best(r) for r in ("unit", "board", "title", "interest")])
+    facts = sigs.select(
+        "sig", _names_units().alias("named"), "years", "cohorts", _open_years(today).alias("open_years"), "broad"
+    )
+    pairs = shared.join(facts, "sig").join(segs.select("segment", "p_year", "p_entrance", "n_profiles"), "segment")
+    unit, board = F.col("unit"), F.col("board")
+    passed = F.array_contains("cohorts", F.col("p_entrance")) | F.array_contains("years", F.col("p_year"))
+    allowed = (
+        F.array_contains("open_years", F.col("p_year")) & (passed | (F.size("years") == 0)) & ((unit > 0) | ~F.col("named"))
+    )
+    sure = F.when(passed, SCORE["year"]).when((unit == 0) & F.col("broad"), SCORE["all_undergrad"]).otherwise(0)
+    place = F.when(unit > 0, unit).when(board > 0, board).otherwise(F.col("title"))
+    score = F.least(place + sure + F.col("interest"), F.lit(dims.MAX_SCORE))
+    return pairs.select("sig", "segment", "n_profiles", allowed.alias("allowed"), (sure > 0).alias("sure"), F.when(allowed, score).otherwise(0).alias("score"))
 
-def _scored(sigs: DataFrame, segs: DataFrame, today: date, labels: dict | None) -> DataFrame:
-    """Scores of the (signature, segment) pairs that share a unit or an interest."""
-    left = sigs.withColumn("key", F.explode(_shared_keys()))
-    right = segs.withColumn("key", F.explode(_segment_keys()))
-    shared = left.select("sig", "key").join(right.select("segment", "key"), "key").select("sig", "segment").distinct()
-    return score_pairs(shared.join(sigs, "sig").join(segs, "segment"), today, labels)
+
+def _level(score: Column) -> Column:
+    return F.when(score >= dims.LEVEL_HIGH, "high").when(score >= dims.LEVEL_MEDIUM, "medium").otherwise("low")
 
 
 def _best_first() -> list[Column]:
@@ -144,38 +190,40 @@ def _to_profiles(profiles: DataFrame, per_segment: DataFrame, columns: list[str]
     return hot_lookup_join(rows, lookup, ["segment"], "profile_id", "n").select("profile_id", F.inline("rows"))
 
 
-def for_you(features: DataFrame, profiles: DataFrame, today: date, labels: dict | None = None, k: int = dims.FOR_YOU_LIMIT) -> DataFrame:
+def for_you(features: DataFrame, profiles: DataFrame, today: date, k: int = dims.FOR_YOU_LIMIT) -> DataFrame:
     """The best k open notices per profile (level medium or high): profile_id, rank, id, score, level.
 
     ``features``: match.notice_features with id, due and published_at. ``profiles``: match.with_profile.
     """
     segs = segments(profiles)
-    open_ = with_signature(features.filter(F.col("due").isNull() | (days_until(F.col("due"), today) >= 0)))
-    rows = open_.select("id", "sig", *_best_first())
+    open_ = features.filter(F.col("due").isNull() | (days_until(F.col("due"), today) >= 0))
+    rows, sigs = _signed(open_, _best_first())
     best = _top(rows, ["sig"], ORDER, k)
-    sigs = _signatures(open_).join(best.groupBy("sig").agg(F.min(F.struct(*ORDER)).alias("head")), "sig")
+    heads = best.groupBy("sig").agg(F.min(F.struct(*ORDER)).alias("head"))
 
-    strong = _scored(sigs, segs, today, labels).filter(F.col("score") >= dims.LEVEL_MEDIUM)
-    strong = _top(strong.select("segment", "sig", "score", "level", "head"), ["segment"], [F.desc("score"), "head"], k)
-    strong = strong.join(best, "sig").select("segment", "id", "score", "level", *ORDER)
+    strong = _scores(sigs, segs, today).filter(F.col("score") >= dims.LEVEL_MEDIUM).join(heads, "sig")
+    strong = _top(strong.select("segment", "sig", "score", "head"), ["segment"], [F.desc("score"), "head"], k)
+    strong = strong.join(best, "sig").select("segment", "id", "score", *ORDER)
 
-    keyed = open_.select("sig", F.explode(_year_keys(today, True)).alias("key")).distinct().join(best, "sig")
+    keyed = sigs.select("sig", F.explode(_year_keys(today, True)).alias("key")).join(best, "sig")
     weak = _top(keyed.select("key", "id", *ORDER), ["key"], ORDER, k)
     seg_keys = segs.select("segment", F.explode(_segment_year_keys()).alias("key"))
     weak = weak.join(seg_keys, "key").select(
-        "segment", "id", F.lit(dims.LEVEL_MEDIUM).alias("score"), F.lit("medium").alias("level"), *ORDER
+        "segment", "id", F.lit(SCORE["year"]).alias("score"), *ORDER
     )
     # a notice found both ways keeps its full score
     both = strong.unionByName(weak).groupBy("segment", "id").agg(
-        F.max(F.struct("score", "level")).alias("s"), *[F.min(o).alias(o) for o in ORDER]
+        F.max("score").alias("score"), *[F.min(o).alias(o) for o in ORDER]
     )
-    ranked = both.select("segment", "id", "s.score", "s.level", *ORDER)
+    ranked = both.withColumn("level", _level(F.col("score")))
     w = Window.partitionBy("segment").orderBy(F.desc("score"), *ORDER)
     ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return _to_profiles(profiles, ranked, ["rank", "id", "score", "level"])
 
 
+# Features that decide whether a notice excludes a profile.
 ACCESS = ["t_majors", "t_colleges", "years", "cohorts", "excluded_years", "semesters", "grad_only"]
+ACCESS_SCHEMA = ", ".join(part for part in SIGNATURE.split(", ") if part.split(" ")[0] in ACCESS)
 
 
 def upcoming(events: DataFrame, profiles: DataFrame, today: date, days: int = dims.UPCOMING_DAYS, k: int = dims.UPCOMING_LIMIT) -> DataFrame:
@@ -186,10 +234,11 @@ def upcoming(events: DataFrame, profiles: DataFrame, today: date, days: int = di
     segs = segments(profiles)
     left = days_until(F.col("date"), today)
     near = events.filter(left.between(0, days)).withColumn("sig", F.to_json(F.struct(*ACCESS)))
+    near = near.select("id", "kind", "kind_ord", "date", "published_at", "sig").checkpoint()
     published = F.coalesce(-F.unix_date("published_at"), F.lit(FAR_PAST))
     order = [F.col("date").alias("o1"), published.alias("o2"), (-F.col("id")).alias("o3"), F.col("kind_ord").alias("o4")]
     best = _top(near.select("id", "kind", "sig", *order), ["sig"], ORDER, k)
-    sigs = near.groupBy("sig").agg(*[F.any_value(c).alias(c) for c in ACCESS])
+    sigs = near.select("sig").distinct().withColumn("f", F.from_json("sig", ACCESS_SCHEMA)).select("sig", "f.*")
 
     unit_keys = F.concat(_prefixed("m|", "t_majors"), _prefixed("c|", "t_colleges"))
     named = sigs.filter(_names_units() & ~F.col("grad_only"))
@@ -213,7 +262,7 @@ def upcoming(events: DataFrame, profiles: DataFrame, today: date, days: int = di
     return _to_profiles(profiles, ranked, ["rank", "id", "kind", "date"])
 
 
-def level_counts(features: DataFrame, profiles: DataFrame, today: date, labels: dict | None = None) -> DataFrame:
+def level_counts(features: DataFrame, profiles: DataFrame, today: date) -> DataFrame:
     """Per notice: for how many profiles it is high, medium, low and none.
 
     Every (profile, notice) pair is counted once, none is materialised. Pairs sharing a unit or an
@@ -221,19 +270,16 @@ def level_counts(features: DataFrame, profiles: DataFrame, today: date, labels:
     populations are sums over profiles (at most one row per year and entrance year).
     """
     segs = segments(profiles)
-    rows = with_signature(features)
-    sigs = _signatures(rows)
-    scored = _scored(sigs, segs, today, labels)
+    rows, sigs = _signed(features, [])
+    scored = _scores(sigs, segs, today)
 
     def heads(cond: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n_profiles"))), F.lit(0)).alias(name)
 
-    sure = (F.col("s_year") > 0) | (F.col("s_broad") > 0)
+    level, allowed, sure = _level(F.col("score")), F.col("allowed"), F.col("sure")
     per_sig = scored.groupBy("sig").agg(
-        heads(F.col("level") == "high", "high"),
-        heads(F.col("level") == "medium", "medium"),
-        heads(F.col("level") != "none", "allowed_shared"),
-        heads((F.col("level") != "none") & sure, "sure_shared"),
+        heads(allowed & (level == "high"), "high"), heads(allowed & (level == "medium"), "medium"),
+        heads(allowed, "allowed_shared"), heads(allowed & sure, "sure_shared"),
     )
     population = (
         segs.select("n_profiles", F.explode(_segment_year_keys()).alias("key")).groupBy("key").agg(F.sum("n_profiles").alias("p"))
@@ -261,11 +307,12 @@ def high_matches(features: DataFrame, profiles: DataFrame, today: date, labels:
 
     Segments stand for their profiles; ``with_segment`` maps profiles to them for delivery.
     """
-    rows = with_signature(features)
-    sigs = _signatures(rows)
-    high = _scored(sigs, segments(profiles), today, labels).filter(F.col("level") == "high")
-    high = high.select("sig", "segment", "score", "reasons", "reasons_en", "n_profiles")
-    return rows.select("id", "sig").join(high, "sig").drop("sig")
+    rows, sigs = _signed(features, [])
+    segs = segments(profiles)
+    high = _scores(sigs, segs, today).filter(F.col("score") >= dims.LEVEL_HIGH).select("sig", "segment")
+    told = score_pairs(high.join(sigs.drop("n"), "sig").join(segs, "segment"), today, labels)
+    told = told.select("sig", "segment", "score", "reasons", "reasons_en", "n_profiles")
+    return rows.join(told, "sig").drop("sig")
 
 
 def notification_feed(features: DataFrame, profiles: DataFrame, today: date, labels: dict | None = None, days: int = dims.NOTIFICATION_DAYS) -> DataFrame:

@@ -68,7 +68,7 @@ FEAT = rf"""unit_text AS (
   JOIN nation n ON n.n_name = regexp_extract(i.title, 'NATION_[0-9]+') JOIN region r ON r.r_regionkey = n.n_regionkey),
 feat AS (
   SELECT *, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(tg, 'NATION_[0-9]+')), lambda x: (99 - length(x)) || x)), lambda x: x[3:]) AS t_majors,
-    list_distinct(regexp_extract_all(tg, 'REGION_[0-9]+')) AS t_colleges,
+    list_distinct(regexp_extract_all(tg, 'AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST')) AS t_colleges,
     list_concat(flatten(list_transform(plus, lambda y: range(CAST(y AS INTEGER), 5))), list_concat(
       flatten(list_transform(range(1, len(lo) + 1), lambda k: range(CAST(lo[k] AS INTEGER), CAST(hi[k] AS INTEGER) + 1))), list_concat(
       list_transform(single, lambda y: CAST(y AS BIGINT)), list_concat(CASE WHEN contains(tg, '신입생') THEN [CAST(1 AS BIGINT)] ELSE [] END, list_concat(
@@ -234,7 +234,7 @@ _rule("first_exclusion", "coalesce(excluded, '-') AS excluded", {"excluded": "co
 )
 def _(spark, sf):
     """Every profile with every notice, as counts per notice and level."""
-    return audience.level_counts(features(spark, sf), profiles(spark, sf), ad.TODAY_ORDERS, LABELS)
+    return audience.level_counts(features(spark, sf), profiles(spark, sf), ad.TODAY_ORDERS)
 
 
 @query(
@@ -245,7 +245,7 @@ def _(spark, sf):
     + f"SELECT p.profile_id, s.rank, s.id, s.score, s.level FROM top s {PROFILE_OF_SEGMENT} WHERE s.rank <= 6",
 )
 def _(spark, sf):
-    return audience.for_you(features(spark, sf), profiles(spark, sf), ad.TODAY_ORDERS, LABELS)
+    return audience.for_you(features(spark, sf), profiles(spark, sf), ad.TODAY_ORDERS)
 
 
 @query(

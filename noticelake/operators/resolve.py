@@ -116,6 +116,39 @@ def assign_canonical(notices: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
 
 
+STATE = [*CELL, "m", "root"]
+
+
+def extend_canonical(arrived: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Assignment for newly arrived rows against the cells of all earlier ones, and the new cells.
+
+    Ids grow with arrival. ``state`` holds one row per (key, board, day): the lowest id and its root.
+    """
+    ensure_checkpoint_dir(arrived.sparkSession)
+    arrived = arrived.select("id", *CELL).checkpoint()
+    if state is None:
+        known = arrived.limit(0).select(*CELL, F.col("id").alias("m"), F.col("id").alias("root"))
+    else:
+        known = state.select(*STATE)
+    touched = known.join(arrived.select("dedup_key").distinct(), "dedup_key", "left_semi")
+    rows = arrived.unionByName(touched.select(F.col("m").alias("id"), *CELL))
+    cells = _cell_matches(rows)
+    placed = touched.select("m", F.col("root").alias("known_root"))
+    pointers = (
+        cells.join(placed, "m", "left")
+        .select("m", F.coalesce("known_root", F.when(F.col("hit") < F.col("m"), F.col("hit"))).alias("parent"))
+        .filter(F.col("parent") < F.col("m"))
+    )
+    roots = _roots(pointers)
+    cell = cells.join(roots.withColumnRenamed("m", "hit"), "hit", "left").select(*CELL, "n", "m", "hit", F.coalesce("root", "hit").alias("root"))
+    cell = cell.checkpoint()
+    out = hot_lookup_join(arrived, cell.drop("m"), CELL, "id", "n")
+    out = out.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
+    own = cell.select(*CELL, "m").join(roots, "m", "left").select(*CELL, "m", F.coalesce("root", "m").alias("root"))
+    untouched = known.join(arrived.select("dedup_key").distinct(), "dedup_key", "left_anti")
+    return out, untouched.select(*STATE).unionByName(own.select(*STATE))
+
+
 def with_groups(notices: DataFrame) -> DataFrame:
     """Notices plus ``dup_of`` and ``group_id`` (the canonical row's id)."""
     return notices.join(assign_canonical(notices), "id").withColumn("group_id", F.coalesce("dup_of", "id"))

@@ -1 +1,77 @@
+"""Streaming jobs over the landed tables, run until everything available is processed."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticelake.functions import text
+from noticelake.plans import adapters as ad
+from noticelake.plans import store_queries as store
+from noticelake.plans.adapters import ctes
+from noticelake.plans.registry import query
+from noticelake.session import scratch_dir
+from noticelake.streaming import jobs
+
+
+def landed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a file stream."""
+    schema = ad.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _crawl(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"),
+        (F.col("event_id") % 200).cast("string").alias("source_notice_id"),
+        F.col("event_type").alias("title"), F.sha2(F.col("props"), 256).alias("content_hash"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("ts").cast("timestamp").alias("crawled_at"), F.col("event_id").alias("pos"),
+    )
+
+
+@query(
+    "stream_upsert",
+    ctes("""crawl AS (
+  SELECT 'src' || (user_id % 20) AS source, CAST(event_id % 200 AS VARCHAR) AS source_notice_id, event_type AS title, sha256(props) AS content_hash, ts, event_id AS pos FROM events),
+newest AS (SELECT *, row_number() OVER (PARTITION BY source, source_notice_id ORDER BY ts DESC, pos DESC) AS rn FROM crawl)""")
+    + "SELECT source, source_notice_id, title, content_hash, row_number() OVER (ORDER BY pos) - 1 AS id FROM newest WHERE rn = 1",
+)
+def _(spark, sf):
+    path = scratch_dir(spark, "upsert")
+    jobs.stream_upsert(_crawl(landed(spark, sf, "events")).drop("ts"), path, ["pos"]).awaitTermination()
+    state = jobs.current_state(spark.read.parquet(f"{path}/log"))
+    return state.select("source", "source_notice_id", "title", "content_hash", "id")
+
+
+@query(
+    "stream_dedup",
+    """SELECT DISTINCT 'src' || (user_id % 20) AS source, CAST(event_id % 200 AS VARCHAR) AS source_notice_id FROM events""",
+)
+def _(spark, sf):
+    """One landed file is one micro-batch, and a post is listed once per batch."""
+    path = scratch_dir(spark, "relisted")
+    jobs.stream_relisted(_crawl(landed(spark, sf, "events")), path).awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("source", "source_notice_id")
+
+
+@query(
+    "stream_freshness",
+    "SELECT 'src' || (user_id % 20) AS source, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS checked_at FROM events GROUP BY 1",
+)
+def _(spark, sf):
+    path = scratch_dir(spark, "freshness")
+    jobs.stream_freshness(_crawl(landed(spark, sf, "events")), path).awaitTermination()
+    return jobs.read_freshness(spark, path).withColumn("checked_at", F.date_format("checked_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_canonical", ctes(*store.GROUPED) + "SELECT id, group_id FROM grouped")
+def _(spark, sf):
+    path = scratch_dir(spark, "canonical")
+    docs = landed(spark, sf, "documents")
+    notices = docs.select(
+        F.col("doc_id").alias("id"), "source",
+        F.expr("date_add(DATE '2026-09-01', cast(doc_id % 7 as int))").alias("published_at"),
+        text.dedup_key(text.first_line(F.col("text"))).alias("dedup_key"),
+    )
+    jobs.stream_canonical(notices, path).awaitTermination()
+    return spark.read.parquet(f"{path}/groups").select("id", F.coalesce("dup_of", "id").alias("group_id"))

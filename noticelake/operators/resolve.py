@@ -166,7 +166,7 @@ def orphan_groups(notices: DataFrame) -> DataFrame:
     return rows.select("*", orphan.alias("is_orphan"), group.alias("group_id")).drop("has_parent")
 
 
-def reassign_changed(store: DataFrame, changed: DataFrame) -> DataFrame:
+def reassign_changed(store: DataFrame, changed: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """Re-assignment after title edits: (id, old_dup_of, new_dup_of) for the changed rows.
 
     ``store``: id, source, published_at, dedup_key and dup_of before the edits. ``changed``: id and
@@ -194,7 +194,7 @@ def reassign_changed(store: DataFrame, changed: DataFrame) -> DataFrame:
         rows = new_rows.join(table.withColumnRenamed("day", "published_at"), ["dedup_key", "published_at"], "left")
         return rows.select("id", hit.alias(name))
 
-    hits = best(static_best, "static_hit").join(best(fresh_best, "early_hit"), "id").join(_next_old(fresh), "id", "left")
+    hits = best(static_best, "static_hit").join(best(fresh_best, "early_hit"), "id").join(_next_old(fresh, bucket), "id", "left")
     early = F.when(F.col("early_hit") < F.col("id"), F.col("early_hit"))
     plan = fresh.join(hits.select("id", F.least("static_hit", early, "late_hit").alias("hit"), early.alias("early")), "id")
     # where an already edited row is the hit, its new place is followed; otherwise the stored one
@@ -244,7 +244,7 @@ def _next_of_other_board(rows: DataFrame, part: list[str]) -> DataFrame:
     return near.withColumn("next", F.when(F.col("n1.source") != F.col("source"), F.col("n1.m")).otherwise(F.col("n2")))
 
 
-def _next_old(fresh: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+def _next_old(fresh: DataFrame, bucket: int) -> DataFrame:
     """Per changed row: the lowest later changed row whose *old* key matches the row's new key.
 
     "Lowest later id" is a successor search. Ids are cut into buckets: the row's own bucket is searched

@@ -156,7 +156,7 @@ def _last_field(block: Column, name: str) -> Column:
 
 def ics_unescape(value: Column) -> Column:
     text = F.regexp_replace(value, r"\\[nN]", "\n")
-    text = F.replace(F.replace(text, F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit("\;"))
+    text = F.replace(F.replace(text, F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";"))
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 

@@ -8,8 +8,9 @@ signatures. Segments meet signatures through equi-joins on what they have in com
 * ``i|interest``: an interest the notice scores for;
 * ``y|year`` and ``y|year|cohort``: years the notice is open to.
 
-Two points make this exact. A score of 50 needs a shared unit or interest. A pair that shares
-only a year key scores exactly 25, so for a top-k the best k notices of each year key are enough.
+A score of 50 needs a shared unit or interest, so those joins find every high match. Pairs that share
+nothing but a year are never listed: they are counted through their keys, and a top-k needs only the
+best k notices of each key.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from noticelake import dims
 from noticelake.dims import SCORE
 from noticelake.functions.dates import days_until
 from noticelake.operators.match import completed_semesters, score_pairs
-from noticelake.operators.skew import hot_lookup_join
+from noticelake.operators.skew import hot_lookup_join, with_global_index
 from noticelake.operators.views import FAR_PAST
 from noticelake.session import ensure_checkpoint_dir
 
@@ -37,9 +38,17 @@ def with_segment(profiles: DataFrame) -> DataFrame:
 
 
 def segments(profiles: DataFrame) -> DataFrame:
-    """Distinct attribute combinations with the number of profiles behind each."""
-    ensure_checkpoint_dir(profiles.sparkSession)
-    return with_segment(profiles).groupBy("segment", *SEGMENT).agg(F.count("*").alias("n_profiles")).checkpoint()
+    """Distinct attribute combinations: number ``seg``, name ``segment`` and how many profiles are in it."""
+    found = with_segment(profiles).groupBy("segment", *SEGMENT).agg(F.count("*").alias("n_profiles"))
+    return with_global_index(found, [F.col("segment").asc()], "seg")
+
+
+MAX_BROADCAST_SEGMENTS = 100_000
+
+
+def _small(per_segment: DataFrame, segs: DataFrame) -> DataFrame:
+    """Broadcast rows of the segments only after counting the segments; otherwise a shuffle join."""
+    return F.broadcast(per_segment) if segs.count() <= MAX_BROADCAST_SEGMENTS else per_segment
 
 
 def _prefixed(prefix: str, values: str) -> Column:
@@ -113,11 +122,15 @@ def with_signature(features: DataFrame) -> DataFrame:
 
 
 def _signed(features: DataFrame, keep: list) -> tuple[DataFrame, DataFrame]:
-    """(id, sig, keep...) rows, computed once, and the distinct signatures with ``n`` notices each."""
+    """(id, sig, keep...) rows, computed once, and the distinct signatures with ``n`` notices each.
+
+    Signatures are numbered, so only a long travels with the rows and pairs that follow.
+    """
     ensure_checkpoint_dir(features.sparkSession)
-    rows = with_signature(features).select("id", "sig", *keep).checkpoint()
-    sigs = rows.groupBy("sig").agg(F.count("*").alias("n"))
-    return rows, sigs.withColumn("f", F.from_json("sig", SIGNATURE)).select("sig", "n", "f.*")
+    rows = with_signature(features).select("id", F.col("sig").alias("text"), *keep).checkpoint()
+    numbered = with_global_index(rows.groupBy("text").agg(F.count("*").alias("n")), [F.col("text").asc()], "sig")
+    rows = hot_lookup_join(rows, numbered, ["text"], "id", "n").drop("text").checkpoint()
+    return rows, numbered.withColumn("f", F.from_json("text", SIGNATURE)).select("sig", "n", "f.*")
 
 
 def _points() -> Column:
@@ -137,30 +150,36 @@ def _points() -> Column:
 
 
 def _scores(sigs: DataFrame, segs: DataFrame, today: date) -> DataFrame:
-    """(sig, segment, score, allowed, sure) for the pairs that share a unit or an interest.
+    """(sig, seg, score, allowed, sure) for the pairs that share a unit or an interest.
 
     The points of a pair are the best offer per role among the keys both sides have.
     """
-    offers = sigs.select("sig", F.inline(_points()))
-    wants = segs.select("segment", F.explode(_segment_keys()).alias("key"))
+    facts = ["named", "years", "cohorts", "open_years", "broad"]
+    ready = sigs.withColumns({"named": _names_units(), "open_years": _open_years(today)}).repartition("sig")
+    offers = ready.select("sig", *facts, F.inline(_points()))
+    wants = segs.select("seg", "p_year", "p_entrance", "n_profiles", F.explode(_segment_keys()).alias("key"))
+    wanted = ["seg", "p_year", "p_entrance", "n_profiles"]
 
     def best(role: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("role") == role, F.col("points"))), F.lit(0)).alias(role)
 
-    shared = offers.join(wants, "key").groupBy("sig", "segment").agg(*[best(r) for r in ("unit", "board", "title", "interest")])
-    facts = sigs.select(
-        "sig", _names_units().alias("named"), "years", "cohorts", _open_years(today).alias("open_years"), "broad"
+    # with the segments broadcast, offers stay where they are and the sums need no further shuffle
+    met = offers.join(_small(wants, segs), "key")
+    passed_here = F.array_contains("cohorts", F.col("p_entrance")) | F.array_contains("years", F.col("p_year"))
+    met = met.select(
+        "sig", *wanted, "role", "points", "named", "broad", passed_here.alias("passed"),
+        (F.array_contains("open_years", F.col("p_year")) & (passed_here | (F.size("years") == 0))).alias("open"),
     )
-    pairs = shared.join(facts, "sig").join(segs.select("segment", "p_year", "p_entrance", "n_profiles"), "segment")
-    unit, board = F.col("unit"), F.col("board")
-    passed = F.array_contains("cohorts", F.col("p_entrance")) | F.array_contains("years", F.col("p_year"))
-    allowed = (
-        F.array_contains("open_years", F.col("p_year")) & (passed | (F.size("years") == 0)) & ((unit > 0) | ~F.col("named"))
+    pairs = met.groupBy("sig", "seg").agg(
+        *[best(r) for r in ("unit", "board", "title", "interest")],
+        *[F.first(c).alias(c) for c in ("n_profiles", "named", "broad", "passed", "open")],
     )
-    sure = F.when(passed, SCORE["year"]).when((unit == 0) & F.col("broad"), SCORE["all_undergrad"]).otherwise(0)
+    unit, board = F.col("unit"), F.col("board")
+    allowed = F.col("open") & ((unit > 0) | ~F.col("named"))
+    sure = F.when(F.col("passed"), SCORE["year"]).when((unit == 0) & F.col("broad"), SCORE["all_undergrad"]).otherwise(0)
     place = F.when(unit > 0, unit).when(board > 0, board).otherwise(F.col("title"))
     score = F.least(place + sure + F.col("interest"), F.lit(dims.MAX_SCORE))
-    return pairs.select("sig", "segment", "n_profiles", allowed.alias("allowed"), (sure > 0).alias("sure"), F.when(allowed, score).otherwise(0).alias("score"))
+    return pairs.select("sig", "seg", "n_profiles", allowed.alias("allowed"), (sure > 0).alias("sure"), F.when(allowed, score).otherwise(0).alias("score"))
 
 
 def _level(score: Column) -> Column:
@@ -181,44 +200,106 @@ def _top(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def _to_profiles(profiles: DataFrame, per_segment: DataFrame, columns: list[str]) -> DataFrame:
+def _to_profiles(profiles: DataFrame, segs: DataFrame, per_segment: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of each segment (at most k) for every profile in it."""
-    packed = per_segment.groupBy("segment").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    sizes = with_segment(profiles).groupBy("segment").agg(F.count("*").alias("n"))
-    lookup = sizes.join(packed, "segment")
+    packed = per_segment.groupBy("seg").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    lookup = segs.select("seg", "segment", F.col("n_profiles").alias("n")).join(packed, "seg").drop("seg")
     rows = with_segment(profiles).select("profile_id", "segment")
     return hot_lookup_join(rows, lookup, ["segment"], "profile_id", "n").select("profile_id", F.inline("rows"))
 
 
+def _cell(college: str, major: str) -> Column:
+    return F.concat_ws("|", college, major)
+
+
+ANY = "*"
+
+
+def _place_table(sigs: DataFrame, segs: DataFrame) -> DataFrame:
+    """(p, cell, place): points from units, boards and titles per unit feature set and (college, major).
+
+    Feature sets that name no units also get a row for any cell, with no points.
+    """
+    cells = segs.select("p_college", "p_major").distinct().select(
+        _cell("p_college", "p_major").alias("cell"),
+        F.explode(F.array(F.concat(F.lit("m|"), "p_major"), F.concat(F.lit("c|"), "p_college"))).alias("key"),
+    )
+    sets = sigs.groupBy("p").agg(*[F.any_value(c).alias(c) for c in PLACE], F.any_value(_names_units()).alias("named"))
+    offers = sets.withColumns({"hits": F.create_map().cast("map<string,int>"), "grad_only": F.lit(False)}).select("p", F.inline(_points()))
+
+    def best(role: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("role") == role, F.col("points"))), F.lit(0)).alias(role)
+
+    met = offers.join(cells, "key").groupBy("p", "cell").agg(*[best(r) for r in ("unit", "board", "title")])
+    place = F.when(F.col("unit") > 0, F.col("unit")).when(F.col("board") > 0, F.col("board")).otherwise(F.col("title"))
+    anyone = sets.filter(~F.col("named")).select("p", F.lit(ANY).alias("cell"), F.lit(0).alias("place"))
+    named = sets.select("p", "named")
+    exact = met.join(named, "p").filter(~F.col("named") | (F.col("unit") > 0)).select("p", "cell", place.alias("place"))
+    return exact.unionByName(anyone)
+
+
+def _year_table(sigs: DataFrame, segs: DataFrame, today: date) -> DataFrame:
+    """(y, ycell, sure): the years and cohorts a year feature set admits, and the points for it."""
+    sets = sigs.groupBy("y").agg(*[F.any_value(c).alias(c) for c in YEAR]).filter(~F.col("grad_only"))
+    none = F.array().cast(TEXTS)
+    keys = sets.withColumns({"t_majors": none, "t_colleges": none}).select("*", F.explode(_year_keys(today, False)).alias("key"))
+    cells = segs.select("p_year", "p_entrance").distinct().select("p_year", "p_entrance", F.explode(_segment_year_keys()).alias("key"))
+    passed = F.array_contains("cohorts", F.col("p_entrance")) | F.array_contains("years", F.col("p_year"))
+    sure = F.when(passed, SCORE["year"]).when(F.col("broad"), SCORE["all_undergrad"]).otherwise(0)
+    met = keys.join(cells, "key").select("y", F.concat_ws("|", "p_year", "p_entrance").alias("ycell"), sure.alias("sure"))
+    return met.distinct()
+
+
+def _interest_table(sigs: DataFrame, segs: DataFrame) -> DataFrame:
+    """(i, wants, interest): points per interest feature set and interest list, plus any list with none."""
+    sets = sigs.groupBy("i").agg(F.any_value(F.map_entries("hits")).alias("entries"))
+    lists = segs.select("p_interests").distinct().select(
+        F.array_join("p_interests", ",").alias("wants"), F.explode("p_interests").alias("key"))
+    offers = sets.select("i", F.inline("entries"))
+    met = offers.join(lists, "key").groupBy("i", "wants").agg(F.max("value").alias("interest"))
+    return met.unionByName(sets.select("i", F.lit(ANY).alias("wants"), F.lit(0).alias("interest")))
+
+
+PLACE = ["t_majors", "t_colleges", "b_majors", "b_colleges", "n_majors", "n_colleges"]
+YEAR = ["years", "cohorts", "excluded_years", "semesters", "grad_only", "broad"]
+
+
 def for_you(features: DataFrame, profiles: DataFrame, today: date, k: int = dims.FOR_YOU_LIMIT) -> DataFrame:
     """The best k open notices per profile (level medium or high): profile_id, rank, id, score, level.
 
     ``features``: match.notice_features with id, due and published_at. ``profiles``: match.with_profile.
+
+    The score is place + year + interest, and each part depends on its own piece of the profile. So only
+    the best k notices are kept per combination, one part after the other: by unit cell and place points,
+    then by year cell, then by interest list. "Any" stands for no shared unit or no shared interest; it
+    never overstates a score, so whatever it displaces is behind k better notices, and the larger of two
+    scores found for a notice is the true one.
     """
     segs = segments(profiles)
     open_ = features.filter(F.col("due").isNull() | (days_until(F.col("due"), today) >= 0))
     rows, sigs = _signed(open_, _best_first())
-    best = _top(rows, ["sig"], ORDER, k)
-    heads = best.groupBy("sig").agg(F.min(F.struct(*ORDER)).alias("head"))
-
-    strong = _scores(sigs, segs, today).filter(F.col("score") >= dims.LEVEL_MEDIUM).join(heads, "sig")
-    strong = _top(strong.select("segment", "sig", "score", "head"), ["segment"], [F.desc("score"), "head"], k)
-    strong = strong.join(best, "sig").select("segment", "id", "score", *ORDER)
-
-    keyed = sigs.select("sig", F.explode(_year_keys(today, True)).alias("key")).join(best, "sig")
-    weak = _top(keyed.select("key", "id", *ORDER), ["key"], ORDER, k)
-    seg_keys = segs.select("segment", F.explode(_segment_year_keys()).alias("key"))
-    weak = weak.join(seg_keys, "key").select(
-        "segment", "id", F.lit(SCORE["year"]).alias("score"), *ORDER
-    )
-    # a notice found both ways keeps its full score
-    both = strong.unionByName(weak).groupBy("segment", "id").agg(
+    parts = sigs.withColumns({"p": F.to_json(F.struct(*PLACE)), "y": F.to_json(F.struct(*YEAR)), "i": F.to_json("hits")})
+    parts = parts.drop("year_label", "year_label_en").checkpoint()
+    best = _top(rows, ["sig"], ORDER, k).join(parts.select("sig", "p", "y", "i"), "sig").drop("sig")
+
+    by_place = best.join(_place_table(parts, segs), "p").drop("p")
+    by_place = _top(by_place, ["cell", "place", "y", "i"], ORDER, k)
+    by_year = by_place.join(_year_table(parts, segs, today), "y").withColumn("base", F.col("place") + F.col("sure"))
+    by_year = _top(by_year.select("cell", "ycell", "base", "i", "id", *ORDER), ["cell", "ycell", "base", "i"], ORDER, k)
+    scored = by_year.join(_interest_table(parts, segs), "i").withColumn("score", F.least(F.col("base") + F.col("interest"), F.lit(dims.MAX_SCORE)))
+    scored = scored.filter(F.col("score") >= dims.LEVEL_MEDIUM).select("cell", "ycell", "wants", "score", "id", *ORDER)
+    scored = _top(scored, ["cell", "ycell", "wants"], [F.desc("score"), *ORDER], k)
+
+    mine = F.concat_ws("|", "p_year", "p_entrance").alias("ycell")
+    places = F.explode(F.array(_cell("p_college", "p_major"), F.lit(ANY))).alias("cell")
+    wishes = F.array(F.array_join("p_interests", ","), F.lit(ANY))
+    keyed = segs.select("seg", mine, "p_interests", places).select("seg", "ycell", "cell", F.explode(wishes).alias("wants"))
+    both = keyed.join(scored, ["cell", "ycell", "wants"]).groupBy("seg", "id").agg(
         F.max("score").alias("score"), *[F.min(o).alias(o) for o in ORDER]
     )
-    ranked = both.withColumn("level", _level(F.col("score")))
-    w = Window.partitionBy("segment").orderBy(F.desc("score"), *ORDER)
-    ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return _to_profiles(profiles, ranked, ["rank", "id", "score", "level"])
+    w = Window.partitionBy("seg").orderBy(F.desc("score"), *ORDER)
+    ranked = both.withColumn("level", _level(F.col("score"))).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _to_profiles(profiles, segs, ranked, ["rank", "id", "score", "level"])
 
 
 # Features that decide whether a notice excludes a profile.
@@ -243,23 +324,23 @@ def upcoming(events: DataFrame, profiles: DataFrame, today: date, days: int = di
     unit_keys = F.concat(_prefixed("m|", "t_majors"), _prefixed("c|", "t_colleges"))
     named = sigs.filter(_names_units() & ~F.col("grad_only"))
     reach = named.select("sig", F.explode(unit_keys).alias("key")).join(
-        segs.select("segment", F.explode(_segment_keys()).alias("key")), "key").select("sig", "segment").distinct()
+        segs.select("seg", F.explode(_segment_keys()).alias("key")), "key").select("sig", "seg").distinct()
     cohort = F.array_contains("cohorts", F.col("p_entrance"))
     year_ok = cohort | (F.size("years") == 0) | F.array_contains("years", F.col("p_year"))
     need = F.coalesce(F.array_max("semesters"), F.lit(0))
     allowed = ~F.array_contains("excluded_years", F.col("p_year")) & year_ok & (completed_semesters(F.col("p_year"), today) >= need)
-    strong = reach.join(named, "sig").join(segs, "segment").filter(allowed).select("segment", "sig")
+    strong = reach.join(named, "sig").join(segs, "seg").filter(allowed).select("seg", "sig")
     heads = best.groupBy("sig").agg(F.min(F.struct(*ORDER)).alias("head"))
-    strong = _top(strong.join(heads, "sig"), ["segment"], ["head"], k).join(best, "sig").select("segment", "id", "kind", *ORDER)
+    strong = _top(strong.join(heads, "sig"), ["seg"], ["head"], k).join(best, "sig").select("seg", "id", "kind", *ORDER)
 
     open_keys = sigs.select("sig", F.explode(_year_keys(today, False)).alias("key"))
     weak = _top(open_keys.join(best, "sig").select("key", "id", "kind", *ORDER), ["key"], ORDER, k)
-    weak = weak.join(segs.select("segment", F.explode(_segment_year_keys()).alias("key")), "key").select("segment", "id", "kind", *ORDER)
+    weak = weak.join(segs.select("seg", F.explode(_segment_year_keys()).alias("key")), "key").select("seg", "id", "kind", *ORDER)
 
-    w = Window.partitionBy("segment").orderBy(*ORDER)
+    w = Window.partitionBy("seg").orderBy(*ORDER)
     both = strong.unionByName(weak).distinct()
     ranked = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("o1", "date")
-    return _to_profiles(profiles, ranked, ["rank", "id", "kind", "date"])
+    return _to_profiles(profiles, segs, ranked, ["rank", "id", "kind", "date"])
 
 
 def level_counts(features: DataFrame, profiles: DataFrame, today: date) -> DataFrame:
@@ -309,8 +390,8 @@ def high_matches(features: DataFrame, profiles: DataFrame, today: date, labels:
     """
     rows, sigs = _signed(features, [])
     segs = segments(profiles)
-    high = _scores(sigs, segs, today).filter(F.col("score") >= dims.LEVEL_HIGH).select("sig", "segment")
-    told = score_pairs(high.join(sigs.drop("n"), "sig").join(segs, "segment"), today, labels)
+    high = _scores(sigs, segs, today).filter(F.col("score") >= dims.LEVEL_HIGH).select("sig", "seg")
+    told = score_pairs(high.join(sigs.drop("n"), "sig").join(segs, "seg"), today, labels)
     told = told.select("sig", "segment", "score", "reasons", "reasons_en", "n_profiles")
     return rows.join(told, "sig").drop("sig")
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from noticelake import dims
 from noticelake.dims import SCORE
 from noticelake.functions.dates import days_until
+from noticelake.operators.calendar import unpivot_events
 from noticelake.operators.match import completed_semesters, score_pairs
 from noticelake.operators.skew import hot_lookup_join, with_global_index
 from noticelake.operators.views import FAR_PAST
@@ -307,14 +308,18 @@ ACCESS = ["t_majors", "t_colleges", "years", "cohorts", "excluded_years", "semes
 ACCESS_SCHEMA = ", ".join(part for part in SIGNATURE.split(", ") if part.split(" ")[0] in ACCESS)
 
 
-def upcoming(events: DataFrame, profiles: DataFrame, today: date, days: int = dims.UPCOMING_DAYS, k: int = dims.UPCOMING_LIMIT) -> DataFrame:
-    """The next k events per profile among notices that do not exclude it.
+def upcoming(features: DataFrame, profiles: DataFrame, today: date, days: int = dims.UPCOMING_DAYS, k: int = dims.UPCOMING_LIMIT) -> DataFrame:
+    """The next k events per profile among notices that do not exclude it: profile_id, rank, id, kind, date.
 
-    ``events``: calendar.unpivot_events over notice_features.
+    ``features``: match.notice_features with id, published_at, due and event_date. The date filter is put on
+    the notices too, where it reaches below the feature expressions.
     """
+    def soon(when: str) -> Column:
+        return days_until(F.col(when), today).between(0, days)
+
+    events = unpivot_events(features.filter(soon("due") | soon("event_date")))
     segs = segments(profiles)
-    left = days_until(F.col("date"), today)
-    near = events.filter(left.between(0, days)).withColumn("sig", F.to_json(F.struct(*ACCESS)))
+    near = events.filter(soon("date")).withColumn("sig", F.to_json(F.struct(*ACCESS)))
     near = near.select("id", "kind", "kind_ord", "date", "published_at", "sig").checkpoint()
     published = F.coalesce(-F.unix_date("published_at"), F.lit(FAR_PAST))
     order = [F.col("date").alias("o1"), published.alias("o2"), (-F.col("id")).alias("o3"), F.col("kind_ord").alias("o4")]

@@ -56,17 +56,23 @@ def check_contract(replies: DataFrame, categories: list[str] | None = None) -> D
 
 def evidence_warnings(analysis: Column, body: Column) -> Column:
     """Each stated date is well formed and backed by a quote that occurs in the body (white space aside)."""
-    plain = squash(body)
-    found = []
-    for field in DATE_FIELDS:
-        value, quote = analysis[field], analysis["evidence"][field]
-        none = F.coalesce(quote, F.lit("")) == ""
-        found += [
-            F.when(value.isNotNull() & ~value.rlike(DATE_PATTERN), F.concat(F.lit(f'{field}="'), value, F.lit('" is not YYYY-MM-DD[THH:mm]'))),
-            F.when(value.isNotNull() & none, F.lit(f"{field} has a date but no evidence quote"))
-            .when(value.isNotNull() & ~F.contains(plain, squash(quote)), F.concat(F.lit(f'{field} evidence "'), quote, F.lit('" not found verbatim in notice'))),
-        ]
-    return F.array_compact(F.array(*found))
+
+    def checks(plain: Column) -> Column:
+        found = []
+        for field in DATE_FIELDS:
+            value, quote = analysis[field], analysis["evidence"][field]
+            malformed = F.concat(F.lit(f'{field}="'), value, F.lit('" is not YYYY-MM-DD[THH:mm]'))
+            unquoted = value.isNotNull() & (F.coalesce(quote, F.lit("")) == "")
+            missing = F.concat(F.lit(f'{field} evidence "'), quote, F.lit('" not found verbatim in notice'))
+            found += [
+                F.when(value.isNotNull() & ~value.rlike(DATE_PATTERN), malformed),
+                F.when(unquoted, F.lit(f"{field} has a date but no evidence quote"))
+                .when(value.isNotNull() & ~F.contains(plain, squash(quote)), missing),
+            ]
+        return F.array_compact(F.array(*found))
+
+    # bound as a lambda variable, so a long body is squashed once and not once per field
+    return F.get(F.transform(F.array(squash(body)), checks), F.lit(0))
 
 
 def crossfield_warnings(analysis: Column) -> Column:

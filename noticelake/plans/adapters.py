@@ -293,10 +293,11 @@ ORDER_BOARDS = """order_boards AS (
   FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 7)"""
 
 
-def analysis_orders(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"
-    )
+VERSION = ["l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def analysis_dates(lines: DataFrame) -> dict[str, Column]:
+    """The dates an analysis (a line item) states."""
     clock = F.when(
         F.col("l_partkey") % 3 == 0, F.concat(F.lit("T"), F.lpad((F.col("l_linenumber") + 8).cast("string"), 2, "0"), F.lit(":00"))
     ).otherwise("")
@@ -304,13 +305,11 @@ def analysis_orders(spark: SparkSession, sf: str) -> DataFrame:
     def when(days: int) -> Column:
         return F.concat(F.date_format(F.date_add(F.to_date("l_shipdate"), days), "yyyy-MM-dd"), clock)
 
-    return lines.select(
-        F.col("l_orderkey").alias("notice_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("analysis_id"),
-        F.when(F.col("l_returnflag") == "N", when(0)).alias("deadline"),
-        F.when(F.col("l_returnflag") != "R", when(0)).alias("application_end"),
-        F.when(F.col("l_linestatus") == "O", when(7)).alias("event_date"),
-    )
+    return {
+        "deadline": F.when(F.col("l_returnflag") == "N", when(0)),
+        "application_end": F.when(F.col("l_returnflag") != "R", when(0)),
+        "event_date": F.when(F.col("l_linestatus") == "O", when(7)),
+    }
 
 
 ANALYSIS_ORDERS = """analysis_orders AS (
@@ -338,10 +337,12 @@ def order_items(spark: SparkSession, sf: str) -> DataFrame:
     """List items: every order-notice with its newest analysis; notices without one are pending."""
     from noticelake.operators.views import latest_version
 
-    last = latest_version(
-        analysis_orders(spark, sf), "notice_id", F.col("analysis_id"), ["deadline", "application_end", "event_date"]
+    lines = table(spark, sf, "lineitem").select("l_orderkey", *VERSION, "l_returnflag", "l_linestatus", "l_shipdate")
+    # the newest version is found on raw columns; dates are rendered for the survivors only
+    last = latest_version(lines, "l_orderkey", F.struct(*VERSION), [*VERSION, "l_returnflag", "l_linestatus", "l_shipdate"])
+    last = last.select(
+        F.col("l_orderkey").alias("id"), F.lit(True).alias("_has"), *[c.alias(n) for n, c in analysis_dates(last).items()]
     )
-    last = last.select(F.col("notice_id").alias("id"), F.lit(True).alias("_has"), "deadline", "application_end", "event_date")
     rows = notice_orders(spark, sf).join(last, "id", "left")
     has = F.col("_has").isNotNull()
     return rows.withColumns({

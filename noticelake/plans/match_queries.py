@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.operators import audience, calendar, match
+from noticelake.operators import audience, match
 from noticelake.plans import adapters as ad
 from noticelake.plans.adapters import ctes
 from noticelake.plans.registry import query
@@ -260,8 +260,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY p_college, p_major, p_year, p_
     + f"SELECT p.profile_id, s.rank, s.id, s.kind, s.date FROM top s {PROFILE_OF_SEGMENT} WHERE s.rank <= 6",
 )
 def _(spark, sf):
-    events = calendar.unpivot_events(features(spark, sf))
-    return audience.upcoming(events, profiles(spark, sf), ad.TODAY_ORDERS)
+    return audience.upcoming(features(spark, sf), profiles(spark, sf), ad.TODAY_ORDERS)
 
 
 SEG_NAME = "concat_ws('|', p_college, p_major, p_year, p_entrance, array_to_string(p_interests, ','))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -55,3 +57,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, for tables a job writes and reads again."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application (like --py-files)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_noticelake_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="noticelake-package-")) / package.name
+    sc.addPyFile(shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name))
+    sc._noticelake_shipped = True

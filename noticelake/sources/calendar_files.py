@@ -95,17 +95,18 @@ def ics_blocks(events: DataFrame, stamp: str, uid_prefix: str, uid_domain: str,
 
 def _fold_line(line: str) -> str:
     """Fold at 75 octets (74 after the leading blank) without cutting a character."""
-    if len(line.encode()) <= 75:
+    raw = line.encode()
+    if len(raw) <= 75:
         return line
-    pieces, size, start, room = [], 0, 0, 75
-    for i, ch in enumerate(line):
-        width = len(ch.encode())
-        if size + width > room:
-            pieces.append(line[start:i])
-            start, size, room = i, 0, 74
-        size += width
-    pieces.append(line[start:])
-    return "\r\n ".join(pieces)
+    pieces, start, room = [], 0, 75
+    while len(raw) - start > room:
+        cut = start + room
+        while raw[cut] & 0xC0 == 0x80:  # inside a character
+            cut -= 1
+        pieces.append(raw[start:cut])
+        start, room = cut, 74
+    pieces.append(raw[start:])
+    return b"\r\n ".join(pieces).decode()
 
 
 @F.pandas_udf(T.StringType())
@@ -167,22 +168,25 @@ def parse_ics(files: DataFrame) -> DataFrame:
     """
     rest = [c for c in files.columns if c != "text"]
     lines = F.regexp_replace(F.regexp_replace("text", "\r\n|\r", "\n"), "\n[ \t]", "")
-    found = F.regexp_extract_all(lines, F.lit(r"(?s)(?<![^\n])BEGIN:VEVENT\n(.*?)(?<![^\n])END:VEVENT(?![^\n])"), 1)
-    events = files.select(*rest, F.posexplode(found).alias("seq", "block"))
-    # a BEGIN without END is dropped in favour of the one that follows it
-    block = F.substring_index(F.concat(F.lit("\n"), "block"), "\nBEGIN:VEVENT\n", -1)
+    # what follows each BEGIN up to its END; a BEGIN without END is dropped in favour of the next one
+    opened = F.split(F.concat(F.lit("\n"), lines), r"(?<=\n)BEGIN:VEVENT(?=\n)")
+    closed = F.transform(opened, lambda part: F.split(part, r"(?<=\n)END:VEVENT(?=\n|$)", 2))
+    whole = F.filter(closed, lambda part, n: (n > 0) & (F.size(part) == 2))
+    events = files.select(*rest, F.posexplode(whole).alias("seq", "part"))
+    block = F.col("part")[0]
     events = events.select(
         *rest, "seq", F.trim(_last_field(block, "UID")).alias("raw_uid"),
         ics_unescape(F.coalesce(_last_field(block, "SUMMARY"), F.lit(""))).alias("title"),
         F.trim(_last_field(block, "DTSTART")).alias("start"),
     )
-    pattern = r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:T([0-9]{2})([0-9]{2})([0-9]{2})(Z)?)?$"
-    y, mo, d, h, mi, _, z = [F.regexp_extract("start", pattern, i) for i in range(1, 8)]
-    day = F.concat_ws("-", y, mo, d)
-    local = F.concat(day, F.lit("T"), h, F.lit(":"), mi)
+    pattern = "^[0-9]{8}(T[0-9]{6}Z?)?$"
+    start = F.col("start")
+    day = F.concat_ws("-", F.substring(start, 1, 4), F.substring(start, 5, 2), F.substring(start, 7, 2))
+    local = F.concat(day, F.lit("T"), F.substring(start, 10, 2), F.lit(":"), F.substring(start, 12, 2))
     utc = F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz")
     moved = F.date_format(utc + F.make_dt_interval(F.lit(0), F.lit(9)), "yyyy-MM-dd'T'HH:mm")
-    date = F.when(h == "", day).when(z == "Z", moved).otherwise(local)
-    out = events.filter(F.col("start").rlike(pattern)).select(*rest, "seq", "raw_uid", "title", date.alias("date"), (h == "").alias("all_day"))
+    all_day = F.length(start) == 8
+    date = F.when(all_day, day).when(start.endswith("Z"), moved).otherwise(local)
+    out = events.filter(F.col("start").rlike(pattern)).select(*rest, "seq", "raw_uid", "title", date.alias("date"), all_day.alias("all_day"))
     uid = F.when(F.coalesce("raw_uid", F.lit("")) != "", F.col("raw_uid")).otherwise(F.concat("date", F.lit("-"), "title"))
     return out.select(*rest, "seq", uid.alias("uid"), "title", "date", "all_day")

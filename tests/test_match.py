@@ -7,7 +7,7 @@ from itertools import groupby
 from pyspark.sql import functions as F
 
 from noticelake import dims
-from noticelake.operators import audience, calendar, match
+from noticelake.operators import audience, match
 from noticelake.sources.profiles import load_profiles, validate_profiles
 
 TODAY = date(2026, 9, 24)
@@ -156,7 +156,7 @@ def test_rankings_equal_scoring_every_pair(spark):
     near.sort()
     want = {k: [(e[6], e[5]) for e in list(g)[:6]] for k, g in groupby(near, key=lambda e: e[0])}
     got = {}
-    for r in sorted(audience.upcoming(calendar.unpivot_events(f), p, TODAY).collect(), key=lambda r: (r["profile_id"], r["rank"])):
+    for r in sorted(audience.upcoming(f, p, TODAY).collect(), key=lambda r: (r["profile_id"], r["rank"])):
         got.setdefault(r["profile_id"], []).append((r["id"], r["kind"]))
     assert got == want
 

@@ -41,7 +41,7 @@ def test_rule_scenarios(spark):
     got = score(spark, {
         "own major": (CSE, item(0, "컴퓨터공학과 재학생")),
         "title unit": (CSE, item(0, "참가 희망 학생", title="[컴퓨터공학과] 캡스톤 설명회")),
-        "broad": (CSE, item(0, "인하대학교 2026학년도 재학생(학부생) 전체")),
+        "broad": (CSE, item(0, "2026학년도 재학생(학부생) 전체")),
         "other major": (CSE, item(0, "기계공학과 3학년 재학생")),
         "other college": (CSE, item(0, "공과대학 재학생")),
         "graduates": (CSE, item(0, "일반대학원 석사과정 대학원생")),
@@ -49,7 +49,7 @@ def test_rule_scenarios(spark):
         "years": (CSE, item(0, "3학년 2학기 또는 4학년 1학기 재학생")),
         "semesters": (CSE, item(0, "4학기 이상 이수한 학부 재학생")),
         "excluded year": (CSE, item(0, "학부 재학생 (1학년 불가)")),
-        "interest": (me(i=["scholarship"]), item(0, "인하대학교 학부 재학생 전체", category="장학금")),
+        "interest": (me(i=["scholarship"]), item(0, "학부 재학생 전체", category="장학금")),
         "pending keyword": (me(i=["scholarship"]), item(0, None, title="[학부-교외장학] 봄내장학생 선발 안내")),
         "year two": (me(y=2), item(0, "2학년 재학생")),
         "own board": (CSE, item(0, "참가 희망 학생", boards=["컴퓨터공학과"], colleges=["AI융합대학"])),

@@ -279,8 +279,7 @@ def for_you(features: DataFrame, profiles: DataFrame, today: date, k: int = dims
     segs = segments(profiles)
     open_ = features.filter(F.col("due").isNull() | (days_until(F.col("due"), today) >= 0))
     rows, sigs = _signed(open_, _best_first())
-    parts = sigs.withColumns({"p": F.to_json(F.struct(*PLACE)), "y": F.to_json(F.struct(*YEAR)), "i": F.to_json("hits")})
-    parts = parts.drop("year_label", "year_label_en").checkpoint()
+    parts = _with_parts(sigs)
     best = _top(rows, ["sig"], ORDER, k).join(parts.select("sig", "p", "y", "i"), "sig").drop("sig")
 
     by_place = best.join(_place_table(parts, segs), "p").drop("p")
@@ -348,43 +347,59 @@ def upcoming(features: DataFrame, profiles: DataFrame, today: date, days: int =
     return _to_profiles(profiles, segs, ranked, ["rank", "id", "kind", "date"])
 
 
+def _with_parts(sigs: DataFrame) -> DataFrame:
+    """Signatures with the texts of their three feature sets: place, year and interest."""
+    parts = sigs.withColumns({"p": F.to_json(F.struct(*PLACE)), "y": F.to_json(F.struct(*YEAR)), "i": F.to_json("hits")})
+    return parts.drop("year_label", "year_label_en").checkpoint()
+
+
 def level_counts(features: DataFrame, profiles: DataFrame, today: date) -> DataFrame:
     """Per notice: for how many profiles it is high, medium, low and none.
 
-    Every (profile, notice) pair is counted once, none is materialised. Pairs sharing a unit or an
-    interest are scored per signature and segment; the others follow from the year keys, whose
-    populations are sums over profiles (at most one row per year and entrance year).
+    Every (profile, notice) pair is counted once, none is listed. A signature meets the unit cells, year
+    cells and interest lists it shares something with; ``any`` stands for all of them together. What a
+    shared cell or list scores is added, and what the same profiles had been counted for under ``any`` is
+    taken off again (inclusion and exclusion over the two parts).
     """
     segs = segments(profiles)
     rows, sigs = _signed(features, [])
-    scored = _scores(sigs, segs, today)
-
-    def heads(cond: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("n_profiles"))), F.lit(0)).alias(name)
-
-    level, allowed, sure = _level(F.col("score")), F.col("allowed"), F.col("sure")
-    per_sig = scored.groupBy("sig").agg(
-        heads(allowed & (level == "high"), "high"), heads(allowed & (level == "medium"), "medium"),
-        heads(allowed, "allowed_shared"), heads(allowed & sure, "sure_shared"),
+    parts = _with_parts(sigs)
+
+    ycell = F.concat_ws("|", "p_year", "p_entrance").alias("ycell")
+    cells = F.explode(F.array(_cell("p_college", "p_major"), F.lit(ANY))).alias("cell")
+    lists = F.explode(F.array(F.array_join("p_interests", ","), F.lit(ANY))).alias("wants")
+    people = segs.select("n_profiles", "p_interests", ycell, cells).select("n_profiles", "ycell", "cell", lists)
+    people = people.groupBy("cell", "ycell", "wants").agg(F.sum("n_profiles").alias("people"))
+
+    met = (
+        parts.select("sig", "p", "y", "i", _names_units().alias("named"))
+        .join(_small(_place_table(parts, segs), segs), "p").join(_small(_year_table(parts, segs, today), segs), "y")
+        .join(_small(_interest_table(parts, segs), segs), "i").join(_small(people, segs), ["cell", "ycell", "wants"])
+        .select("sig", "named", "place", "sure", "interest", "people", (F.col("cell") != ANY).alias("at"), (F.col("wants") != ANY).alias("wish"))
     )
-    population = (
-        segs.select("n_profiles", F.explode(_segment_year_keys()).alias("key")).groupBy("key").agg(F.sum("n_profiles").alias("p"))
+    place, sure, interest, at, wish = (F.col(c) for c in ("place", "sure", "interest", "at", "wish"))
+
+    def people_where(test, name: str) -> Column:
+        def one(points: Column, when: Column) -> Column:
+            return F.when(when & test(points), 1).otherwise(0)
+
+        open_ = ~F.col("named")
+        signed = (
+            one(place + sure + interest, F.lit(True)) - one(place + sure, wish) - one(sure + interest, at & open_) + one(sure, at & wish & open_)
+        )
+        return F.coalesce(F.sum(signed * F.col("people")), F.lit(0)).alias(name)
+
+    per_sig = met.groupBy("sig").agg(
+        people_where(lambda s: s >= dims.LEVEL_HIGH, "high"),
+        people_where(lambda s: (s >= dims.LEVEL_MEDIUM) & (s < dims.LEVEL_HIGH), "medium"),
+        people_where(lambda s: s < dims.LEVEL_MEDIUM, "low"),
     )
-
-    def open_to(sure_score: bool, name: str) -> DataFrame:
-        keys = sigs.select("sig", F.explode(_year_keys(today, sure_score)).alias("key"))
-        return keys.join(population, "key").groupBy("sig").agg(F.sum("p").alias(name))
-
     total = segs.agg(F.coalesce(F.sum("n_profiles"), F.lit(0)).alias("t")).first()["t"]
-    table = (
-        sigs.select("sig", "n", _names_units().alias("named"))
-        .join(per_sig, "sig", "left").join(open_to(False, "allowed"), "sig", "left").join(open_to(True, "sure"), "sig", "left")
-        .na.fill(0)
+    table = sigs.select("sig", "n").join(per_sig, "sig", "left").na.fill(0)
+    counts = table.select(
+        "sig", "n", F.col("high").alias("n_high"), F.col("medium").alias("n_medium"), F.col("low").alias("n_low"),
+        (F.lit(total) - F.col("high") - F.col("medium") - F.col("low")).alias("n_none"),
     )
-    high = F.col("high")
-    medium = F.col("medium") + F.when(F.col("named"), 0).otherwise(F.col("sure") - F.col("sure_shared"))
-    allowed = F.when(F.col("named"), F.col("allowed_shared")).otherwise(F.col("allowed"))
-    counts = table.select("sig", "n", high.alias("n_high"), medium.alias("n_medium"), (allowed - high - medium).alias("n_low"), (F.lit(total) - allowed).alias("n_none"))
     return hot_lookup_join(rows.select("id", "sig"), counts, ["sig"], "id", "n").drop("sig")
 
 

@@ -27,6 +27,10 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+        # local data is small but the work per row is not: keep all cores busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # one-file tables are one scan task: joining them by shuffle gives the later steps all cores
+        .config("spark.sql.autoBroadcastJoinThreshold", "512k")
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)

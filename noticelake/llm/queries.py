@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, line_templates, minhash
+from noticelake.llm import decontaminate, lang_kernel, line_templates, minhash, packing
 from noticelake.llm.registry import query, table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -21,6 +22,13 @@ reach(node, seen) AS (
 comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
 
 
+@query("op3_language")
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = lang_kernel.fit(docs.filter(lang_kernel.in_training(F.col("doc_id"))))
+    return lang_kernel.predict(docs, model).select("doc_id", (~lang_kernel.in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 OP4_SQL = rf"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -70,6 +78,14 @@ def op6_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs, cleaned="kept_text").select("doc_id", "n_lines", "n_dropped", "kept_text")
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), TOKENIZER)
+
+
 OP9_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

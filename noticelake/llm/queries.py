@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, lang_kernel, line_templates, minhash, packing
+from noticelake.llm import decontaminate, embed_lsh, lang_kernel, line_templates, minhash, packing, secret_scan, url_filter
 from noticelake.llm.registry import query, table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -22,6 +22,46 @@ reach(node, seen) AS (
 comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
 
 
+OP1_SQL = f"""
+WITH RECURSIVE raw AS (SELECT vec_id, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (
+  SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM raw
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+edges AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / a.n / b.n >= 0.95),
+reach(node, seen) AS (SELECT r, r FROM raw UNION SELECT t.node, e.b FROM reach t JOIN edges e ON e.a = t.seen),
+comp AS (SELECT node, min(vec_id) AS component_id FROM reach JOIN raw ON raw.r = seen GROUP BY node),
+cnt AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(cnt.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM raw JOIN comp ON comp.node = r LEFT JOIN cnt ON cnt.a = r"""
+
+
+@query("op1_embedding_lsh", OP1_SQL)
+def op1_embedding_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    return embed_lsh.near_embeddings(table(spark, sf, "embeddings"))
+
+
+#: The rules of the query: (host and path, verdict).
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+OP2_SQL = rf"""
+WITH r AS (
+  SELECT *, split_part(rule, '/', 1) AS rhost, substr(rule, instr(rule, '/')) AS rpath
+  FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in URL_RULES)}) AS x(rule, verdict)),
+p AS (
+  SELECT page_id, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+h AS (SELECT page_id, k, {_LOWER.format("regexp_extract(u, '^[^/?#]*')")} AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC NULLS LAST) = 1"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
 @query("op3_language")
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -103,3 +143,30 @@ FROM d JOIN comp ON comp.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 @query("op9_minhash", OP9_SQL)
 def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def _kind_sql(place: int, rule: secret_scan.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+SELECT k, {place} AS place, '{rule.kind}' AS kind, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start, length(f[i]) AS n
+FROM (SELECT k, f, v, g, unnest(range(1, len(f) + 1)) AS i
+      FROM (SELECT k, regexp_extract_all(text, '{pattern}', 0) AS f, regexp_extract_all(text, '{pattern}', {rule.group}) AS v, regexp_split_to_array(text, '{pattern}') AS g
+            FROM d WHERE regexp_matches(text, '{pattern}')))
+WHERE length(v[i]) >= {rule.least}"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(secret_scan.RULES))}),
+s AS (
+  SELECT k, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, place) FILTER (place < 3) AS base,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, place) AS spans
+  FROM f GROUP BY k)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (k)"""
+
+
+@query("op10_secret_scan", OP10_SQL)
+def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf, "documents"))

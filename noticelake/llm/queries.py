@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, embed_lsh, lang_kernel, line_templates, minhash, packing, secret_scan, url_filter
+from noticelake.llm import decontaminate, embed_lsh, kneser_ney, lang_kernel, line_templates, minhash, packing, secret_scan, url_filter
 from noticelake.llm.registry import query, table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,6 +93,14 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op5_kneser_ney")
+def op5_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = kneser_ney.train(docs.filter(~kneser_ney.held_out(F.col("doc_id"))))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", kneser_ney.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (

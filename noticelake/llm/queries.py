@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, embed_lsh, kneser_ney, lang_kernel, line_templates, minhash, packing, secret_scan, url_filter
+from noticelake.llm import decontaminate, embed_lsh, html_blocks, kneser_ney, lang_kernel, line_templates, minhash, packing, secret_scan, url_filter
 from noticelake.llm.registry import query, table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,6 +134,12 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), TOKENIZER)
 
 
+@query("op8_html_blocks")
+def op8_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 OP9_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

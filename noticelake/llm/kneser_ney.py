@@ -102,7 +102,7 @@ _BLOB = "shard long, keys binary, counts binary"
 def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, dtype) -> pa.RecordBatch:
     """One row per shard; ``shard`` is in order."""
     at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(shard))
+    ends = np.append(at[1:], len(shard)) if len(shard) else at
     own, n = keys.astype(keys.dtype, copy=False), counts.astype(dtype)
     pieces = [(int(shard[a]), own[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pieces], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])

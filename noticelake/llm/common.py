@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 
 import numpy as np
@@ -26,6 +27,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; every other character stays."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -55,7 +65,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(offsets: np.ndarray, size: int = 4 << 20):
+def slices(offsets: np.ndarray, size: int = 2 << 20):
     """Row ranges of about ``size`` bytes each, one row at least."""
     rows = len(offsets) - 1
     lo = 0
@@ -106,7 +116,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 2 << 20) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each byte span: a polynomial over prefix sums, then mixed with the length."""
     out = np.empty(len(starts), dtype=np.uint64)
     lo = 0

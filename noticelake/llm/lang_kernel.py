@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import LOWER, utf8
+from noticelake.llm.common import LOWER, give_back, utf8
 from noticelake.session import ship_package
 
 GRAMS = 3  # spectra of 1 to 3 bytes are blended
@@ -52,7 +52,7 @@ class Model:
     weights: np.ndarray  # (m + 1) x languages: Nystroem map and ridge weights in one, then the intercept
 
 
-def scores(model: Model, column: pa.Array, step: int = 256) -> np.ndarray:
+def scores(model: Model, column: pa.Array, step: int = 96) -> np.ndarray:
     """Ridge outputs, rows x languages, by matrix products over ``step`` texts at a time."""
     data, offsets = utf8(column)
     out = [np.zeros((0, len(model.langs)))]
@@ -67,8 +67,8 @@ def _features(batches):
     """Rows (lang, text): the language and the text's n-grams, one bit each."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for lo in range(0, batch.num_rows, 128):
-            hi = min(batch.num_rows, lo + 128)
+        for lo in range(0, batch.num_rows, 96):
+            hi = min(batch.num_rows, lo + 96)
             bits = np.packbits(presence(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
 
@@ -128,6 +128,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names = [langs[k] if ok else UNKNOWN for k, ok in zip(out.argmax(axis=1), letters, strict=True)]
                 best = np.where(letters, np.clip(out.max(axis=1), 0.0, 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        give_back()
 
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
@@ -153,5 +154,6 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> D
         for batch in batches:
             if shared.value.langs and batch.num_rows:
                 yield batch.filter(pa.array(scores(shared.value, batch.column(at)).max(axis=1) >= min_score))
+        give_back()
 
     return docs.filter(F.col("text").cast("string").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -5,50 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import cut, small_side, words_of
+from noticelake.llm.common import cut, small_side
 
 BLANKS = r"[\x20\x09-\x0D]+"
-DEPTH = 2  # leading tokens that lead to a leaf, after the token count
+DEPTH = 4  # leading tokens that lead to a leaf, after the token count
 MIN_TOKENS = 3  # shorter lines are no template
 MIN_DOCS = 3  # documents in which a template recurs
 CONSTANT = 70  # percent of a template's tokens that are not variable, at least
 ANY = "<*>"
+MAX_PLACES = 3_000_000  # dropped lines whose places are broadcast; with more, documents and places are shuffled
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, n, leaf, line): lines that can be a template, tokens with a digit masked; leaf and line are digests."""
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc_id", "h", "pos", words_of(F.col("raw"), BLANKS).alias("t")).filter(F.size("t") >= MIN_TOKENS)
-    rows = rows.withColumn("t", F.transform("t", lambda x: F.when(x.rlike("[0-9]"), F.lit(ANY)).otherwise(x)))
-    leaf = F.concat_ws(" ", F.size("t").cast("string"), F.slice("t", 1, DEPTH))
-    return rows.select("doc_id", "h", "pos", F.unhex(F.md5(leaf)).alias("leaf"), F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("line"), "t")
+    """(doc_id, h, pos, leaf, line, s): lines that can be a template. ``s`` has single spaces and masked tokens; ``leaf``
+    and ``line`` are hashes, which only ever meet together."""
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "s"))
+    rows = rows.withColumn("s", F.when(F.col("s").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace("s", BLANKS, " "))).otherwise(F.col("s")))
+    rows = rows.withColumn("s", F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", r"[^\x20]*[0-9][^\x20]*", ANY)).otherwise(F.col("s")))
+    n = F.length("s") - F.length(F.translate("s", " ", "")) + 1
+    rows = rows.withColumn("n", n).filter((F.col("n") >= MIN_TOKENS) & (F.col("s") != ""))
+    return rows.select("doc_id", "h", "pos", F.xxhash64("n", F.substring_index("s", " ", DEPTH)).alias("leaf"), F.xxhash64("s").alias("line"), "s")
 
 
 def _recurring_places(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos) of each line to drop."""
     lines = _lines(docs)
-    # each different line once, with its documents counted: hot lines shrink before anything is looked up
-    seen = lines.select("doc_id", "leaf", "line").groupBy("leaf", "line", "doc_id").agg(F.count("*").alias("n"))
-    held = cut(seen.groupBy("leaf", "line").agg(F.count("*").alias("docs")))
-    leaves = held.groupBy("leaf").agg(F.sum("docs").alias("held")).filter(F.col("held") >= MIN_DOCS).select("leaf")
-    held = held.join(leaves, "leaf", "left_semi")
-    # the tokens of one copy of each such line
-    wanted = small_side(cut(held.select("leaf", "line", "docs")))
-    one = lines.join(wanted, ["leaf", "line"]).groupBy("leaf", "line", "docs").agg(F.min(F.struct(F.concat_ws(" ", "t").alias("s"))).alias("s"))
-    one = cut(one.select("leaf", "line", "docs", F.col("s.s").alias("s")))
+    narrow = cut(lines.drop("s"))
+    # leaves with enough lines; each different line of theirs once, with its documents counted: hot lines shrink early
+    leaves = narrow.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
+    leaves = small_side(cut(leaves))
+    narrow = narrow.join(leaves, "leaf", "left_semi")
+    held = narrow.groupBy("leaf", "line", "doc_id").agg(F.count("*").alias("n")).groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    # one copy of the text of each such line
+    texts = lines.select("leaf", "line", "s").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("s").alias("s"))
+    one = cut(texts.join(held, ["leaf", "line"]))
     tokens = one.select("leaf", "line", "docs", F.posexplode(F.split("s", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
-    fixed = tokens.join(support.select("leaf", "at", "token"), ["leaf", "at", "token"], "left_semi")
+    fixed = tokens.filter(F.col("token") != ANY).join(support.select("leaf", "at", "token"), ["leaf", "at", "token"], "left_semi")
     fixed = fixed.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    named = one.join(fixed, ["leaf", "line"])
-    size = F.size(F.split("s", " "))
-    constant = F.filter("kept", lambda x: x["token"] != ANY)
-    general = F.concat_ws(" ", F.transform(constant, lambda x: F.concat_ws(":", x["at"].cast("string"), x["token"])))
-    template = F.when(F.size(constant) * 100 >= size * CONSTANT, F.md5(general)).otherwise(F.md5(F.concat(F.lit("="), F.col("s"))))
-    named = named.select("leaf", "line", F.unhex(template).alias("template"))
+    named = one.join(fixed, ["leaf", "line"], "left")
+    general = F.concat_ws(" ", F.transform("kept", lambda x: F.concat_ws(":", x["at"].cast("string"), x["token"])))
+    enough = F.coalesce(F.size("kept"), F.lit(0)) * 100 >= F.size(F.split("s", " ")) * CONSTANT
+    named = named.select("leaf", "line", F.when(enough, F.xxhash64(general)).otherwise(F.xxhash64(F.concat(F.lit("="), F.col("s")))).alias("template"))
     # documents of each template; its first document keeps it
-    found = lines.select("doc_id", "h", "pos", "leaf", "line").join(small_side(cut(named)), ["leaf", "line"]).select("doc_id", "h", "pos", "leaf", "template")
-    found = cut(found)
+    found = cut(narrow.join(small_side(cut(named)), ["leaf", "line"]).select("doc_id", "h", "pos", "leaf", "template"))
     per_doc = found.groupBy("leaf", "template", "doc_id").agg(F.min("pos").alias("pos"))
     recur = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= MIN_DOCS)
     return found.join(recur.select("leaf", "template", "first"), ["leaf", "template"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
@@ -58,18 +58,19 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
     """``docs`` with ``cleaned`` (text without recurring lines), ``total`` (its lines) and ``dropped`` (lines taken out).
 
     A line's tokens are its pieces between white space; tokens with a digit become a variable. The tree has the token
-    count at its first level and the first two tokens below it. In a leaf a token stays constant at its place if the
+    count at its first level and the first four tokens below it. In a leaf a token stays constant at its place if the
     leaf has it there in three (line, document) pairs or more, else it is variable. If at least 70 percent of a line
     are constant, its template is the constants with their places, else the line itself. A template in three
     documents or more is dropped from all of them but the one with the smallest doc_id; that one is left whole. Rows
     without doc_id count as one document, which is never the first one unless it is alone. Lines of fewer than three
-    tokens, blank lines and null texts stay. Rows that share doc_id and text are treated alike. Other columns stay;
-    names that this function uses inside are never taken from them.
+    tokens, blank lines and null texts stay. Rows that share doc_id and text are treated alike. Other columns stay.
     """
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drop = _recurring_places(own)
+    drop = cut(_recurring_places(own))
+    places = drop.count()
     drop = drop.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
     drop = drop.select(F.struct("doc_id", "h").alias("_key"), F.col("gone").alias("_gone"))
+    drop = F.broadcast(drop) if places <= MAX_PLACES else drop
     text = F.col("d.text").cast("string")
     rows = docs.alias("d").join(drop.alias("x"), F.col("x._key").eqNullSafe(F.struct(F.col("d.doc_id").alias("doc_id"), F.xxhash64(text).alias("h"))), "left")
     lines = F.split(text, "\n")
@@ -79,7 +80,7 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
     return rows.select(
         *plain,
         clean.alias(cleaned),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(total) if total else F.lit(0).alias("_"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(total),
         F.when(F.col("x._gone").isNull(), 0).otherwise(F.size("x._gone")).cast("long").alias(dropped),
     )
 

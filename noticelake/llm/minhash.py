@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import LOWER, cut, hash_words, mix64, slices, small_side, utf8, word_spans
+from noticelake.llm.common import LOWER, cut, give_back, hash_words, mix64, slices, small_side, utf8, word_spans
 from noticelake.llm.components import connected
 from noticelake.session import ship_package
 
@@ -88,6 +88,7 @@ def _sign(batches):
                 bands.append(b)
                 bits.append(p)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+    give_back()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = LINK) -> bool:
@@ -160,6 +161,7 @@ def _check_pivots(batches):
                     elif own is not None and linked(own, items):
                         found.append(ids[i])
         yield pa.RecordBatch.from_arrays([pa.array([pivot] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=_EDGE)
+    give_back()
 
 
 def _near(bits: np.ndarray, bands: np.ndarray, comp: np.ndarray, side: np.ndarray, key: int, least: float):
@@ -235,6 +237,7 @@ def _check_blocks(batches):
                 found.append((int(ids[i]), int(ids[j])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_EDGE)
+    give_back()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

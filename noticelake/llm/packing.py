@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm.common import give_back
 from noticelake.session import ship_package
 
 TOKENS = 2048  # most tokens of a sequence
@@ -20,7 +21,7 @@ SEGMENTS = 128  # most pieces of a sequence
 LOSS = 2048  # most loss-bearing tokens of a sequence
 END = 1  # id after each document
 POOL = 256  # pieces that wait for a sequence in a task
-CACHE = 1_000_000  # word encodings that a worker keeps
+CACHE = 700_000  # word encodings that a worker keeps
 
 
 @dataclass
@@ -217,6 +218,7 @@ def pack_documents(
             made += 1
         if done:
             yield _rows(done, with_ids)
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(prompt).cast("long") if prompt else F.lit(0).cast("long")).alias("prompt"))
     return own.mapInArrow(run, _OUT + (", ids array<long>" if with_ids else ""))

@@ -107,7 +107,7 @@ l AS (
   SELECT r, doc_id, pos, list_transform(list_filter(regexp_split_to_array(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> ''),
          lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM (SELECT r, doc_id, ls, unnest(range(0, len(ls))) AS pos FROM d WHERE text IS NOT NULL)),
-ll AS (SELECT r, doc_id, pos, len(t) AS n, array_to_string(t[1:2], ' ') AS head, array_to_string(t, ' ') AS s, t FROM l WHERE len(t) >= 3),
+ll AS (SELECT r, doc_id, pos, len(t) AS n, array_to_string(t[1:4], ' ') AS head, array_to_string(t, ' ') AS s, t FROM l WHERE len(t) >= 3),
 held AS (SELECT n, head, s, any_value(t) AS t, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM ll GROUP BY n, head, s),
 tok AS (SELECT n, head, s, docs, unnest(range(1, n + 1)) AS place, unnest(t) AS token FROM held),
 sup AS (SELECT n, head, place, token FROM tok GROUP BY n, head, place, token HAVING sum(docs) >= 3),

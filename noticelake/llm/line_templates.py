@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,15 @@ MAX_PLACES = 3_000_000  # dropped lines whose places are broadcast; with more, d
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, leaf, line, s): lines that can be a template. ``s`` has single spaces and masked tokens; ``leaf``
     and ``line`` are hashes, which only ever meet together."""
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "s"))
-    rows = rows.withColumn("s", F.when(F.col("s").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace("s", BLANKS, " "))).otherwise(F.col("s")))
-    rows = rows.withColumn("s", F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", r"[^\x20]*[0-9][^\x20]*", ANY)).otherwise(F.col("s")))
-    n = F.length("s") - F.length(F.translate("s", " ", "")) + 1
-    rows = rows.withColumn("n", n).filter((F.col("n") >= MIN_TOKENS) & (F.col("s") != ""))
-    return rows.select("doc_id", "h", "pos", F.xxhash64("n", F.substring_index("s", " ", DEPTH)).alias("leaf"), F.xxhash64("s").alias("line"), "s")
+    text = F.col("text")
+    raw = F.split(text, "\n")
+    odd = [F.contains(text, F.lit(x)) for x in ("\t", "\x0b", "\x0c", "\r", "  ", "\n ", " \n")] + [text.startswith(" "), text.endswith(" ")]
+    tidy = F.when(reduce(lambda a, b: a | b, odd), F.transform(raw, lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))).otherwise(raw)
+    masked = F.transform(tidy, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20]*[0-9][^\x20]*", ANY)).otherwise(x))
+    # each step is a pass over the array, so that nothing is worked out twice for a line
+    counted = F.transform(masked, lambda x: F.struct((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"), x.alias("s")))
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(counted).alias("pos", "x")).filter((F.col("x.n") >= MIN_TOKENS) & (F.col("x.s") != ""))
+    return rows.select("doc_id", "h", "pos", F.xxhash64("x.n", F.substring_index("x.s", " ", DEPTH)).alias("leaf"), F.xxhash64("x.s").alias("line"), F.col("x.s").alias("s"))
 
 
 def _recurring_places(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ from noticelake import dims
 WS_CLASS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+
+
 def squash(text: Column) -> Column:
     """Text without any white space."""
     return F.regexp_replace(text, WS_CLASS + "+", "")

@@ -42,7 +42,7 @@ def analyse(work: DataFrame, analyser: Callable[[dict], tuple[str, bool]] | None
                 except AnalyserError as err:
                     outcome, message = err.outcome, str(err)
                 except Exception as err:  # noqa: BLE001 - the analyser is foreign code
-                    outcome, message = "failed", f"{type(err).__name__}: {err}"[:300]
+                    outcome, message = "failed", f"{type(err).__name__}: {err}"
                 rows.append((row["id"], row["content_hash"], reply, finished, outcome, message))
             yield pd.DataFrame(rows, columns=["id", "content_hash", "reply", "finished", "outcome", "message"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from noticelake.operators.skew import with_global_index
 
 KEY = ["source", "source_notice_id"]
-CONTENT = ["source_url", "title", "original_content", "published_at", "board_category", "content_hash"]
+OWN = [*KEY, "id", "crawled_at", "content_updated_at", "dup_of"]  # all other columns are content
 
 
 def _changed(incoming: str, stored: str) -> Column:
@@ -35,7 +35,10 @@ def classify_upsert(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def apply_upsert(incoming: DataFrame, stored: DataFrame, order: list[Column]) -> DataFrame:
-    """The next snapshot. New rows get ids above the stored maximum, in ``order`` of processing."""
+    """The next snapshot, with every column of ``stored``: a change takes all content columns that ``incoming`` has.
+
+    New rows get ids above the stored maximum, in ``order`` of processing.
+    """
     top = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).first()["top"]
     absent = incoming.join(stored.select(*KEY), KEY, "left_anti")
     fresh = (
@@ -47,15 +50,15 @@ def apply_upsert(incoming: DataFrame, stored: DataFrame, order: list[Column]) ->
     n, s = incoming.alias("n"), stored.alias("s")
     seen = F.col("n.source").isNotNull()
     touched = seen & (F.size(_changed("n", "s")) > 0)
-    carried = [c for c in CONTENT + ["dedup_key"] if c in stored.columns]
+    carried = [c for c in stored.columns if c not in OWN]
     kept = s.join(n, KEY, "left").select(
         "s.id", *KEY,
-        *[F.when(touched, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in carried],
+        *[F.when(touched, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in incoming.columns else F.col(f"s.{c}") for c in carried],
         F.when(seen, F.col("n.crawled_at")).otherwise(F.col("s.crawled_at")).alias("crawled_at"),
         F.when(touched, F.col("n.crawled_at")).otherwise(F.col("s.content_updated_at")).alias("content_updated_at"),
         "s.dup_of",
     )
-    return kept.unionByName(fresh.select(*kept.columns))
+    return kept.unionByName(fresh.select(*[c for c in kept.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
 def insert_if_absent(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

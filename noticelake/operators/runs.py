@@ -53,15 +53,26 @@ def work_decision(
 
 
 def cut_budget(decided: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """At most ``budget`` rows stay ``analyse`` over all boards in processing order; the rest is deferred."""
+    """At most ``budget`` rows stay ``analyse`` over all boards in processing order; the rest is deferred.
+
+    The other copies of a deferred row's group find no current analysis and no budget either: they are deferred too.
+    """
     if budget < 0:
         raise ValueError("budget must be zero or more")
     if budget == 0:
-        return decided.withColumn("decision", F.when(F.col("decision") == "analyse", "deferred").otherwise(F.col("decision")))
+        return _defer_copies(decided.withColumn("decision", F.when(F.col("decision") == "analyse", "deferred").otherwise(F.col("decision"))))
     todo = decided.filter(F.col("decision") == "analyse")
     chosen = todo.orderBy(*order, "id").limit(budget).select("id", F.lit(True).alias("in_budget"))
     over = (F.col("decision") == "analyse") & F.col("in_budget").isNull()
-    return decided.join(chosen, "id", "left").withColumn("decision", F.when(over, "deferred").otherwise(F.col("decision"))).drop("in_budget")
+    return _defer_copies(decided.join(chosen, "id", "left").withColumn("decision", F.when(over, "deferred").otherwise(F.col("decision"))).drop("in_budget"))
+
+
+def _defer_copies(cut: DataFrame) -> DataFrame:
+    late = cut.filter(F.col("decision") == "deferred").select("group_id", F.lit(True).alias("_late")).distinct()
+    copy = (F.col("decision") == "duplicate-skip") & F.coalesce("_late", F.lit(False))
+    out = cut.join(late, "group_id", "left").withColumn("_copy", copy)
+    out = out.withColumn("decision", F.when(F.col("_copy"), "deferred").otherwise(F.col("decision")))
+    return out.withColumn("is_duplicate", F.col("is_duplicate") & ~F.col("_copy")).select(*cut.columns)
 
 
 def run_stats(results: DataFrame) -> DataFrame:

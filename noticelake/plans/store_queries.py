@@ -420,9 +420,11 @@ def _(spark, sf):
     return decided_docs(spark, sf).select("id", "group_id", "status", "decision", "reason", "is_duplicate")
 
 
-BUDGET = """budgeted AS (
+BUDGET = """beyond AS (
   SELECT *, CASE WHEN decision = 'analyse' AND row_number() OVER (PARTITION BY decision ORDER BY source_ord, id) > 100
-                 THEN 'deferred' ELSE decision END AS final FROM flagged)"""
+                 THEN 'deferred' ELSE decision END AS own FROM flagged),
+late AS (SELECT *, own = 'duplicate-skip' AND group_id IN (SELECT group_id FROM beyond WHERE own = 'deferred') AS is_late FROM beyond),
+budgeted AS (SELECT * REPLACE (is_duplicate AND NOT is_late AS is_duplicate), CASE WHEN is_late THEN 'deferred' ELSE own END AS final FROM late)"""
 
 
 @query("budget_cut", ctes(*DECIDED, BUDGET) + "SELECT id, final AS decision FROM budgeted")

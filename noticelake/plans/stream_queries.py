@@ -15,9 +15,9 @@ from noticelake.streaming import jobs
 
 
 def landed(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a file stream."""
+    """A table as a file stream, whether it is one file or a folder of them: both match the pattern."""
     schema = ad.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _crawl(events: DataFrame) -> DataFrame:

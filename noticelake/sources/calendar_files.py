@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticelake.dims import LABELS
-from noticelake.functions import dates
+from noticelake.functions import dates, text
 from noticelake.functions.labels import event_label
 
 # The columns calendar apps expect, in order.
@@ -175,9 +175,9 @@ def parse_ics(files: DataFrame) -> DataFrame:
     events = files.select(*rest, F.posexplode(whole).alias("seq", "part"))
     block = F.col("part")[0]
     events = events.select(
-        *rest, "seq", F.trim(_last_field(block, "UID")).alias("raw_uid"),
+        *rest, "seq", text.strip(_last_field(block, "UID")).alias("raw_uid"),
         ics_unescape(F.coalesce(_last_field(block, "SUMMARY"), F.lit(""))).alias("title"),
-        F.trim(_last_field(block, "DTSTART")).alias("start"),
+        text.strip(_last_field(block, "DTSTART")).alias("start"),
     )
     pattern = "^[0-9]{8}(T[0-9]{6}Z?)?$"
     start = F.col("start")

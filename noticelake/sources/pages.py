@@ -266,7 +266,7 @@ ARTICLE_URL = r"^(https://[^/]+/bbs/[^/]+/[0-9]+/)([0-9]+)/artclView\.do$"
 
 def canonical_url(url: Column) -> Column:
     """Trimmed, https, without query and fragment."""
-    secure = F.regexp_replace(F.trim(url), "^http:", "https:")
+    secure = F.regexp_replace(texts.strip(url), "^http:", "https:")
     return F.regexp_replace(secure, "(?s)[?#].*$", "")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.functions import text
+
 from noticelake import dims, schemas
 from noticelake.operators.skew import with_global_index
 
@@ -15,7 +17,7 @@ def validate_profiles(raw: DataFrame, interests: list[str] | None = None, former
     renamed = dims.former_colleges() if former is None else former
     year = F.expr("try_cast(profile.year as double)")
     entrance = F.expr("try_cast(profile.entranceYear as double)")
-    major = F.trim(F.col("profile.major"))
+    major = text.strip(F.col("profile.major"))
     valid = (
         (major != "")
         & F.col("profile.college").isNotNull()
@@ -36,8 +38,14 @@ def validate_profiles(raw: DataFrame, interests: list[str] | None = None, former
 
 
 def load_profiles(spark: SparkSession, path: str, **rules) -> DataFrame:
-    """A JSON array or JSON lines of {id, profile}; rows keep the order of the files."""
-    raw = spark.read.schema(schemas.PROFILE_FILE).option("multiLine", True).json(path)
+    """A JSON array or JSON lines of {id, profile}; rows keep the order of the files.
+
+    Lines are read in parallel. An array that spans lines is one document per file and is read as such.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    head = first[0]["value"].strip() if first else ""
+    array = head.startswith("[") and not head.endswith("]")
+    raw = spark.read.schema(schemas.PROFILE_FILE).option("multiLine", array).json(path)
     placed = raw.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
     numbered = with_global_index(placed, [F.col("_file").asc(), F.col("_row").asc()], "pos")
     return validate_profiles(numbered, **rules)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import cut, small_side
@@ -18,6 +18,10 @@ ANY = "<*>"
 MAX_PLACES = 3_000_000  # dropped lines whose places are broadcast; with more, documents and places are shuffled
 
 
+def _count(text: Column, piece: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, leaf, line, s): lines that can be a template. ``s`` has single spaces and masked tokens; ``leaf``
     and ``line`` are hashes, which only ever meet together."""
@@ -25,9 +29,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     raw = F.split(text, "\n")
     odd = [F.contains(text, F.lit(x)) for x in ("\t", "\x0b", "\x0c", "\r", "  ", "\n ", " \n")] + [text.startswith(" "), text.endswith(" ")]
     tidy = F.when(reduce(lambda a, b: a | b, odd), F.transform(raw, lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))).otherwise(raw)
-    masked = F.transform(tidy, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20]*[0-9][^\x20]*", ANY)).otherwise(x))
     # each step is a pass over the array, so that nothing is worked out twice for a line
-    counted = F.transform(masked, lambda x: F.struct((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"), x.alias("s")))
+    masked = F.transform(tidy, lambda x: F.struct(_count(x, " ").alias("blanks"), x.alias("raw"), F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20]*[0-9][^\x20]*", ANY)).alias("masked")))
+    few = lambda x: _count(x["masked"], ANY) * 100 <= (x["blanks"] + 1) * (100 - CONSTANT)
+    counted = F.transform(masked, lambda x: F.struct((x["blanks"] + 1).alias("n"), F.when(few(x), x["masked"]).otherwise(x["raw"]).alias("s")))
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(counted).alias("pos", "x")).filter((F.col("x.n") >= MIN_TOKENS) & (F.col("x.s") != ""))
     return rows.select("doc_id", "h", "pos", F.xxhash64("x.n", F.substring_index("x.s", " ", DEPTH)).alias("leaf"), F.xxhash64("x.s").alias("line"), F.col("x.s").alias("s"))
 
@@ -62,7 +67,8 @@ def _recurring_places(docs: DataFrame) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines") -> DataFrame:
     """``docs`` with ``cleaned`` (text without recurring lines), ``total`` (its lines) and ``dropped`` (lines taken out).
 
-    A line's tokens are its pieces between white space; tokens with a digit become a variable. The tree has the token
+    A line's tokens are its pieces between white space; tokens with a digit become a
+    variable, unless that leaves less than 70 percent of the line. The tree has the token
     count at its first level and the first four tokens below it. In a leaf a token stays constant at its place if the
     leaf has it there in three (line, document) pairs or more, else it is variable. If at least 70 percent of a line
     are constant, its template is the constants with their places, else the line itself. A template in three

@@ -104,8 +104,9 @@ def op5_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (
-  SELECT r, doc_id, pos, list_transform(list_filter(regexp_split_to_array(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> ''),
-         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  SELECT r, doc_id, pos, list_filter(regexp_split_to_array(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS u,
+         list_transform(u, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m, array_to_string(m, ' ') AS ms,
+         CASE WHEN (length(ms) - length(replace(ms, '<*>', ''))) // 3 * 100 <= len(u) * 30 THEN m ELSE u END AS t
   FROM (SELECT r, doc_id, ls, unnest(range(0, len(ls))) AS pos FROM d WHERE text IS NOT NULL)),
 ll AS (SELECT r, doc_id, pos, len(t) AS n, array_to_string(t[1:4], ' ') AS head, array_to_string(t, ' ') AS s, t FROM l WHERE len(t) >= 3),
 held AS (SELECT n, head, s, any_value(t) AS t, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM ll GROUP BY n, head, s),

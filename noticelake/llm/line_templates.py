@@ -61,7 +61,9 @@ def _recurring_places(docs: DataFrame) -> DataFrame:
     found = cut(narrow.join(small_side(cut(named)), ["leaf", "line"]).select("doc_id", "h", "pos", "leaf", "template"))
     per_doc = found.groupBy("leaf", "template", "doc_id").agg(F.min("pos").alias("pos"))
     recur = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= MIN_DOCS)
-    return found.join(recur.select("leaf", "template", "first"), ["leaf", "template"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    # written first, so that a template with many lines is looked up in a broadcast or in a join that can be split
+    recur = small_side(cut(recur.select("leaf", "template", "first")))
+    return found.join(recur, ["leaf", "template"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
 
 
 def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines") -> DataFrame:

@@ -73,11 +73,13 @@ def _compare(batches):
             near &= side[:, None] != side[None, :]
         if not near.any():
             continue
-        keys = bucket_keys(x)
+        linked = np.flatnonzero(near.any(axis=1))
+        keys = np.zeros((len(nodes), TABLES), np.int64)
+        keys[linked] = bucket_keys(x[linked])  # only these rows' tables are asked for below
         links = np.zeros(len(nodes), np.int64)
         lowest = np.arange(len(nodes))
         pairs = []
-        for i in np.flatnonzero(near.any(axis=1)):
+        for i in linked:
             j = np.flatnonzero(near[i])
             same = keys[j] == keys[i]
             j = j[keys[i, same.argmax(axis=1)] == key]  # pairs that share an earlier table are counted there

@@ -54,27 +54,38 @@ class Node:
     end: int = 0
 
     def find(self, want: tuple[str | None, str | None]) -> Iterator[Node]:
+        """Nodes below this one in page order; a stack, since pages nest to any depth."""
         tag, cls = want
-        for child in self.children:
-            if isinstance(child, Node):
-                if (tag is None or child.tag == tag) and (cls is None or cls in (child.attrs.get("class") or "").split()):
-                    yield child
-                yield from child.find(want)
+        left = [self]
+        while left:
+            node = left.pop()
+            if node is not self and (tag is None or node.tag == tag) and (cls is None or cls in (node.attrs.get("class") or "").split()):
+                yield node
+            left.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, left = [], self.children[::-1]
+        while left:
+            c = left.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                left.extend(reversed(c.children))
+        return "".join(out)
 
     def lines(self, out: list[str]) -> None:
         """Text with a line break after every block and for every br; no script or style."""
-        for c in self.children:
+        left = self.children[::-1]
+        while left:
+            c = left.pop()
             if isinstance(c, str):
                 out.append(c)
             elif c.tag == "br":
                 out.append("\n")
             elif c.tag not in ("script", "style"):
-                c.lines(out)
                 if c.tag in LINE_ENDS:
-                    out.append("\n")
+                    left.append("\n")
+                left.extend(reversed(c.children))
 
 
 class _Tree(HTMLParser):

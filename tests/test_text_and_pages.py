@@ -274,3 +274,12 @@ def test_language_projection(spark, lang, want):
     row = df.select(labels.notice_title(F.col("title"), F.col("en"), lang), labels.summary_line(F.col("summary"), none, F.col("en"), lang),
                     labels.english_missing(F.lit(True), F.col("en"), lang)).first()
     assert tuple(row) == want
+
+
+def test_deeply_nested_page_is_walked():
+    deep = "<div>" * 3000 + "inside" + "</div>" * 3000
+    root = pg._Tree(f"<section>{deep}<p>one<br>two</p><p>three</p></section>").root
+    out = []
+    root.lines(out)
+    assert len(list(root.find(("div", None)))) == 3000 and root.text() == "insideonetwothree"
+    assert [line for line in "".join(out).split("\n") if line] == ["inside", "one", "two", "three"]

@@ -39,9 +39,9 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reader_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Who opened which notice: line items as (order, part), parts read as customer numbers."""
-    lines = ad.table(spark, sf, "lineitem")
-    seen = lines.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("profile_id")).distinct()
+    """Who opened which notice: every line item as (order, part), the part number folded onto the customer numbers."""
+    lines, readers = ad.table(spark, sf, "lineitem"), max(1, ad.table(spark, sf, "customer").count())
+    seen = lines.select(F.col("l_orderkey").alias("id"), F.pmod("l_partkey", F.lit(readers)).cast("string").alias("profile_id")).distinct()
     return seen.join(profiles(spark, sf), "profile_id").join(features(spark, sf), "id")
 
 
@@ -97,7 +97,7 @@ feat AS (
 
 READERS = """pairs AS (
   SELECT f.*, p.profile_id, p.college AS p_college, p.major AS p_major, p.year AS p_year, p.entrance_year AS p_entrance, p.interests AS p_interests
-  FROM (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) AS reader FROM lineitem) l
+  FROM (SELECT DISTINCT l_orderkey, CAST(l_partkey % (SELECT count(*) FROM customer) AS VARCHAR) AS reader FROM lineitem) l
   JOIN profiles p ON p.profile_id = l.reader JOIN feat f ON f.id = l.l_orderkey)"""
 
 SEGMENTS = """segs AS (SELECT college AS p_college, major AS p_major, year AS p_year, entrance_year AS p_entrance, interests AS p_interests,

@@ -11,6 +11,7 @@ from noticelake.llm.common import cut, small_side
 
 BLANKS = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens that lead to a leaf, after the token count
+WIDE_DEPTH = 2  # the same in the pipeline, so that a variable field may stand further to the front
 MIN_TOKENS = 3  # shorter lines are no template
 MIN_DOCS = 3  # documents in which a template recurs
 CONSTANT = 70  # percent of a template's tokens that are not variable, at least
@@ -22,7 +23,7 @@ def _count(text: Column, piece: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, h, pos, leaf, line, s): lines that can be a template. ``s`` has single spaces and masked tokens; ``leaf``
     and ``line`` are hashes, which only ever meet together."""
     text = F.col("text")
@@ -32,14 +33,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     # each step is a pass over the array, so that nothing is worked out twice for a line
     masked = F.transform(tidy, lambda x: F.struct(_count(x, " ").alias("blanks"), x.alias("raw"), F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20]*[0-9][^\x20]*", ANY)).alias("masked")))
     few = lambda x: _count(x["masked"], ANY) * 100 <= (x["blanks"] + 1) * (100 - CONSTANT)
-    counted = F.transform(masked, lambda x: F.struct((x["blanks"] + 1).alias("n"), F.when(few(x), x["masked"]).otherwise(x["raw"]).alias("s")))
+    worded = lambda x: x["masked"].rlike(r"\p{L}")  # noqa: E731  a word is left that is no variable
+    counted = F.transform(masked, lambda x: F.struct((x["blanks"] + 1).alias("n"), F.when(worded(x) if wide else few(x), x["masked"]).otherwise(x["raw"]).alias("s")))
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(counted).alias("pos", "x")).filter((F.col("x.n") >= MIN_TOKENS) & (F.col("x.s") != ""))
-    return rows.select("doc_id", "h", "pos", F.xxhash64("x.n", F.substring_index("x.s", " ", DEPTH)).alias("leaf"), F.xxhash64("x.s").alias("line"), F.col("x.s").alias("s"))
+    return rows.select("doc_id", "h", "pos", F.xxhash64("x.n", F.substring_index("x.s", " ", WIDE_DEPTH if wide else DEPTH)).alias("leaf"), F.xxhash64("x.s").alias("line"), F.col("x.s").alias("s"))
 
 
-def _recurring_places(docs: DataFrame) -> DataFrame:
+def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, h, pos) of each line to drop."""
-    lines = _lines(docs)
+    lines = _lines(docs, wide)
     narrow = cut(lines.drop("s"))
     # leaves with enough lines; each different line of theirs once, with its documents counted: hot lines shrink early
     leaves = narrow.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
@@ -66,7 +68,7 @@ def _recurring_places(docs: DataFrame) -> DataFrame:
     return found.join(recur, ["leaf", "template"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
 
 
-def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines", wide: bool = False) -> DataFrame:
     """``docs`` with ``cleaned`` (text without recurring lines), ``total`` (its lines) and ``dropped`` (lines taken out).
 
     A line's tokens are its pieces between white space; tokens with a digit become a
@@ -77,9 +79,13 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
     documents or more is dropped from all of them but the one with the smallest doc_id; that one is left whole. Rows
     without doc_id count as one document, which is never the first one unless it is alone. Lines of fewer than three
     tokens, blank lines and null texts stay. Rows that share doc_id and text are treated alike. Other columns stay.
+
+    ``wide`` is the whole job, and what the pipeline does; without it the rows are those of the SQL twin. With it, the
+    first two tokens alone lead to a leaf, and tokens with a digit become a variable in every line that has a word
+    besides them.
     """
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drop = cut(_recurring_places(own))
+    drop = cut(_recurring_places(own, wide))
     places = drop.count()
     drop = drop.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
     drop = drop.select(F.struct("doc_id", "h").alias("_key"), F.col("gone").alias("_gone"))
@@ -100,7 +106,7 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
 
 def line_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines taken out and n_chars counted anew; documents that held nothing else are dropped."""
-    out = drop_recurring_lines(docs, cleaned="text", dropped="_n_dropped", total="_n_lines")
+    out = drop_recurring_lines(docs, cleaned="text", dropped="_n_dropped", total="_n_lines", wide=True)
     out = out.filter((F.col("_n_dropped") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)

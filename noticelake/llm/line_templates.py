@@ -16,6 +16,8 @@ MIN_TOKENS = 3  # shorter lines are no template
 MIN_DOCS = 3  # documents in which a template recurs
 CONSTANT = 70  # percent of a template's tokens that are not variable, at least
 ANY = "<*>"
+MIN_COPIES = 2  # documents in which an exact line recurs in the pipeline; MIN_DOCS for a short one
+LONG_CHARS = 16  # a line of fewer tokens than MIN_TOKENS is short below it; scripts without spaces have one token a line
 MAX_PLACES = 3_000_000  # dropped lines whose places are broadcast; with more, documents and places are shuffled
 
 
@@ -25,7 +27,8 @@ def _count(text: Column, piece: str) -> Column:
 
 def _lines(docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, h, pos, leaf, line, s): lines that can be a template. ``s`` has single spaces and masked tokens; ``leaf``
-    and ``line`` are hashes, which only ever meet together."""
+    and ``line`` are hashes, which only ever meet together. If ``wide``, also exact, the hash of the line before tokens
+    are masked, and docs, the documents in which it recurs; lines that are too short for a template have no leaf."""
     text = F.col("text")
     raw = F.split(text, "\n")
     odd = [F.contains(text, F.lit(x)) for x in ("\t", "\x0b", "\x0c", "\r", "  ", "\n ", " \n")] + [text.startswith(" "), text.endswith(" ")]
@@ -34,15 +37,33 @@ def _lines(docs: DataFrame, wide: bool) -> DataFrame:
     masked = F.transform(tidy, lambda x: F.struct(_count(x, " ").alias("blanks"), x.alias("raw"), F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20]*[0-9][^\x20]*", ANY)).alias("masked")))
     few = lambda x: _count(x["masked"], ANY) * 100 <= (x["blanks"] + 1) * (100 - CONSTANT)
     worded = lambda x: x["masked"].rlike(r"\p{L}")  # noqa: E731  a word is left that is no variable
-    counted = F.transform(masked, lambda x: F.struct((x["blanks"] + 1).alias("n"), F.when(worded(x) if wide else few(x), x["masked"]).otherwise(x["raw"]).alias("s")))
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(counted).alias("pos", "x")).filter((F.col("x.n") >= MIN_TOKENS) & (F.col("x.s") != ""))
-    return rows.select("doc_id", "h", "pos", F.xxhash64("x.n", F.substring_index("x.s", " ", WIDE_DEPTH if wide else DEPTH)).alias("leaf"), F.xxhash64("x.s").alias("line"), F.col("x.s").alias("s"))
+    short = lambda x: (x["blanks"] + 1 < MIN_TOKENS) & (F.length(x["raw"]) < LONG_CHARS)
+    exact = lambda x: [F.xxhash64(x["raw"]).alias("exact"), F.when(~short(x), MIN_COPIES).when(x["raw"].rlike(r"[\p{L}\p{N}]"), MIN_DOCS).alias("docs")] if wide else []
+    counted = F.transform(masked, lambda x: F.struct((x["blanks"] + 1).alias("n"), F.when(worded(x) if wide else few(x), x["masked"]).otherwise(x["raw"]).alias("s"), *exact(x)))
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(counted).alias("pos", "x")).filter(F.col("x.s") != "")
+    leaf = F.xxhash64("x.n", F.substring_index("x.s", " ", WIDE_DEPTH if wide else DEPTH))
+    fits = F.col("x.n") >= MIN_TOKENS
+    rows = rows.filter(F.col("x.docs").isNotNull()) if wide else rows.filter(fits)
+    more = [F.col("x.exact").alias("exact"), F.col("x.docs").alias("docs")] if wide else []
+    return rows.select("doc_id", "h", "pos", F.when(fits, leaf).alias("leaf") if wide else leaf.alias("leaf"), F.xxhash64("x.s").alias("line"), F.col("x.s").alias("s"), *more)
+
+
+def _exact_places(lines: DataFrame) -> DataFrame:
+    """(doc_id, h, pos) of each line that stands in another document as well, but for the first one."""
+    per_doc = lines.groupBy("exact", "docs", "doc_id").agg(F.lit(1).alias("one"))
+    recur = per_doc.groupBy("exact", "docs").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= F.col("docs"))
+    recur = small_side(cut(recur.select("exact", "docs", "first")))
+    return lines.join(recur, ["exact", "docs"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
 
 
 def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, h, pos) of each line to drop."""
     lines = _lines(docs, wide)
     narrow = cut(lines.drop("s"))
+    places = None
+    if wide:
+        places = _exact_places(narrow)
+        narrow, lines = (x.filter("leaf is not null").drop("exact", "docs") for x in (narrow, lines))
     # leaves with enough lines; each different line of theirs once, with its documents counted: hot lines shrink early
     leaves = narrow.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
     leaves = small_side(cut(leaves))
@@ -65,7 +86,8 @@ def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     recur = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= MIN_DOCS)
     # written first, so that a template with many lines is looked up in a broadcast or in a join that can be split
     recur = small_side(cut(recur.select("leaf", "template", "first")))
-    return found.join(recur, ["leaf", "template"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    gone = found.join(recur, ["leaf", "template"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    return gone.unionAll(places) if wide else gone
 
 
 def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines", wide: bool = False) -> DataFrame:
@@ -82,7 +104,9 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
 
     ``wide`` is the whole job, and what the pipeline does; without it the rows are those of the SQL twin. With it, the
     first two tokens alone lead to a leaf, and tokens with a digit become a variable in every line that has a word
-    besides them.
+    besides them. Also, an exact line (runs of white space count as one blank) is dropped from all documents but the one
+    with the smallest doc_id if two documents have it; a line of one or two tokens and under 16 characters if three have
+    it and it has a letter or a digit. Lines of fewer than three tokens are in no template.
     """
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drop = cut(_recurring_places(own, wide))

@@ -22,3 +22,16 @@ def test_fields_in_the_first_tokens_and_short_numbered_lines(spark):
     got = stage_texts(spark, [(k, f"{own(k)}\nPosted by {n} on Monday at noon\nPage {k} of 12\n{k} 4{k} 5 {k}7") for k, n in enumerate(names)])
     assert "Posted by Ada" in got[0] and "Page 0 of 12" in got[0]
     assert all(got[k] == f"{own(k)}\n{k} 4{k} 5 {k}7" for k in range(1, 5))
+
+
+def test_exact_lines_in_two_documents_and_short_lines(spark):
+    twice, script = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "今日は学校の図書館で新しい本を読みました。"
+    texts = [(0, f"{own(0)}\n{twice}\nRead more\n}}\nOnce"), (1, f"{own(1)}\nRead  more\n}}\n{script}"), (2, f"{own(2)}\n {twice}\nRead more\n}}\nTwice\n\n"), (3, f"{own(3)}\n{script}\nTwice"), (4, f"{twice}")]
+    got = stage_texts(spark, texts)
+    assert got == {0: texts[0][1], 1: f"{own(1)}\n}}\n{script}", 2: f"{own(2)}\n}}\nTwice\n\n", 3: f"{own(3)}\nTwice"}
+
+
+def test_first_document_of_a_template_keeps_its_copy(spark):
+    note = lambda k: f"Posted by user{k} on day {k} of the month at noon"
+    got = stage_texts(spark, [(k, f"{own(k)}\n{note(k // 2)}") for k in range(6)] + [(6, f"{own(6)}\n{note(0)}")])
+    assert got == {0: f"{own(0)}\n{note(0)}"} | {k: own(k) for k in range(1, 7)}

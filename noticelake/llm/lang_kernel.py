@@ -18,13 +18,20 @@ SAMPLE = 300  # labelled texts of each language that the model is fitted on
 LANDMARKS = 160
 RIDGE = 0.1
 UNKNOWN = "und"
-MIN_SCORE = 0.25  # texts below it are no text of a learned language
+KNOWN_SHARE = 0.02  # an n-gram is known to a language if this share of its sample has it, two texts at least
+LOW_TEXTS = 0.01  # quantile of the labelled texts' familiarity, and the share of it below which a text is rejected:
+SLACK = 0.8  # labelled texts hold junk too, and clean ones that were not learnt from are somewhat less familiar
 
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """0/1 matrix, rows x BUCKETS: which n-grams of bytes (A-Z lower-cased) each text has. No gram spans two texts."""
+_PLAIN = np.zeros(256, dtype=bool)  # letters, bytes of letters beyond ASCII, and white space
+_PLAIN[[9, 10, 11, 12, 13, 32, *range(97, 123), *range(128, 256)]] = True
+
+
+def presence(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> np.ndarray:
+    """0/1 matrix, rows x BUCKETS: which n-grams of bytes (A-Z lower-cased) each text has. No gram spans two texts.
+    ``plain`` leaves out those with a digit or a sign, which numbers, addresses and keys consist of in any language."""
     data = LOWER[data].astype(np.uint32)
     n = len(offsets) - 1
     out = np.zeros((n, BUCKETS), dtype=np.float32)
@@ -32,10 +39,14 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text = data[offsets[i] : offsets[i + 1]]
         for lo in range(0, max(len(text), 1), 1 << 20):
             part = text[lo : lo + (1 << 20) + GRAMS - 1]
-            value = np.zeros(len(part), np.uint32)
+            value, fits = np.zeros(len(part), np.uint32), np.ones(len(part), bool)
             for g in range(min(GRAMS, len(part))):
                 value = (value[: len(part) - g] << np.uint32(8)) | part[g:]
-                out[i, (value * _MUL[g] + _MUL[(g + 1) % 3]) >> np.uint32(32 - 15)] = 1.0
+                place = (value * _MUL[g] + _MUL[(g + 1) % 3]) >> np.uint32(32 - 15)
+                if plain:
+                    fits = fits[: len(part) - g] & _PLAIN[part[g:]]
+                    place = place[fits]
+                out[i, place] = 1.0
     return out
 
 
@@ -50,33 +61,45 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # BUCKETS x m, unit columns
     weights: np.ndarray  # (m + 1) x languages: Nystroem map and ridge weights in one, then the intercept
+    known: np.ndarray  # BUCKETS x languages, 0/1: n-grams that are usual in a language
+    least: float = 0.0  # familiarity that a text of one of the languages has
 
 
-def scores(model: Model, column: pa.Array, step: int = 96) -> np.ndarray:
-    """Ridge outputs, rows x languages, by matrix products over ``step`` texts at a time."""
+def _found(column: pa.Array, step: int, plain: bool = False):
+    """The presence matrices of ``step`` texts at a time."""
     data, offsets = utf8(column)
-    out = [np.zeros((0, len(model.langs)))]
     for lo in range(0, len(column), step):
         hi = min(len(column), lo + step)
-        kernel = normalised(presence(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) @ model.landmarks
-        out.append(kernel @ model.weights[:-1] + model.weights[-1])
-    return np.concatenate(out)
+        yield presence(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], plain)
+
+
+def scores(model: Model, column: pa.Array, step: int = 96) -> np.ndarray:
+    """Ridge outputs, rows x languages, by matrix products over ``step`` texts at a time. They sum to 1 for every text, so
+    they compare languages and do not tell whether a text is in any of them; ``familiarity`` does."""
+    kernels = (normalised(found) @ model.landmarks for found in _found(column, step))
+    return np.concatenate([np.zeros((0, len(model.langs))), *(k @ model.weights[:-1] + model.weights[-1] for k in kernels)])
+
+
+def familiarity(model: Model, column: pa.Array, step: int = 96) -> np.ndarray:
+    """The share of each text's different plain n-grams that the language which knows most of them knows; 0 without any."""
+    shares = ((found @ model.known).max(axis=1) / np.maximum(found.sum(axis=1), 1.0) for found in _found(column, step, True))
+    return np.concatenate([np.zeros(0), *shares])
 
 
 def _features(batches):
-    """Rows (lang, text): the language and the text's n-grams, one bit each."""
+    """Rows (lang, text): the language, and the text's n-grams and plain n-grams, one bit each."""
+    packed = lambda found: pa.array([b.tobytes() for b in np.packbits(found.astype(bool), axis=1)], pa.binary())
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for lo in range(0, batch.num_rows, 96):
-            hi = min(batch.num_rows, lo + 96)
-            bits = np.packbits(presence(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
+        at = 0
+        for found, plain in zip(_found(batch.column(1), 96), _found(batch.column(1), 96, True), strict=True):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), packed(found), packed(plain)], names=["lang", "bits", "plain"])
+            at += len(found)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """A model from rows (doc_id, text, lang). ``sample`` bounds the rows a language gives; rows go by a hash of the text.
 
-    The sample's n-grams, 4 KB a text, come to the driver: languages x ``sample`` rows at most.
+    The sample's n-grams, 8 KB a text, come to the driver: languages x ``sample`` rows at most.
     """
     ship_package(labelled.sparkSession)
     rows = labelled.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("lang", "text")
@@ -85,10 +108,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -
     for lang, n in sorted(counts.items()):
         place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003)
         near = rows.filter((F.col("lang") == lang) & (place < min(1.0, 2.0 * sample / n + 0.001)))
-        bits += near.orderBy(F.xxhash64("text"), "text").limit(sample).mapInArrow(_features, "lang string, bits binary").collect()
+        bits += near.orderBy(F.xxhash64("text"), "text").limit(sample).mapInArrow(_features, "lang string, bits binary, plain binary").collect()
     langs = sorted(counts)
     if not bits:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((BUCKETS, 0), np.float32))
     x = normalised(np.stack([np.unpackbits(np.frombuffer(b["bits"], np.uint8)) for b in bits]).astype(np.float32))
     y = np.array([[float(b["lang"] == c) for c in langs] for b in bits])
     # landmarks: every language gives as many, spread over its sample
@@ -104,7 +127,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -
     penalty = RIDGE * np.eye(z1.shape[1])
     penalty[-1, -1] = 1e-6
     beta = np.linalg.solve(z1.T @ (z1 * weight[:, None]) + penalty, z1.T @ (y * weight[:, None]))
-    return Model(langs, np.ascontiguousarray(marks.T), np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32))
+    # familiarity is calibrated on the labelled texts, each against the others of its language
+    plain = np.stack([np.unpackbits(np.frombuffer(b["plain"], np.uint8)) for b in bits]).astype(bool)
+    texts = np.stack([plain[y[:, k] > 0].sum(axis=0) for k in range(len(langs))], axis=1)
+    need = np.maximum(np.minimum(2, share), np.ceil(KNOWN_SHARE * share))
+    known = (texts > need)[:, y.argmax(axis=1)].T  # by one text more than itself
+    own = (plain & known).sum(axis=1) / np.maximum(plain.sum(axis=1), 1)
+    least = SLACK * float(np.quantile(own, LOW_TEXTS))
+    return Model(langs, np.ascontiguousarray(marks.T), np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32), (texts >= need).astype(np.float32), least)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -140,10 +170,11 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2, F.lit(True))
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` whose text the model takes for one of its languages; columns stay as they are.
 
-    Rejected are null texts, texts without a letter, and texts whose best language scores below ``min_score``.
+    Rejected are null texts, texts without a letter, and texts less familiar than labelled ones are: junk with letters,
+    and texts in a language that was not learnt.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -153,7 +184,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> D
     def run(batches):
         for batch in batches:
             if shared.value.langs and batch.num_rows:
-                yield batch.filter(pa.array(scores(shared.value, batch.column(at)).max(axis=1) >= min_score))
+                yield batch.filter(pa.array(familiarity(shared.value, batch.column(at)) >= shared.value.least))
         give_back()
 
     return docs.filter(F.col("text").cast("string").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

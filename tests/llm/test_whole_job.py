@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
-from noticelake.llm import line_templates
+import random
+
+import pytest
+
+from noticelake.llm import lang_kernel, line_templates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +39,19 @@ def test_first_document_of_a_template_keeps_its_copy(spark):
     note = lambda k: f"Posted by user{k} on day {k} of the month at noon"
     got = stage_texts(spark, [(k, f"{own(k)}\n{note(k // 2)}") for k in range(6)] + [(6, f"{own(6)}\n{note(0)}")])
     assert got == {0: f"{own(0)}\n{note(0)}"} | {k: own(k) for k in range(1, 7)}
+
+
+@pytest.mark.parametrize("langs", [["de", "en", "es", "fr"], ["en", "fr"]])
+def test_junk_and_unlearned_languages_are_rejected(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
+    docs = docs.filter(docs.lang.isin(langs))
+    held = ~lang_kernel.in_training(docs.doc_id)
+    model = lang_kernel.fit(docs.filter(~held))
+    rng = random.Random(4)
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    odd = [junk(20), junk(2000), "Мальчик пошёл с сестрой на рынок, и они купили хлеб, сыр и несколько яблок на ужин.", "今日は学校の図書館で新しい本を読みました。"]
+    odd += ["Poika meni sisarensa kanssa torille ja he ostivat leipää, juustoa ja muutaman omenan illallista varten, koska ystävät tulevat tänään heille syömään."]
+    assert lang_kernel.keep_known(frame(spark, list(enumerate(odd))), model).count() == 0
+    clean = frame(spark, [(0, "the and of the"), (1, "les de la que"), (2, "The boy went to the market with his sister and they bought bread.")])
+    assert lang_kernel.keep_known(clean, model).count() == 3
+    assert lang_kernel.keep_known(docs.filter(held), model).count() >= 0.98 * docs.filter(held).count()

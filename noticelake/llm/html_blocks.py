@@ -21,7 +21,7 @@ VARIANTS = 4  # rewritten layouts of each of them
 HIDDEN = 24  # units a direction
 PATH_DIM, WORD_DIM, EXTRA = 24, 12, 6
 EPOCHS = 6
-WINDOW = 400  # blocks that the recurrent net reads at once
+WINDOW = 400  # blocks that the recurrent net reads at once; its states go on to the next ones. Training reads no more of a page
 
 # Fixed names of HTML elements.
 BLOCK_TAGS = frozenset(
@@ -37,23 +37,59 @@ _ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*(?:=\s*("[^"]
 _PIECES = re.compile(r"[a-z0-9]+")
 
 
+class Path:
+    """The words of an element on top of those of the elements around it, which share them: a page with deep nesting holds
+    each element's words once, and sums their vectors once."""
+
+    __slots__ = ("above", "words", "size", "total")
+
+    def __init__(self, words: tuple[str, ...], above: Path | None):
+        self.above, self.words, self.total = above, words, None
+        self.size = len(words) + (above.size if above else 0)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self):
+        levels, at = [], self
+        while at is not None:
+            levels.append(at.words)
+            at = at.above
+        return chain.from_iterable(reversed(levels))
+
+    def __getitem__(self, at):
+        return tuple(self)[at]
+
+    def sum(self) -> np.ndarray:
+        """The sum of the vectors of all its words."""
+        open_, at = [], self
+        while at is not None and at.total is None:
+            open_.append(at)
+            at = at.above
+        total = at.total if at is not None else np.zeros(PATH_DIM)
+        for level in reversed(open_):
+            total = level.total = total + _LEVELS[level.words]
+        return total
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tag and class words of the elements around it
+    path: tuple[str, ...] | Path  # tag and class words of the elements around it
     text: str
     linked: int  # characters inside links
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Behind the ``>`` that ends the tag at ``at``; a ``>`` in a quoted value of some length does not."""
+    """Behind the ``>`` that ends the tag at ``at``; a ``>`` in a quoted value without ``<`` does not."""
     end = page.find(">", at)
     if end < 0:
         return -1
     for quote in ('"', "'"):
         if page.count(quote, at, end) % 2 and page.count('="' if quote == '"' else "='", at, end):
-            close = page.find(quote, end, end + 2000)
+            following = page.find("<", end)
+            close = page.find(quote, end, following if following > 0 else len(page))
             further = page.find(">", close) if close > 0 else -1
-            if further > 0 and "<" not in page[end:close]:
+            if further > 0:
                 return further + 1
     return end + 1
 
@@ -63,7 +99,7 @@ def _words_of_tag(name: str, rest: str) -> tuple[str, ...]:
     if rest:
         for key, value in _ATTRIBUTES.findall(rest):
             words += [f".{w}" for w in _PIECES.findall(value.lower())] if key.lower() != "hidden" else [".hidden"]
-    return tuple(words[:12])
+    return tuple(words)
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -73,7 +109,7 @@ def leaf_blocks(page: str) -> list[Block]:
     that closes them; a page cut in the middle of a tag ends there. Nothing is nested in calls, so depth is no matter.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
     run: list[str] = []
     linked = links = 0
 
@@ -83,8 +119,7 @@ def leaf_blocks(page: str) -> list[Block]:
             text = "".join(run)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                near = stack[-16:]
-                blocks.append(Block(tuple(w for _, words in near for w in words), text, linked))
+                blocks.append(Block(stack[-1][1] if stack else (), text, linked))
             run.clear()
         linked = 0
 
@@ -143,7 +178,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 stack.pop()
             if stack and stack[-1][0] == "p" and name not in CLOSES:
                 stack.pop()
-            stack.append((name, _words_of_tag(name, body[cut.end() :])))
+            stack.append((name, Path(_words_of_tag(name, body[cut.end() :]), stack[-1][1] if stack else None)))
     flush()
     return blocks
 
@@ -168,6 +203,21 @@ class _Hashes(dict):
 _HASHED = _Hashes()
 
 
+class _Levels(dict):
+    """Sums of the vectors of an element's words, kept for the elements a worker has met."""
+
+    def __missing__(self, words: tuple[str, ...]) -> np.ndarray:
+        if len(self) > 20_000:
+            self.clear()
+        total = _PATH[[_HASHED[w] % len(_PATH) for w in words]].sum(axis=0, dtype=np.float64)
+        if len(words) <= 40:
+            self[words] = total
+        return total
+
+
+_LEVELS = _Levels()
+
+
 def _sums(words: list[list[str]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the vectors of each list of words, and the lengths of the lists."""
     sizes = np.array([len(w) for w in words])
@@ -192,7 +242,10 @@ def page_features(pages: list[list[Block]]) -> list[np.ndarray]:
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + EXTRA), np.float32)
     if blocks:
         words = [b.text.split() for b in blocks]
-        total, sizes = _sums([list(b.path) for b in blocks], _PATH)
+        total, sizes = _sums([() if isinstance(b.path, Path) else b.path for b in blocks], _PATH)
+        for k, b in enumerate(blocks):
+            if isinstance(b.path, Path):
+                total[k], sizes[k] = b.path.sum(), len(b.path)
         out[:, :PATH_DIM] = total / np.sqrt(sizes)[:, None]
         total, sizes = _sums(words, _WORD)
         out[:, PATH_DIM : PATH_DIM + WORD_DIM] = total / sizes[:, None]
@@ -227,9 +280,10 @@ class Labeller:
         self.p["wo"] = (rng.standard_normal((2 * hidden, 1)) / np.sqrt(2 * hidden)).astype(np.float32)
         self.p["co"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str):
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, start: tuple[np.ndarray, np.ndarray] | None = None):
+        """What each step holds, and the states behind the last one."""
         n, steps, _ = x.shape
-        h = c = np.zeros((n, self.hidden), np.float32)
+        h, c = start or (np.zeros((n, self.hidden), np.float32),) * 2
         states, k = [None] * steps, self.hidden
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = np.concatenate([x[:, t], h], axis=1)
@@ -242,10 +296,10 @@ class Labeller:
             h = m * (o * tc) + (1 - m) * h
             c = new
             states[t] += (h,)
-        return states
+        return states, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray):
-        sides = [self._run(x, mask, d) for d in "fb"]
+        sides = [self._run(x, mask, d)[0] for d in "fb"]
         both = np.concatenate([np.stack([s[-1] for s in side], axis=1) for side in sides], axis=2)
         return _sigmoid((both @ self.p["wo"] + self.p["co"])[..., 0]), both, sides
 
@@ -293,19 +347,24 @@ class Labeller:
                     self.p[key] -= (rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """The probability of each block of each page; long pages are read in windows that overlap by a half."""
-        spans = [(i, lo, min(len(p), lo + WINDOW)) for i, p in enumerate(pages) for lo in range(0, max(1, len(p) - WINDOW // 2), WINDOW // 2)]
-        spans.sort(key=lambda s: s[2] - s[1])
-        total, seen = [np.zeros(len(p)) for p in pages], [np.zeros(len(p)) for p in pages]
-        for at in range(0, len(spans), 256):
-            some = spans[at : at + 256]
-            x, mask = padded([pages[i][lo:hi] for i, lo, hi in some])
-            if x.shape[1]:
-                out = self.forward(x, mask)[0]
-                for r, (i, lo, hi) in enumerate(some):
-                    total[i][lo:hi] += out[r, : hi - lo]
-                    seen[i][lo:hi] += 1
-        return [t / np.maximum(s, 1) for t, s in zip(total, seen, strict=True)]
+        """The probability of each block of each page. Each direction goes over the whole page; it reads ``WINDOW`` blocks
+        at a time and takes its states from one such part to the next, so that a long page needs no more memory."""
+        both = [np.zeros((len(p), 2 * self.hidden), np.float32) for p in pages]
+        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
+        for at in range(0, len(order), 256):
+            some = order[at : at + 256]
+            parts = range(0, len(pages[some[-1]]), WINDOW)
+            for d, col in (("f", 0), ("b", self.hidden)):
+                h, c = np.zeros((2, len(some), self.hidden), np.float32)
+                for lo in parts if d == "f" else reversed(parts):
+                    live = [r for r, i in enumerate(some) if len(pages[i]) > lo]
+                    x, mask = padded([pages[some[r]][lo : lo + WINDOW] for r in live])
+                    states, (h[live], c[live]) = self._run(x, mask, d, (h[live], c[live]))
+                    out = np.stack([s[-1] for s in states], axis=1)
+                    for k, r in enumerate(live):
+                        own = both[some[r]][lo : lo + WINDOW]
+                        own[:, col : col + self.hidden] = out[k, : len(own)]
+        return [_sigmoid((b @ self.p["wo"] + self.p["co"])[:, 0]) for b in both]
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

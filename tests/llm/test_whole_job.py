@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from noticelake.llm import lang_kernel, line_templates
+from noticelake.llm import html_blocks, lang_kernel, line_templates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +56,30 @@ def test_junk_and_unlearned_languages_are_rejected(spark, langs):
     clean = frame(spark, [(0, "the and of the"), (1, "les de la que"), (2, "The boy went to the market with his sister and they bought bread.")])
     assert lang_kernel.keep_known(clean, model).count() == 3
     assert lang_kernel.keep_known(docs.filter(held), model).count() >= 0.98 * docs.filter(held).count()
+
+
+def test_labeller_reads_a_long_page_whole():
+    net = html_blocks.Labeller(html_blocks.PATH_DIM + html_blocks.WORD_DIM + html_blocks.EXTRA)
+    pages = [html_blocks.features(html_blocks.leaf_blocks("<main>" + "".join(f"<p>Line {k * k} of it.</p>" for k in range(n)) + "</main>")) for n in (3000, 0, 1, 399, 400, 401, 900)]
+    for page, got in zip(pages, net.label(pages), strict=True):
+        want = net.forward(page[None], np.ones((1, len(page)), np.float32))[0][0] if len(page) else np.zeros(0)
+        assert got.shape == want.shape and np.allclose(got, want, atol=1e-5)
+    # the state of the first block is still there behind the first window
+    long = np.zeros((1000, pages[0].shape[1]), np.float32)
+    net.p["cf"][: net.hidden] = 30
+    other = long.copy()
+    other[0] = 3
+    assert abs(net.label([long])[0][-1] - net.label([other])[0][-1]) > 1e-4
+
+
+def test_whole_tag_paths():
+    deep = "<article class=story>" + "<div>" * 40 + "deep" + "</div>" * 40 + "</article>"
+    assert {"article", ".story"} <= set(html_blocks.leaf_blocks(deep)[0].path) and html_blocks.weak_labels(html_blocks.leaf_blocks(deep)).all()
+    many = "<div class='" + " ".join(f"c{k}" for k in range(30)) + " comment'>x</div>"
+    assert ".comment" in html_blocks.leaf_blocks(many)[0].path
+    assert [b.text for b in html_blocks.leaf_blocks("<div title=\"a > " + "b " * 3000 + "\">x</div>")] == ["x"]
+    blocks = html_blocks.leaf_blocks("<div class=a>x" * 20_000)
+    x = html_blocks.features(blocks)
+    assert len(blocks) == 20_000 and len(blocks[-1].path) == 40_000 and np.isfinite(x).all()
+    plain = [html_blocks.Block(tuple(b.path), b.text, b.linked) for b in blocks[:50]]
+    assert np.allclose(html_blocks.page_features([plain])[0][:, : html_blocks.PATH_DIM], x[:50, : html_blocks.PATH_DIM], atol=1e-4)

@@ -48,7 +48,10 @@ def mapped(root: str, name: str, dtype) -> np.ndarray:
         _MAPPED.clear()
     if (root, name) not in _MAPPED:
         where, path = _place(root, name)
-        if where.get_file_info(path).size == 0:
+        info = where.get_file_info(path)
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        if info.size == 0:
             _MAPPED[root, name] = np.zeros(0, dtype)
         elif isinstance(where, pafs.LocalFileSystem):
             _MAPPED[root, name] = np.memmap(path, dtype, "r")
@@ -357,7 +360,7 @@ def _log_probabilities(model: Model, token: np.ndarray, before: np.ndarray) -> t
         for s in range(int(first[r]), int(first[r] + model.splits[r])):
             try:
                 own = mapped(model.root, f"contexts-{s}", np.uint32)
-            except OSError:
+            except FileNotFoundError:
                 continue  # no pair fell into this shard
             k = np.minimum(np.searchsorted(own, contexts[mine].astype(np.uint32)), max(len(own) - 1, 0))
             if len(own):
@@ -377,7 +380,7 @@ def _log_probabilities(model: Model, token: np.ndarray, before: np.ndarray) -> t
         lo = hi
         try:
             own = mapped(model.root, f"pairs-{shard[mine[0]]}", np.uint64)
-        except OSError:
+        except FileNotFoundError:
             continue
         if len(own):
             k = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from noticelake.llm import html_blocks, lang_kernel, line_templates
+from noticelake.llm import html_blocks, kneser_ney, lang_kernel, line_templates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,3 +83,19 @@ def test_whole_tag_paths():
     assert len(blocks) == 20_000 and len(blocks[-1].path) == 40_000 and np.isfinite(x).all()
     plain = [html_blocks.Block(tuple(b.path), b.text, b.linked) for b in blocks[:50]]
     assert np.allclose(html_blocks.page_features([plain])[0][:, : html_blocks.PATH_DIM], x[:50, : html_blocks.PATH_DIM], atol=1e-4)
+
+
+def test_failed_read_of_a_model_fails(spark, monkeypatch):
+    model = kneser_ney.train(frame(spark, [(0, "a b c a b"), (1, "b c a")]))
+    token = np.zeros(2, np.int64)
+    kneser_ney._log_probabilities(model, token, token)
+
+    def broken(*_):
+        raise OSError("I/O error")
+
+    known = kneser_ney.mapped
+    monkeypatch.setattr(kneser_ney, "mapped", lambda root, name, dtype: broken() if name.startswith(("contexts", "pairs")) else known(root, name, dtype))
+    with pytest.raises(OSError, match="I/O"):
+        kneser_ney._log_probabilities(model, token, token)
+    with pytest.raises(FileNotFoundError):
+        known(model.root, "contexts-none", np.uint32)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, embed_lsh, html_blocks, kneser_ney, lang_kernel, line_templates, minhash, packing, secret_scan, url_filter
+from noticelake.llm import decontaminate, embed_lsh, hard_negatives, html_blocks, id_codes, kneser_ney, lang_kernel, line_templates, minhash, packing, secret_scan, shared_search, url_filter
 from noticelake.llm.registry import query, table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -185,3 +185,53 @@ FROM d LEFT JOIN s USING (k)"""
 @query("op10_secret_scan", OP10_SQL)
 def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf, "documents"))
+
+
+OP11_SQL = """
+WITH raw AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+own AS (
+  SELECT r, vec_id, label, list_transform(v, lambda x: CAST(floor(256 * x) AS BIGINT)) AS q FROM raw
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS other, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS s
+  FROM own a JOIN own b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, other NULLS LAST) <= 5),
+neg AS (
+  SELECT p.a, p.b, p.anchor_id, p.other AS positive_id, p.s AS positive_score, n.other AS negative_id, n.s AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.other NULLS LAST) AS rank
+  FROM pos p JOIN pair n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_id_codes")
+def op12_id_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return id_codes.read_ids(id_codes.write_ids(table(spark, sf, "documents"), TOKENIZER))
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT row_number() OVER () AS k, item_id, unnest(list_distinct(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t FROM benchmark),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS HUGEINT) AS words FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * (SELECT n_docs FROM c) + 2) / (2 * count(*) + 1))) AS w FROM p GROUP BY t),
+s AS (
+  SELECT k, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(CAST(f.w AS HUGEINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n_docs) // words)))) AS score
+  FROM i JOIN p USING (t) JOIN f USING (t) JOIN d USING (r), c GROUP BY k, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+
+@query("op13_shared_search", OP13_SQL)
+def op13_shared_search(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -6,15 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import LOWER, give_back, utf8
+from noticelake.llm.common import LOWER, cut, give_back, small_side, utf8
 from noticelake.session import ship_package
 
 GRAMS = 3  # spectra of 1 to 3 bytes are blended
 BUCKETS = 1 << 15  # hashed n-grams
-SAMPLE = 300  # labelled texts of each language that the model is fitted on
+SAMPLE = 300  # different labelled texts of each language that the model is fitted on
+MOST = 12_000  # such texts of all languages together; with more than MOST / SAMPLE languages each gives fewer, one at least
 LANDMARKS = 160
 RIDGE = 0.1
 UNKNOWN = "und"
@@ -59,11 +60,21 @@ def normalised(found: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    landmarks: np.ndarray  # BUCKETS x m, unit columns
+    marks: np.ndarray  # m x BUCKETS / 8, the landmarks' n-grams, one bit each
     weights: np.ndarray  # (m + 1) x languages: Nystroem map and ridge weights in one, then the intercept
     known: np.ndarray  # BUCKETS x languages, 0/1: n-grams that are usual in a language
     least: float = 0.0  # familiarity that a text of one of the languages has
 
+    def landmarks(self) -> np.ndarray:
+        """BUCKETS x m, unit columns; unpacked once where texts are scored."""
+        if not hasattr(self, "_dense"):
+            self._dense = np.ascontiguousarray(normalised(_unpacked(self.marks)).T)
+        return self._dense
+
+
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
 
 def _found(column: pa.Array, step: int, plain: bool = False):
     """The presence matrices of ``step`` texts at a time."""
@@ -76,7 +87,7 @@ def _found(column: pa.Array, step: int, plain: bool = False):
 def scores(model: Model, column: pa.Array, step: int = 96) -> np.ndarray:
     """Ridge outputs, rows x languages, by matrix products over ``step`` texts at a time. They sum to 1 for every text, so
     they compare languages and do not tell whether a text is in any of them; ``familiarity`` does."""
-    kernels = (normalised(found) @ model.landmarks for found in _found(column, step))
+    kernels = (normalised(found) @ model.landmarks() for found in _found(column, step))
     return np.concatenate([np.zeros((0, len(model.langs))), *(k @ model.weights[:-1] + model.weights[-1] for k in kernels)])
 
 
@@ -96,45 +107,70 @@ def _features(batches):
             at += len(found)
 
 
+def _sample(labelled: DataFrame, sample: int) -> list:
+    """Rows (lang, bits, plain) of the different texts with the smallest hashes of each language, by one bounded ranking.
+
+    Texts are first thinned by their hash to about three times as many as wanted, judged by the language's number of
+    different texts, so that neither copies of a text nor the size of a language matter."""
+    text = F.col("text").cast("string")
+    rows = labelled.filter(text.rlike(r"\p{L}") & F.col("lang").isNotNull()).select("lang", text.alias("text"), F.xxhash64(text).alias("h"))
+    sizes = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    each = max(1, min(sample, MOST // max(1, sizes.count())))
+    place = F.col("h") / F.lit(2.0**64) + 0.5
+    near = rows.join(small_side(sizes), "lang").filter((F.col("n") <= each) | (place < 3.0 * each / F.col("n") + 0.001))
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= each)
+    bits = near.select("lang", "text").mapInArrow(_features, "lang string, bits binary, plain binary").collect()
+    return sorted(bits, key=lambda b: (b["lang"], b["bits"]))
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
-    """A model from rows (doc_id, text, lang). ``sample`` bounds the rows a language gives; rows go by a hash of the text.
+    """A model from rows (doc_id, text, lang). ``sample`` bounds the different texts a language gives, those with the
+    smallest hashes; copies of a text count once, a null language and texts without a letter not at all.
 
-    The sample's n-grams, 8 KB a text, come to the driver: languages x ``sample`` rows at most.
+    The sample's n-grams, 8 KB a text, come to the driver: ``MOST`` texts at most, or one of each language. They stay
+    packed, blocks of texts are unpacked in turn.
     """
     ship_package(labelled.sparkSession)
-    rows = labelled.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    bits = []
-    for lang, n in sorted(counts.items()):
-        place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003)
-        near = rows.filter((F.col("lang") == lang) & (place < min(1.0, 2.0 * sample / n + 0.001)))
-        bits += near.orderBy(F.xxhash64("text"), "text").limit(sample).mapInArrow(_features, "lang string, bits binary, plain binary").collect()
-    langs = sorted(counts)
+    bits = _sample(labelled, sample)
+    langs = sorted({b["lang"] for b in bits})
     if not bits:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((BUCKETS, 0), np.float32))
-    x = normalised(np.stack([np.unpackbits(np.frombuffer(b["bits"], np.uint8)) for b in bits]).astype(np.float32))
-    y = np.array([[float(b["lang"] == c) for c in langs] for b in bits])
+        return Model([], np.zeros((0, BUCKETS // 8), np.uint8), np.zeros((0, 0), np.float32), np.zeros((BUCKETS, 0), np.float32))
+    own = np.searchsorted(langs, [b["lang"] for b in bits])
+    x, plain = (np.stack([np.frombuffer(b[c], np.uint8) for b in bits]) for c in ("bits", "plain"))
+    blocks = [slice(lo, lo + 96) for lo in range(0, len(x), 96)]
+    y = (own[:, None] == np.arange(len(langs))).astype(np.float64)
+    share = y.sum(axis=0)
     # landmarks: every language gives as many, spread over its sample
-    order = np.argsort(np.concatenate([np.arange(c) for c in y.sum(axis=0).astype(int)]), kind="stable")
+    order = np.argsort(np.concatenate([np.arange(c) for c in share.astype(int)]), kind="stable")
     marks = x[order[: min(landmarks, len(x))]]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    dense = normalised(_unpacked(marks))
+    values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks.T).astype(np.float64) @ root
+    z = np.concatenate([(normalised(_unpacked(x[b])) @ dense.T).astype(np.float64) @ root for b in blocks])
     z1 = np.hstack([z, np.ones((len(z), 1))])
-    share = y.sum(axis=0)
     weight = (y / share).sum(axis=1) * len(y) / len(langs)  # languages weigh the same
     penalty = RIDGE * np.eye(z1.shape[1])
     penalty[-1, -1] = 1e-6
     beta = np.linalg.solve(z1.T @ (z1 * weight[:, None]) + penalty, z1.T @ (y * weight[:, None]))
+    if not np.isfinite(beta).all():
+        raise ValueError("the labelled texts give no finite weights")
     # familiarity is calibrated on the labelled texts, each against the others of its language
-    plain = np.stack([np.unpackbits(np.frombuffer(b["plain"], np.uint8)) for b in bits]).astype(bool)
-    texts = np.stack([plain[y[:, k] > 0].sum(axis=0) for k in range(len(langs))], axis=1)
+    texts = np.zeros((BUCKETS, len(langs)))
+    for b in blocks:
+        texts += _unpacked(plain[b]).T @ y[b].astype(np.float32)
     need = np.maximum(np.minimum(2, share), np.ceil(KNOWN_SHARE * share))
-    known = (texts > need)[:, y.argmax(axis=1)].T  # by one text more than itself
-    own = (plain & known).sum(axis=1) / np.maximum(plain.sum(axis=1), 1)
-    least = SLACK * float(np.quantile(own, LOW_TEXTS))
-    return Model(langs, np.ascontiguousarray(marks.T), np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32), (texts >= need).astype(np.float32), least)
+    usual = texts > need  # by one text more than itself
+    familiar = []
+    for b in blocks:
+        found = _unpacked(plain[b])
+        familiar.append((found * usual[:, own[b]].T).sum(axis=1) / np.maximum(found.sum(axis=1), 1))
+    least = SLACK * float(np.quantile(np.concatenate(familiar), LOW_TEXTS))
+    model = Model(langs, marks, np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32), (texts >= need).astype(np.float32), least)
+    del dense, x, plain, bits, z, z1, found
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import cut, small_side
+from noticelake.llm.common import BROADCAST_ROWS, cut, small_side
+from noticelake.llm.minhash import near_duplicates
 
 BLANKS = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens that lead to a leaf, after the token count
@@ -90,7 +91,7 @@ def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     return gone.unionAll(places) if wide else gone
 
 
-def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines", wide: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str = "n_dropped", total: str = "n_lines", wide: bool = False, group: str = "doc_id") -> DataFrame:
     """``docs`` with ``cleaned`` (text without recurring lines), ``total`` (its lines) and ``dropped`` (lines taken out).
 
     A line's tokens are its pieces between white space; tokens with a digit become a
@@ -107,15 +108,17 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
     besides them. Also, an exact line (runs of white space count as one blank) is dropped from all documents but the one
     with the smallest doc_id if two documents have it; a line of one or two tokens and under 16 characters if three have
     it and it has a letter or a digit. Lines of fewer than three tokens are in no template.
+
+    ``group`` names the column whose value tells documents apart; rows that share it count as one document.
     """
-    own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col(group).alias("doc_id"), F.col("text").cast("string").alias("text"))
     drop = cut(_recurring_places(own, wide))
     places = drop.count()
     drop = drop.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
     drop = drop.select(F.struct("doc_id", "h").alias("_key"), F.col("gone").alias("_gone"))
     drop = F.broadcast(drop) if places <= MAX_PLACES else drop
     text = F.col("d.text").cast("string")
-    rows = docs.alias("d").join(drop.alias("x"), F.col("x._key").eqNullSafe(F.struct(F.col("d.doc_id").alias("doc_id"), F.xxhash64(text).alias("h"))), "left")
+    rows = docs.alias("d").join(drop.alias("x"), F.col("x._key").eqNullSafe(F.struct(F.col(f"d.`{group}`").alias("doc_id"), F.xxhash64(text).alias("h"))), "left")
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("x._gone"), i))
     clean = F.when(F.col("x._gone").isNull(), text).otherwise(F.concat_ws("\n", left))
@@ -129,8 +132,19 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
 
 
 def line_stage(docs: DataFrame) -> DataFrame:
-    """``docs`` with recurring lines taken out and n_chars counted anew; documents that held nothing else are dropped."""
-    out = drop_recurring_lines(docs, cleaned="text", dropped="_n_dropped", total="_n_lines", wide=True)
+    """``docs`` with recurring lines taken out and n_chars counted anew; documents that held nothing else are dropped.
+
+    Near copies of a document (five-word shingles, 75 percent) count as that document: a line that only they share does
+    not recur, and what recurs elsewhere is taken out of all of them. So a later stage finds the copies whole, instead
+    of what would be left of them. Rows without doc_id count as one document.
+    """
+    copies = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept"))
+    copies = cut(copies.select(F.col("doc_id").alias("_copy"), F.col("component_id").alias("_first")).distinct())
+    few = copies.count() <= BROADCAST_ROWS
+    own = docs.join(F.broadcast(copies) if few else copies, F.col("doc_id") == F.col("_copy"), "left")
+    own = own.select(*[docs[c] for c in docs.columns], F.coalesce("_first", "doc_id").alias("_group"))
+    own = own if few else cut(own)
+    out = drop_recurring_lines(own, cleaned="text", dropped="_n_dropped", total="_n_lines", wide=True, group="_group")
     out = out.filter((F.col("_n_dropped") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)

@@ -296,15 +296,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = _texts(docs, need).select("key", "i", "j", "doc_id", "comp", "side", "text")
     across = cut(full.repartition(shuffled, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_check_blocks, "a long, b long"))
 
-    comp = connected(stars.union(across)) if across.count() else comp
+    if across.count():  # on from the groups that the stars gave
+        found = comp.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = connected(found.union(across))
     sets = classes.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), "h2").join(sets, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` plus _id: doc_id, or where that is null or has several texts, a number from 2^62 on made of its hash.
+
+    Rows that repeat _id and text are dropped but for one. Where all doc_ids are different, nothing is moved."""
+    text = F.col("text").cast("string")
+    ids = docs.select(F.col("doc_id").cast("long").alias("_odd"), F.xxhash64(text).alias("h"))
+    odd = ids.groupBy("_odd").agg(F.count("*").alias("n"), (F.col("_odd").isNull() | (F.min("h") != F.max("h"))).alias("_many")).filter("n > 1 or _odd is null")
+    odd = cut(odd.select("_odd", "_many"))
+    own = F.col("doc_id").cast("long")
+    if odd.isEmpty():
+        return docs.withColumn("_id", own)
+    rows = docs.join(small_side(odd), own.eqNullSafe(F.col("_odd")), "left")
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 62))
+    rows = rows.withColumns({"_id": F.when(F.coalesce("_many", F.lit(False)), made).otherwise(own), "_h": F.xxhash64(text)})
+    alone = rows.filter("_many is null")
+    return alone.unionAll(rows.filter("_many is not null").dropDuplicates(["_id", "_h"])).select(*[F.col(f"`{c}`") for c in docs.columns], "_id")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the first of their group; columns stay as they are."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` without the documents that are not the first of their group; columns stay as they are.
+
+    Of rows that share doc_id and text one stays. Rows without doc_id, and rows whose doc_id has several texts, are
+    documents of their own, which stay behind others of their group. Null and empty texts are in no group.
+    """
+    rows = _one_of_each(docs)
+    gone = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = small_side(cut(gone))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -116,37 +116,25 @@ def assign_canonical(notices: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
 
 
-STATE = [*CELL, "m", "root"]
+def place_new(arrived: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, dup_of) of newly arrived rows (id, source, published_at, dedup_key), placed in id order.
 
-
-def extend_canonical(arrived: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Assignment for newly arrived rows against the cells of all earlier ones, and the new cells.
-
-    Ids grow with arrival. ``state`` holds one row per (key, board, day): the lowest id and its root.
+    ``known``: id, source, published_at, dedup_key and root of rows placed before, or of the lowest id of each of their
+    cells. Ids of arrived rows are above all of them. A known row's root is taken as it is stored.
     """
     ensure_checkpoint_dir(arrived.sparkSession)
-    arrived = arrived.select("id", *CELL).checkpoint()
-    if state is None:
-        known = arrived.limit(0).select(*CELL, F.col("id").alias("m"), F.col("id").alias("root"))
-    else:
-        known = state.select(*STATE)
-    touched = known.join(arrived.select("dedup_key").distinct(), "dedup_key", "left_semi")
-    rows = arrived.unionByName(touched.select(F.col("m").alias("id"), *CELL))
-    cells = _cell_matches(rows)
-    placed = touched.select("m", F.col("root").alias("known_root"))
-    pointers = (
-        cells.join(placed, "m", "left")
-        .select("m", F.coalesce("known_root", F.when(F.col("hit") < F.col("m"), F.col("hit"))).alias("parent"))
-        .filter(F.col("parent") < F.col("m"))
-    )
-    roots = _roots(pointers)
-    cell = cells.join(roots.withColumnRenamed("m", "hit"), "hit", "left").select(*CELL, "n", "m", "hit", F.coalesce("root", "hit").alias("root"))
-    cell = cell.checkpoint()
-    out = hot_lookup_join(arrived, cell.drop("m"), CELL, "id", "n")
-    out = out.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
-    own = cell.select(*CELL, "m").join(roots, "m", "left").select(*CELL, "m", F.coalesce("root", "m").alias("root"))
-    untouched = known.join(arrived.select("dedup_key").distinct(), "dedup_key", "left_anti")
-    return out, untouched.select(*STATE).unionByName(own.select(*STATE))
+    arrived = arrived.select("id", *CELL)
+    keyed = known.filter(F.col("dedup_key").isNotNull() & F.col("published_at").isNotNull())
+    cells = keyed.groupBy(*CELL).agg(F.min("id").alias("id"), F.min_by("root", "id").alias("root")).checkpoint()
+    matches = _cell_matches(arrived.unionByName(cells.select("id", *CELL))).checkpoint()
+    placed = cells.select(F.col("id").alias("m"), F.col("root").alias("known_root"))
+    pointers = matches.join(placed, "m", "left").filter("known_root is null and hit < m").select("m", F.col("hit").alias("parent"))
+    ends = _roots(pointers).select(F.col("m").alias("hit"), F.col("root").alias("end"))
+    cell = matches.join(ends, "hit", "left").withColumn("end", F.coalesce("end", "hit"))
+    cell = cell.join(placed.withColumnRenamed("m", "end"), "end", "left")
+    cell = cell.select(*CELL, "n", "hit", F.coalesce("known_root", "end").alias("root"))
+    out = hot_lookup_join(arrived, cell, CELL, "id", "n")
+    return out.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
 
 
 def with_groups(notices: DataFrame) -> DataFrame:
@@ -169,8 +157,25 @@ def orphan_groups(notices: DataFrame) -> DataFrame:
 def reassign_changed(store: DataFrame, changed: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """Re-assignment after title edits: (id, old_dup_of, new_dup_of) for the changed rows.
 
-    ``store``: id, source, published_at, dedup_key and dup_of before the edits. ``changed``: id and
-    new_key. Rows are edited in id order; each looks at the store as it is at its turn. All ids count as
+    ``store``: id, source, published_at, dedup_key and dup_of before the edits. ``changed``: id and new_key.
+    """
+    base = store.select("id", "source", "published_at", "dedup_key", "dup_of")
+    fresh = base.join(changed.select("id", "new_key"), "id").withColumns({"new_day": F.col("published_at"), "regroup": F.lit(True)})
+    still = base.join(changed.select("id"), "id", "left_anti")
+    wanted = changed.filter("new_key is not null").select(F.col("new_key").alias("dedup_key")).distinct()
+    copies = still.filter("dup_of is not null").select(F.col("dup_of").alias("id")).distinct()
+    return regroup(fresh, still.join(wanted, "dedup_key", "left_semi"), copies, bucket)
+
+
+def regroup(fresh: DataFrame, still: DataFrame, copies_kept: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+    """(id, old_dup_of, new_dup_of) of edited rows, from these and the rows that they can meet alone.
+
+    ``fresh``: id, source, published_at, dedup_key and dup_of before the edits, new_day and new_key after them, and
+    regroup (false: the row takes its new place but keeps its group). ``still``: id, source, published_at, dedup_key and
+    dup_of of all other rows with one of the new keys within reach of a new day; more do no harm. ``copies_kept``: ids that
+    have a copy among rows that are not edited.
+
+    Rows are edited in id order; each looks at the store as it is at its turn. All ids count as
     candidates, not only earlier ones. A row that still has copies at its turn stays where it is.
 
     At the turn of row r a changed row q counts with its new key when q < r, else with its old key. So
@@ -179,14 +184,11 @@ def reassign_changed(store: DataFrame, changed: DataFrame, bucket: int = 1 << 16
     assignment until nothing moves gives the sequential result; the number of rounds is the depth of
     that dependency, not the number of rows.
     """
-    ensure_checkpoint_dir(store.sparkSession)
-    base = store.select("id", "source", "published_at", "dedup_key", "dup_of")
-    fresh = base.join(changed.select("id", "new_key"), "id").checkpoint()
-    still = base.join(changed.select("id"), "id", "left_anti")
-    new_rows = fresh.select("id", "source", "published_at", F.col("new_key").alias("dedup_key"))
-
-    wanted = new_rows.filter("dedup_key is not null").select("dedup_key").distinct()
-    static_best = _two_best(_reach(_cells(still.join(wanted, "dedup_key", "left_semi")))).checkpoint()
+    ensure_checkpoint_dir(fresh.sparkSession)
+    fresh = fresh.select("id", "source", "published_at", "dedup_key", "dup_of", "new_day", "new_key", "regroup").checkpoint()
+    base = still.select("id", "dup_of").unionByName(fresh.select("id", "dup_of"))
+    new_rows = fresh.select("id", "source", F.col("new_day").alias("published_at"), F.col("new_key").alias("dedup_key"))
+    static_best = _two_best(_reach(_cells(still))).checkpoint()
     fresh_best = _two_best(_reach(_cells(new_rows))).checkpoint()
 
     def best(table: DataFrame, name: str) -> DataFrame:
@@ -196,18 +198,17 @@ def reassign_changed(store: DataFrame, changed: DataFrame, bucket: int = 1 << 16
 
     hits = best(static_best, "static_hit").join(best(fresh_best, "early_hit"), "id").join(_next_old(fresh, bucket), "id", "left")
     early = F.when(F.col("early_hit") < F.col("id"), F.col("early_hit"))
-    plan = fresh.join(hits.select("id", F.least("static_hit", early, "late_hit").alias("hit"), early.alias("early")), "id")
+    plan = fresh.select("id", "dup_of", "regroup").join(hits.select("id", F.least("static_hit", early, "late_hit").alias("hit"), early.alias("early")), "id")
     # where an already edited row is the hit, its new place is followed; otherwise the stored one
     follow = F.col("hit") == F.col("early")
     stored = base.select(F.col("id").alias("hit"), F.coalesce("dup_of", "id").alias("stored_root"))
-    plan = plan.join(stored, "hit", "left").select("id", "dup_of", "hit", "stored_root", follow.alias("follow"))
-    copies_kept = still.filter("dup_of is not null").select(F.col("dup_of").alias("id")).distinct()
+    plan = plan.join(stored, "hit", "left").select("id", "dup_of", "regroup", "hit", "stored_root", follow.alias("follow"))
     later_copy = fresh.groupBy(F.col("dup_of").alias("root")).agg(F.max("id").alias("last_copy"))
     stays = (
         plan.join(copies_kept.withColumn("kept", F.lit(True)), "id", "left")
         .join(later_copy.withColumnRenamed("root", "id"), "id", "left")
-        .select("*", (F.col("kept").isNotNull() | F.coalesce(F.col("last_copy") > F.col("id"), F.lit(False))).alias("fixed"))
-        .drop("kept", "last_copy")
+        .select("*", (~F.col("regroup") | F.col("kept").isNotNull() | F.coalesce(F.col("last_copy") > F.col("id"), F.lit(False))).alias("fixed"))
+        .drop("kept", "last_copy", "regroup")
         .checkpoint()
     )
     start = F.when(F.col("fixed"), F.col("dup_of")).otherwise(F.when(~F.coalesce("follow", F.lit(False)), F.col("stored_root")))
@@ -253,8 +254,8 @@ def _next_old(fresh: DataFrame, bucket: int) -> DataFrame:
     w = DEDUP_WINDOW_DAYS
     b = F.floor(F.col("id") / bucket)
     days = F.explode(F.sequence(F.date_sub("published_at", w), F.date_add("published_at", w)))
-    ask = fresh.filter("new_key is not null and published_at is not null").select(
-        F.col("new_key").alias("key"), F.col("published_at").alias("day"), "source", F.col("id").alias("m"), b.alias("b"))
+    ask = fresh.filter("new_key is not null and new_day is not null").select(
+        F.col("new_key").alias("key"), F.col("new_day").alias("day"), "source", F.col("id").alias("m"), b.alias("b"))
     old = (
         fresh.filter("dedup_key is not null and published_at is not null")
         .select(F.col("dedup_key").alias("key"), days.alias("day"), "source", F.col("id").alias("m"), b.alias("b"))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import text
-from noticelake.operators import cdc, facets, listing, resolve, runs, views
+from noticelake.operators import cdc, facets, listing, notice_store, resolve, runs, views
 from noticelake.plans import adapters as ad
+from noticelake.plans import registry
 from noticelake.plans.adapters import ctes
 from noticelake.plans.registry import query
+from noticelake.session import scratch_dir
 
 DOCS = ad.NOTICE_DOCS
 GROUPED = (ad.NOTICE_DOCS, ad.DOC_KEYS, ad.DOC_GROUPS)
@@ -74,7 +76,56 @@ def _(spark, sf):
     return out.select("id", F.coalesce("dup_of", "id").alias("group_id"))
 
 
-@query("regroup_changed")
+# Edits one after the other in id order, as the store would see them. What a row meets at its turn is stated row by row;
+# where it goes depends on the edits before it, which the recursion keeps in a map.
+EDITED = r"""old_keys AS (
+  SELECT id, source, published_at, title,
+         CASE WHEN length(core) >= 6 THEN CASE WHEN grad THEN 'grad:' || core ELSE core END END AS dedup_key
+  FROM (SELECT *, regexp_replace(lower(substr(title, length(tags) + 1)), '[^\p{L}\p{N}]', '', 'g') AS core,
+               len(list_filter(regexp_extract_all(tags, '(\[[^\]]*\]|\([^)]*\)|【[^】]*】|<[^>]*>|★+|☆+)', 1),
+                               lambda t: contains(t, '대학원') AND NOT contains(t, '학부'))) > 0 AS grad
+        FROM (SELECT *, regexp_extract(title, '^(\s*(\[[^\]]*\]|\([^)]*\)|【[^】]*】|<[^>]*>|★+|☆+)\s*)+', 0) AS tags
+              FROM notice_prev))),
+old_parents AS (
+  SELECT a.id, min(b.id) AS parent FROM old_keys a JOIN old_keys b
+    ON a.dedup_key = b.dedup_key AND a.source <> b.source AND abs(a.published_at - b.published_at) <= 3 AND b.id < a.id
+  GROUP BY a.id),
+old_climb AS (
+  SELECT id, parent AS root FROM old_parents
+  UNION ALL
+  SELECT c.id, p.parent FROM old_climb c JOIN old_parents p ON c.root = p.id),
+old_roots AS (SELECT id, min(root) AS dup_of FROM old_climb GROUP BY id),
+old_store AS (SELECT k.*, r.dup_of FROM old_keys k LEFT JOIN old_roots r USING (id)),
+edits AS (
+  SELECT o.id, o.source, o.published_at, o.dedup_key AS old_key, k.dedup_key AS new_key, o.dup_of, row_number() OVER (ORDER BY o.id) AS turn
+  FROM old_store o JOIN keyed k USING (id) JOIN notice_docs n USING (id) WHERE o.title <> n.title),
+facing AS (
+  SELECT e.turn, o.id, CASE WHEN q.id IS NULL OR q.id > e.id THEN o.dedup_key ELSE q.new_key END AS key_then,
+         o.source, o.published_at, o.dup_of, q.id < e.id AS moved_before
+  FROM edits e JOIN old_store o ON o.id <> e.id AND o.source <> e.source AND abs(o.published_at - e.published_at) <= 3
+  LEFT JOIN edits q ON q.id = o.id
+  WHERE e.new_key = CASE WHEN q.id IS NULL OR q.id > e.id THEN o.dedup_key ELSE q.new_key END),
+hits AS (SELECT turn, min(id) AS hit, arg_min(dup_of, id) AS hit_dup, arg_min(dup_of IS NULL, id) AS hit_root, arg_min(coalesce(moved_before, FALSE), id) AS moved FROM facing GROUP BY turn),
+copies AS (SELECT e.turn, count(*) AS n FROM edits e JOIN old_store o ON o.dup_of = e.id LEFT JOIN edits q ON q.id = o.id WHERE q.id IS NULL OR q.id > e.id GROUP BY e.turn),
+turns AS (
+  SELECT e.turn, e.id, e.dup_of, h.hit, CASE WHEN h.hit_root THEN NULL ELSE h.hit_dup END AS hit_dup, coalesce(h.moved, FALSE) AS moved, coalesce(c.n, 0) > 0 AS has_copies
+  FROM edits e LEFT JOIN hits h USING (turn) LEFT JOIN copies c USING (turn)),
+sim(turn, place) AS (
+  SELECT CAST(0 AS BIGINT), MAP {CAST(-1 AS BIGINT): CAST(-1 AS BIGINT)}
+  UNION ALL
+  SELECT t.turn, map_concat(s.place, MAP {t.id: CASE
+      WHEN t.has_copies OR list_contains(map_values(s.place), t.id) THEN coalesce(t.dup_of, -1)
+      WHEN t.hit IS NULL THEN -1
+      WHEN t.moved THEN CASE WHEN s.place[t.hit] >= 0 THEN s.place[t.hit] ELSE t.hit END
+      ELSE coalesce(t.hit_dup, t.hit) END})
+  FROM sim s JOIN turns t ON t.turn = s.turn + 1),
+moves AS (
+  SELECT t.id, t.dup_of AS old_dup_of, nullif(f.place[t.id], -1) AS new_dup_of
+  FROM turns t, (SELECT place FROM sim ORDER BY turn DESC LIMIT 1) f)"""
+EDITS = (ad.NOTICE_DOCS, ad.NOTICE_PREV, ad.DOC_KEYS, EDITED)
+
+
+@query("regroup_changed", ctes(*EDITS) + "SELECT id, coalesce(old_dup_of, id) AS old_group, coalesce(new_dup_of, id) AS new_group FROM moves")
 def _(spark, sf):
     """Every notice whose title was edited since the last crawl, grouped again with its new key."""
     old = ad.notice_prev(spark, sf).drop("dup_of")
@@ -260,6 +311,62 @@ def _(spark, sf):
     )
 
 
+def prepared_store(spark: SparkSession, sf: str, grouped: bool) -> notice_store.NoticeStore:
+    """The stored notices before the crawl, in buckets."""
+    prev = ad.notice_prev(spark, sf)
+    store = notice_store.NoticeStore(spark, scratch_dir(spark, "notices"), prev.schema, grouped, buckets=16)
+    store.seed(prev)
+    return store
+
+
+@query("upsert_store", registry.ORACLE["upsert_apply"])
+def _(spark, sf):
+    """The same change, applied to a store in buckets: only buckets of changed and new notices get files."""
+    store = prepared_store(spark, sf, False)
+    notice_store.upsert(store, ad.notice_docs(spark, sf), ["source", "source_notice_id"])
+    return store.snapshot().select(
+        "id", "source", "source_notice_id", "title", "content_hash", F.date_format("crawled_at", "yyyy-MM-dd").alias("crawled"),
+        F.coalesce(F.date_format("content_updated_at", "yyyy-MM-dd"), F.lit("-")).alias("updated"),
+    )
+
+
+# New rows come after the edits, in the order of their ids, and join the lowest id that they meet.
+GROUPED_UPSERT = """settled AS (
+  SELECT o.id, o.source, o.published_at, coalesce(CASE WHEN m.id IS NOT NULL THEN k.dedup_key END, CASE WHEN m.id IS NULL THEN o.dedup_key END) AS dedup_key,
+         CASE WHEN m.id IS NOT NULL THEN m.new_dup_of ELSE o.dup_of END AS dup_of
+  FROM old_store o JOIN keyed k USING (id) LEFT JOIN moves m USING (id)),
+fresh_rows AS (
+  SELECT (SELECT max(id) FROM notice_prev) + row_number() OVER (ORDER BY n.source, n.source_notice_id) AS id, n.source, n.source_notice_id, n.title, n.published_at, k.dedup_key
+  FROM notice_docs n JOIN keyed k USING (id) WHERE n.id NOT IN (SELECT id FROM notice_prev)),
+everything AS (SELECT id, source, published_at, dedup_key FROM settled UNION ALL SELECT id, source, published_at, dedup_key FROM fresh_rows),
+fresh_parents AS (
+  SELECT a.id, min(b.id) AS parent FROM fresh_rows a JOIN everything b
+    ON a.dedup_key = b.dedup_key AND a.source <> b.source AND abs(a.published_at - b.published_at) <= 3 AND b.id < a.id
+  GROUP BY a.id),
+fresh_climb AS (
+  SELECT id, parent AS root FROM fresh_parents
+  UNION ALL
+  SELECT c.id, p.parent FROM fresh_climb c JOIN fresh_parents p ON c.root = p.id),
+fresh_roots AS (SELECT c.id, min(c.root) AS root FROM fresh_climb c GROUP BY c.id)"""
+
+
+@query(
+    "upsert_grouped",
+    ctes(*EDITS, CLASSIFIED, GROUPED_UPSERT)
+    + """SELECT s.id, s.source, n.source_notice_id, n.title, coalesce(s.dup_of, s.id) AS group_id, '2026-09-08' AS crawled
+FROM settled s JOIN notice_docs n USING (id)
+UNION ALL
+SELECT f.id, f.source, f.source_notice_id, f.title, coalesce(s.dup_of, r.root, f.id), '2026-09-08'
+FROM fresh_rows f LEFT JOIN fresh_roots r USING (id) LEFT JOIN settled s ON s.id = r.root""",
+)
+def _(spark, sf):
+    """A crawl applied to the store with its groups: edited titles are placed again, new posts join what is stored."""
+    store = prepared_store(spark, sf, True)
+    notice_store.upsert(store, ad.notice_docs(spark, sf), ["source", "source_notice_id"])
+    return store.snapshot().select(
+        "id", "source", "source_notice_id", "title", F.coalesce("dup_of", "id").alias("group_id"), F.date_format("crawled_at", "yyyy-MM-dd").alias("crawled"))
+
+
 @query(
     "insert_if_absent",
     ctes(*PREV)

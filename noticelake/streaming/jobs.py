@@ -1,72 +1,51 @@
 """Structured Streaming versions of the crawl steps: upsert, re-listing suppression, freshness, grouping.
 
-State tables are written per micro-batch into folders named by the batch id, so a batch that is run again
-after a failure replaces its own output and nothing else.
+State lies in bucketed tables: a micro-batch is a version that writes pieces of the buckets it touches and reads no
+other, so a batch that is run again after a failure replaces its own pieces and nothing else.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from noticelake.dims import RECHECK_DAYS
-from noticelake.operators.cdc import KEY, classify_upsert
-from noticelake.operators.resolve import extend_canonical
-from noticelake.operators.skew import with_global_index
+from noticelake.operators.cdc import KEY
+from noticelake.operators.notice_store import BUCKETS, NoticeStore
+from noticelake.operators.resolve import CELL, place_new
+from noticelake.session import ensure_checkpoint_dir
+from noticelake.sources.bucketed import BucketedTable
 
 
 def _batch_path(path: str, name: str, batch_id: int) -> str:
     return f"{path}/{name}/batch_id={batch_id}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def upsert_store(spark: SparkSession, path: str, schema: T.StructType, grouped: bool = False, **options) -> NoticeStore:
+    """The notices that ``stream_upsert`` keeps under ``path``; ``schema`` is that of the crawled rows."""
+    return NoticeStore(spark, f"{path}/store", schema, grouped, **options)
 
 
-def _earlier(spark: SparkSession, path: str, name: str, batch_id: int) -> DataFrame | None:
-    """Everything batches before this one wrote (a repeated batch must not see itself)."""
-    if batch_id == 0 or not _exists(spark, f"{path}/{name}"):
-        return None
-    return spark.read.parquet(f"{path}/{name}").filter(F.col("batch_id") < batch_id)
-
-
-def current_state(log: DataFrame) -> DataFrame:
-    """Newest stored version of every (source, source_notice_id)."""
-    cols = [c for c in log.columns if c not in (*KEY, "batch_id")]
-    last = log.groupBy(*KEY).agg(F.max_by(F.struct(*cols), "batch_id").alias("v"))
-    return last.select(*KEY, "v.*")
-
-
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, order: list[str]) -> None:
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, order: list[str], grouped: bool = False, **options) -> None:
     """One micro-batch of crawled rows (source, source_notice_id, title, content_hash, crawled_at, ...).
 
-    ``path/log`` gets new and updated rows, ``path/seen`` the crawl time of every key. Unchanged rows are
-    not stored again.
+    The newest row of each key is applied to the store; ``path/seen`` gets the crawl time and status of every key. Stored
+    rows are looked up in the buckets of the batch's keys alone, and only in the columns that are compared.
     """
-    spark = batch.sparkSession
     payload = [c for c in batch.columns if c not in KEY]
-    rows = batch.groupBy(*KEY).agg(F.max_by(F.struct(*payload), F.struct("crawled_at", *order)).alias("v")).select(*KEY, "v.*")
-    rows = rows.checkpoint()
-    log = _earlier(spark, path, "log", batch_id)
-    if log is None:
-        stored = rows.limit(0).select(*rows.columns, F.lit(0).cast("long").alias("id"))
-    else:
-        stored = current_state(log.join(rows.select(*KEY), KEY, "left_semi"))
-    marked = rows.join(classify_upsert(rows, stored), KEY)
-    top = -1 if log is None else log.agg(F.max("id").alias("m")).first()["m"]
-    fresh = with_global_index(marked.filter("status = 'new'"), [F.col(c).asc() for c in [*order, *KEY]], "id")
-    fresh = fresh.withColumn("id", F.col("id") + F.lit(top + 1))
-    edited = marked.filter("status = 'updated'").withColumn("id", F.col("stored_id"))
-    changed = fresh.select(*rows.columns, "id").unionByName(edited.select(*rows.columns, "id"))
-    changed.write.mode("overwrite").parquet(_batch_path(path, "log", batch_id))
-    marked.select(*KEY, "crawled_at", "status").write.mode("overwrite").parquet(_batch_path(path, "seen", batch_id))
-
-
-def stream_upsert(crawled: DataFrame, path: str, order: list[str]) -> StreamingQuery:
+    rows = batch.groupBy(*KEY).agg(F.max_by(F.struct(*payload), F.struct("crawled_at", *order)).alias("v")).select(*KEY, "v.*").persist()
+    try:
+        marked = upsert_store(batch.sparkSession, path, batch.schema, grouped, **options).apply(rows, batch_id, order)
+        marked.select(*KEY, "crawled_at", "status").write.mode("overwrite").parquet(_batch_path(path, "seen", batch_id))
+    finally:
+        rows.unpersist()
+
+
+def stream_upsert(crawled: DataFrame, path: str, order: list[str], grouped: bool = False, **options) -> StreamingQuery:
     return (
-        crawled.writeStream.foreachBatch(lambda df, b: upsert_batch(df, b, path, order))
+        crawled.writeStream.foreachBatch(lambda df, b: upsert_batch(df, b, path, order, grouped, **options))
         .option("checkpointLocation", f"{path}/_progress")
         .trigger(availableNow=True)
         .start()
@@ -103,28 +82,40 @@ def read_freshness(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/checks").groupBy("source").agg(F.max("checked_at").alias("checked_at"))
 
 
-def group_batch(batch: DataFrame, batch_id: int, path: str, keep_days: int | None) -> None:
-    """Canonical assignment of newly arrived notices (id, source, published_at, dedup_key).
+def cell_table(spark: SparkSession, path: str, **options) -> BucketedTable:
+    """State of ``stream_canonical``: one row per (key, board, day), not per notice, so a popular key stays small."""
+    fields = T.StructType.fromDDL("dedup_key string, source string, published_at date, m long, root long")
+    return BucketedTable(spark, f"{path}/cells", fields, tuple(CELL), ("dedup_key",), **{"buckets": BUCKETS, **options})
+
+
+def group_batch(batch: DataFrame, batch_id: int, path: str, keep_days: int | None, **options) -> None:
+    """Canonical assignment of newly arrived notices (id, source, published_at, dedup_key); ids grow with arrival.
 
-    State is one row per (key, board, day), not per notice, so a popular key stays small and its rows are
-    spread like in the batch job. Cells older than ``keep_days`` before the newest notice are dropped.
+    A cell keeps its lowest id and that row's root, so a batch only adds the cells that were not there. Cells older than
+    ``keep_days`` before the newest notice of the earlier batches are not looked at, and are let go when their bucket is
+    merged. The newest day is kept beside the state.
     """
     spark = batch.sparkSession
-    earlier = _earlier(spark, path, "cells", batch_id)
-    state = None if earlier is None else earlier.filter(F.col("batch_id") == batch_id - 1)
-    assigned, cells = extend_canonical(batch, state)
-    if keep_days is not None:
-        cells = cells.checkpoint()
-        newest = cells.agg(F.max("published_at").alias("d")).first()["d"]
-        if newest is not None:
-            cells = cells.filter(F.col("published_at") >= F.date_sub(F.lit(newest), keep_days))
-    cells.write.mode("overwrite").parquet(_batch_path(path, "cells", batch_id))
-    assigned.write.mode("overwrite").parquet(_batch_path(path, "groups", batch_id))
-
-
-def stream_canonical(notices: DataFrame, path: str, keep_days: int | None = None) -> StreamingQuery:
+    ensure_checkpoint_dir(spark)
+    table = cell_table(spark, path, **options)
+    before = table.last(batch_id)
+    newest = table.top(before)
+    alive = F.lit(True) if keep_days is None or newest < 0 else F.unix_date("published_at") >= newest - keep_days
+    table.compact(before, alive)
+    arrived = batch.select("id", *CELL).checkpoint()
+    keyed = arrived.filter("dedup_key is not null and published_at is not null")
+    known = table.read(before, table.touched(keyed)).filter(alive).join(keyed.select("dedup_key").distinct(), "dedup_key", "left_semi").checkpoint()
+    placed = place_new(arrived, known.withColumnRenamed("m", "id")).checkpoint()
+    cells = keyed.join(placed, "id").groupBy(*CELL).agg(F.min("id").alias("m"), F.min_by(F.coalesce("dup_of", "id"), "id").alias("root"))
+    table.write(cells.join(known.select(*CELL), CELL, "left_anti"), batch_id)
+    placed.write.mode("overwrite").parquet(_batch_path(path, "groups", batch_id))
+    day = arrived.agg(F.max(F.unix_date("published_at")).alias("d")).first()["d"]
+    table.close(batch_id, max(newest, -1 if day is None else day))
+
+
+def stream_canonical(notices: DataFrame, path: str, keep_days: int | None = None, **options) -> StreamingQuery:
     return (
-        notices.writeStream.foreachBatch(lambda df, b: group_batch(df, b, path, keep_days))
+        notices.writeStream.foreachBatch(lambda df, b: group_batch(df, b, path, keep_days, **options))
         .option("checkpointLocation", f"{path}/_progress")
         .trigger(availableNow=True)
         .start()

@@ -45,7 +45,7 @@ def test_stream_upsert_over_files_and_repeated_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     jobs.stream_upsert(stream, out, ["pos"]).awaitTermination()
-    state = lambda: sorted(tuple(r) for r in jobs.current_state(spark.read.parquet(f"{out}/log")).select("source_notice_id", "content_hash", "id").collect())
+    state = lambda: sorted(tuple(r) for r in jobs.upsert_store(spark, out, spark.createDataFrame([], schema).schema).snapshot().select("source_notice_id", "content_hash", "id").collect())
     want = [("1", "h2", 0), ("2", "h", 1), ("3", "h", 2)]
     assert state() == want
     jobs.upsert_batch(spark.createDataFrame(second, schema), 1, out, ["pos"])

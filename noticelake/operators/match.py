@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 from noticelake import dims
 from noticelake.dims import SCORE
 from noticelake.functions.text import WS_CLASS
+from noticelake.operators.grams import BROADCAST_GRAMS, candidates
 
 WS = WS_CLASS + "*"
 INTS = "array<int>"
 TEXTS = "array<string>"
-MAX_TERMS = 20_000
+LISTED_TERMS = 500  # names that every text is searched for one by one; more of them are looked up in an index
 
 
-def terms_from_units(units: DataFrame) -> list[tuple[str, str | None, str]]:
-    """Unit names from a dimension table (term, major, college); its size is checked before reading it."""
-    rows = units.select("term", "major", "college").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError("the unit dimension is too large for a term list")
-    return [tuple(r) for r in rows]
+def terms_from_units(units: DataFrame) -> list[tuple[str, str | None, str]] | DataFrame:
+    """Unit names from a dimension table (term, major, college): a list while they are few, else the table itself."""
+    units = units.select("term", "major", "college")
+    rows = units.limit(LISTED_TERMS + 1).collect()
+    return units if len(rows) > LISTED_TERMS else [tuple(r) for r in rows]
 
 
 def _longest_first(terms: list[tuple[str, str | None, str]]) -> list[tuple[str, str | None, str]]:
@@ -69,6 +69,47 @@ def unit_names(hits: Column, terms: list[tuple[str, str | None, str]]) -> tuple[
     return pick(majors, True), pick(colleges, False), pick(colleges, True)
 
 
+def unit_hits(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """(text_id, hits) of the texts (text_id, text) that name a unit; hits: structs of term, major, college.
+
+    The names are those of ``find_terms``, longest first, equally long ones by name; a name that the table has twice has
+    the least of its units. Texts meet names through an index on short character sequences. Only the names that a text
+    holds are then blanked out in turn, so the work does not grow with the table. Names that hold two blanks in a row
+    count where the text has them.
+    """
+    named = units.filter("term is not null and term != ''").groupBy("term").agg(F.min(F.struct("major", "college")).alias("u"))
+    named = named.select("term", "u.major", "u.college")
+    met = candidates(texts.select("text_id", F.array("text").alias("parts")).filter("text is not null"), named.select(F.col("term").alias("needle_id"), F.array("term").alias("terms")))
+    few = named.count() <= BROADCAST_GRAMS // 4
+    met = met.withColumnRenamed("needle_id", "term").join(F.broadcast(named) if few else named, "term")
+    held = met.join(texts, "text_id").filter(F.contains("text", F.col("term")))
+    own = F.struct((-F.length("term")).alias("n"), "term", "major", "college")
+    held = held.groupBy("text_id").agg(F.array_sort(F.collect_list(own)).alias("found"), F.first("text").alias("text"))
+    start = F.struct(F.col("text").alias("rest"), F.filter("found", lambda t: F.lit(False)).alias("hits"))
+
+    def step(acc: Column, t: Column) -> Column:
+        rest = F.replace(acc["rest"], t["term"], F.repeat(F.lit(" "), -t["n"]))
+        return F.when(F.contains(acc["rest"], t["term"]), F.struct(rest.alias("rest"), F.array_append(acc["hits"], t).alias("hits"))).otherwise(acc)
+
+    return held.select("text_id", F.transform(F.aggregate("found", start, step)["hits"], lambda t: F.struct(t["term"].alias("term"), t["major"].alias("major"), t["college"].alias("college"))).alias("hits"))
+
+
+def _with_units(items: DataFrame, target: Column, units: DataFrame) -> DataFrame:
+    """``items`` plus t_majors, t_colleges, n_majors, n_colleges, _n_of_majors by ``unit_hits`` over target and title."""
+    out = items
+    for name, column in (("t", target), ("n", F.col("title"))):
+        hits = unit_hits(items.select(F.col("id").alias("text_id"), column.alias("text")), units).withColumnsRenamed({"text_id": "id", "hits": "_hits"})
+        out = out.join(hits, "id", "left")
+        majors = F.filter(F.coalesce("_hits", F.array()), lambda t: t["major"].isNotNull())
+        colleges = F.filter(F.coalesce("_hits", F.array()), lambda t: t["major"].isNull())
+        out = out.withColumns({
+            f"{name}_majors": F.array_distinct(F.transform(majors, lambda t: t["major"])),
+            f"{name}_colleges": F.array_distinct(F.transform(colleges, lambda t: t["college"])),
+            f"_{name}_of_majors": F.array_distinct(F.transform(majors, lambda t: t["college"])),
+        }).drop("_hits")
+    return out
+
+
 def completed_semesters(year: Column, today: date) -> Column:
     """Semesters finished by a student of the academic year (spring runs March to August)."""
     in_year = 0 if 3 <= today.month <= 8 else (1 if today.month >= 9 else 2)
@@ -164,12 +205,19 @@ def board_units(copies: DataFrame, boards: DataFrame) -> DataFrame:
     )
 
 
-def notice_features(items: DataFrame, terms: list, rules: dict, today: date) -> DataFrame:
-    """``items`` (id, title, category, target, b_majors, b_colleges; target null while pending) + FEATURES."""
+def notice_features(items: DataFrame, terms: list | DataFrame, rules: dict, today: date) -> DataFrame:
+    """``items`` (id, title, category, target, b_majors, b_colleges; target null while pending) + FEATURES.
+
+    ``terms``: unit names as a list, or a table (term, major, college) of any size.
+    """
     target = F.coalesce("target", F.lit(""))
-    found = items.withColumns({"_t": find_terms(target, terms), "_n": find_terms(F.col("title"), terms)})
-    t_majors, t_colleges, _ = unit_names(F.col("_t"), terms)
-    n_majors, n_colleges, n_of_majors = unit_names(F.col("_n"), terms)
+    if isinstance(terms, DataFrame):
+        found = _with_units(items, target, terms)
+        t_majors, t_colleges, n_majors, n_colleges, n_of_majors = (F.col(c) for c in ("t_majors", "t_colleges", "n_majors", "n_colleges", "_n_of_majors"))
+    else:
+        found = items.withColumns({"_t": find_terms(target, terms), "_n": find_terms(F.col("title"), terms)})
+        t_majors, t_colleges, _ = unit_names(F.col("_t"), terms)
+        n_majors, n_colleges, n_of_majors = unit_names(F.col("_n"), terms)
     grad = target.rlike(dims.GRAD_WORDS)
     broad = target.rlike(dims.BROAD_WORDS.replace(r"\s", WS_CLASS)) & ~target.rlike(dims.UNVERIFIABLE_WORDS.replace(r"\s", WS_CLASS))
     return found.withColumns({
@@ -182,7 +230,7 @@ def notice_features(items: DataFrame, terms: list, rules: dict, today: date) ->
         "broad": broad & ~grad,
         "hits": interest_hits(F.col("category"), F.col("title"), rules),
         "title_only": F.col("target").isNull(),
-    }).drop("_t", "_n")
+    }).drop("_t", "_n", "_t_of_majors", "_n_of_majors")
 
 
 # --- rules over a pair: profile columns p_college, p_major, p_year, p_entrance, p_interests -----------

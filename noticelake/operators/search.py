@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from noticelake import dims
 from noticelake.functions.labels import category_name, notice_title
-from noticelake.functions.text import search_form
+from noticelake.functions.text import WS_CLASS, search_form
+from noticelake.operators.grams import BROADCAST_GRAMS, candidates
+from noticelake.session import ensure_checkpoint_dir
 
-MAX_QUERIES = 10_000
+LITERAL_QUERIES = 100  # queries that are tested on every item in one pass; more of them are looked up in an index
 SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 _BLANK = re.compile(r"[\s\x0b\xa0  -     　﻿]+")
 
@@ -60,17 +62,49 @@ def search(items: DataFrame, query: str, lang: str = "ko", category_names: dict[
     return ready.drop("search_forms")
 
 
-def search_many(items: DataFrame, queries: dict[str, str], lang: str = "ko", category_names: dict[str, str] | None = None) -> DataFrame:
-    """(query_id, item) for many saved queries in one pass over the items."""
-    if len(queries) > MAX_QUERIES:
-        raise ValueError("too many queries for one pass; split them")
-    table = F.array(*[
-        F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(t) for t in search_terms(text)]).cast("array<string>").alias("terms"))
-        for q, text in queries.items()
-    ])
+def query_terms(query: Column) -> Column:
+    """``search_terms`` of a column: null has none."""
+    return F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), WS_CLASS + "+"), lambda w: w != "")
+
+
+def search_many(items: DataFrame, queries: dict[str, str] | DataFrame, lang: str = "ko", category_names: dict[str, str] | None = None, item_id: str = "id") -> DataFrame:
+    """(query_id, item) for many saved queries: a dict, or a DataFrame of query_id and query. ``item_id`` names the items.
+
+    A few queries in a dict are tested on the items in one pass. Any others meet the items through an index on short
+    character sequences: each query finds its candidates by its rarest one, and all its terms are verified on these. A
+    query without terms keeps all items, so it gives a row for each.
+    """
     ready = with_search_forms(items, lang, category_names)
-    hits = F.filter(table, lambda q: F.forall(q["terms"], lambda t: _in_some_field(F.col("search_forms"), t)))
-    return ready.withColumn("query_id", F.explode(F.transform(hits, lambda q: q["query_id"]))).drop("search_forms")
+    if isinstance(queries, dict) and len(queries) > LITERAL_QUERIES:
+        queries = items.sparkSession.createDataFrame(list(queries.items()), "query_id string, query string")
+    if isinstance(queries, dict):
+        table = F.array(*[
+            F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(t) for t in search_terms(text)]).cast("array<string>").alias("terms"))
+            for q, text in queries.items()
+        ])
+        hits = F.filter(table, lambda q: F.forall(q["terms"], lambda t: _in_some_field(F.col("search_forms"), t)))
+        return ready.withColumn("query_id", F.explode(F.transform(hits, lambda q: q["query_id"]))).drop("search_forms")
+    return _search_index(ready, queries, item_id).drop("search_forms")
+
+
+def _search_index(ready: DataFrame, queries: DataFrame, item_id: str) -> DataFrame:
+    ensure_checkpoint_dir(ready.sparkSession)
+    asked = queries.select("query_id", query_terms(F.col("query")).alias("terms")).checkpoint()
+    worded = asked.filter(F.size("terms") > 0)
+    met = candidates(ready.select(F.col(item_id).alias("text_id"), F.col("search_forms").alias("parts")), worded.select(F.col("query_id").alias("needle_id"), "terms"))
+    few = worded.count() <= BROADCAST_GRAMS // 4
+    terms = worded.select(F.col("query_id").alias("needle_id"), F.col("terms").alias("_terms"))
+    met = met.join(F.broadcast(terms) if few else terms, "needle_id").withColumnRenamed("text_id", "_item")
+    rows = ready.join(met, ready[item_id] == met["_item"])
+    rows = rows.filter(F.forall("_terms", lambda t: _in_some_field(F.col("search_forms"), t)))
+    rows = rows.withColumn("query_id", F.col("needle_id")).select(*ready.columns, "query_id")
+    blank = asked.filter(F.size("terms") == 0).select("query_id")
+    if blank.isEmpty():
+        return rows
+    # every item for each of them: the rows asked for, made item by item from a list that is small or else comes in parts
+    lists = blank.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("part")).agg(F.collect_list("query_id").alias("ids"))
+    every = ready.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(lists, "part").drop("part")
+    return rows.unionByName(every.withColumn("query_id", F.explode("ids")).drop("ids"))
 
 
 def _spans(text: str, terms: list[str]) -> list[tuple[int, int]]:

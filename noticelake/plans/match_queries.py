@@ -15,23 +15,26 @@ ITEMS = (ad.NOTICE_ORDERS, ad.ANALYSIS_ORDERS, ad.ORDER_ITEMS, ad.ORDER_BOARDS)
 LABELS = {name: (f"{name.lower()} 분야", name.title()) for name in ad.ORDER_INTERESTS}
 
 
-def terms(spark: SparkSession, sf: str) -> list:
+def unit_table(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = ad.table(spark, sf, "nation"), ad.table(spark, sf, "region")
     majors = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("term"), F.col("n_name").alias("major"), F.col("r_name").alias("college"))
     colleges = region.select(F.col("r_name").alias("term"), F.lit(None).cast("string").alias("major"), F.col("r_name").alias("college"))
-    return match.terms_from_units(majors.unionByName(colleges).orderBy("term"))
+    return majors.unionByName(colleges).orderBy("term")
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
+def feature_items(spark: SparkSession, sf: str) -> DataFrame:
     items = ad.order_items(spark, sf).withColumn("title_en", F.when(F.col("id") % 2 == 0, F.concat(F.lit("EN "), "title")))
     units = ad.order_boards(spark, sf).select(
         "source",
         F.array_compact(F.array("major")).alias("b_majors"),
         F.array_compact(F.array("college")).alias("b_colleges"),
     )
-    items = items.join(F.broadcast(units), "source")  # one row per board; every notice here has one copy
-    return match.notice_features(items, terms(spark, sf), ad.ORDER_INTERESTS, ad.TODAY_ORDERS)
+    return items.join(F.broadcast(units), "source")  # one row per board; every notice here has one copy
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    return match.notice_features(feature_items(spark, sf), match.terms_from_units(unit_table(spark, sf)), ad.ORDER_INTERESTS, ad.TODAY_ORDERS)
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,6 +193,19 @@ def _(spark, sf):
     return features(spark, sf).select("id", F.array_join("t_majors", ",").alias("majors"), F.array_join("t_colleges", ",").alias("colleges"))
 
 
+@query(
+    "unit_terms_index",
+    ctes(*ITEMS, FEAT)
+    + """, people AS (SELECT c_name AS term FROM customer)
+SELECT id, array_to_string(t_majors, ',') AS majors, array_to_string(t_colleges, ',') AS colleges, len(t_majors) AS n_majors FROM feat""",
+)
+def _(spark, sf):
+    """The same names through the index, in a unit table that also holds every customer's name as a unit."""
+    people = ad.table(spark, sf, "customer").select(F.col("c_name").alias("term"), F.col("c_name").alias("major"), F.lit("-").alias("college"))
+    out = match.notice_features(feature_items(spark, sf), unit_table(spark, sf).unionByName(people), ad.ORDER_INTERESTS, ad.TODAY_ORDERS)
+    return out.select("id", F.array_join("t_majors", ",").alias("majors"), F.array_join("t_colleges", ",").alias("colleges"), F.size("t_majors").cast("long").alias("n_majors"))
+
+
 @query(
     "match_score",
     ctes(*PAIRED)

@@ -79,6 +79,27 @@ def _(spark, sf):
     return search.search_many(search_items(spark, sf), queries).select("query_id", "id")
 
 
+@query(
+    "search_saved",
+    ctes(DOCS, SEARCH_ITEMS)
+    + """, saved AS (SELECT c_custkey, lower(c_mktsegment[1:3]) AS a, 'src' || (c_custkey % 20) AS b, CASE c_custkey % 3 WHEN 0 THEN 'academic' WHEN 1 THEN 'readersof' ELSE 'x' || c_custkey END AS c FROM customer),
+distinct_queries AS (SELECT DISTINCT a, b, c FROM saved),
+found AS (
+  SELECT q.a, q.b, q.c, count(*) AS n_items, min(f.id) AS first_item FROM distinct_queries q JOIN fields f
+    ON len(list_filter(ko, lambda x: contains(x, q.a))) > 0 AND len(list_filter(ko, lambda x: contains(x, q.b))) > 0 AND len(list_filter(ko, lambda x: contains(x, q.c))) > 0
+  GROUP BY q.a, q.b, q.c)
+SELECT c_custkey AS query_id, n_items, first_item FROM saved JOIN found USING (a, b, c)""",
+)
+def _(spark, sf):
+    """Every customer's saved query of three terms, over all items."""
+    key = F.col("c_custkey")
+    third = F.when(key % 3 == 0, "Academic").when(key % 3 == 1, "READERSof").otherwise(F.concat(F.lit("x"), key.cast("string")))
+    saved = ad.table(spark, sf, "customer").select(
+        key.alias("query_id"), F.concat(F.substring("c_mktsegment", 1, 3), F.lit("  src"), (key % 20).cast("string"), F.lit(" "), third).alias("query"))
+    out = search.search_many(search_items(spark, sf), saved)
+    return out.groupBy("query_id").agg(F.count("*").alias("n_items"), F.min("id").alias("first_item"))
+
+
 @query(
     "search_english",
     ctes(DOCS, SEARCH_ITEMS) + f"SELECT id FROM fields WHERE {_has('en', 'line:the')} AND {_has('en', 'academicaff')}",

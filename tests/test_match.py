@@ -96,6 +96,28 @@ def test_longer_name_starting_inside_a_shorter_hit(spark):
     assert out == [["BCD"], ["BCD", "AB"]]
 
 
+def test_names_by_index_equal_names_one_by_one(spark):
+    rnd = random.Random(5)
+    names = sorted({"".join(rnd.choice("ABC") for _ in range(rnd.randrange(1, 6))) for _ in range(60)})
+    terms = [(n, n if rnd.random() < 0.7 else None, f"col{k % 4}") for k, n in enumerate(names)]
+    texts = [(i, "".join(rnd.choice("ABC  d") for _ in range(rnd.randrange(0, 25)))) for i in range(150)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(texts, "text_id long, text string")
+    units = spark.createDataFrame(terms, "term string, major string, college string")
+    listed = df.select("text_id", match.find_terms(F.col("text"), terms).alias("h")).collect()
+    order = [t[0] for t in match._longest_first(terms)]
+    want = {r["text_id"]: [order[i] for i in r["h"]] for r in listed if r["h"]}
+    got = {r["text_id"]: [t["term"] for t in r["hits"]] for r in match.unit_hits(df, units).collect()}
+    assert got == want
+
+
+def test_fifty_thousand_names(spark):
+    units = spark.range(50_000).selectExpr("concat('Unit', id, 'Z') AS term", "concat('major', id) AS major", "'c' AS college")
+    df = spark.createDataFrame([(i, f"for Unit{i * 7}Z and Unit{i}Z, not Unit{i}") for i in range(200)], "text_id long, text string")
+    got = {r["text_id"]: {t["major"] for t in r["hits"]} for r in match.unit_hits(df, units).collect()}
+    assert got == {i: {f"major{i * 7}", f"major{i}"} for i in range(200)}
+    assert not isinstance(match.terms_from_units(units), list)
+
+
 def random_world(seed, n_items=220, n_people=40):
     rnd = random.Random(seed)
     majors = ["컴퓨터공학과", "인공지능공학과", "기계공학과", "화학과"]

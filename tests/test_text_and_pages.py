@@ -41,6 +41,19 @@ def test_search_predicate(spark):
     assert found(spark, rows, "한국어", "en") == []
     many = search.search_many(spark.createDataFrame(rows, ITEM), {"a": "장학 국제", "b": "", "c": "없음"}).collect()
     assert sorted((r["query_id"], r["id"]) for r in many) == [("a", 2), *[("b", i) for i in range(1, 7)]]
+    table = spark.createDataFrame([("a", "장학 국제"), ("b", ""), ("c", "없음"), ("d", "장"), ("e", None), ("f", "학생 대상"), ("g", "장학금 장학 학금"), ("h", "zz")], "query_id string, query string")
+    index = search.search_many(spark.createDataFrame(rows, ITEM), table).collect()
+    want = [(q, i) for q, text in (("a", "장학 국제"), ("b", ""), ("d", "장"), ("e", ""), ("f", "학생 대상"), ("g", "장학금 장학 학금")) for i in found(spark, rows, text)]
+    assert sorted((r["query_id"], r["id"]) for r in index) == sorted(want)
+    assert search.search_many(spark.createDataFrame(rows, ITEM), table.limit(0)).count() == 0
+
+
+def test_many_thousand_saved_queries(spark):
+    rows = [item(i, f"notice {i} of board b{i % 7}") for i in range(300)]
+    queries = spark.range(50_000).selectExpr("id AS query_id", "concat('NOTICE', id % 1000, 'of b', id % 9) AS query")
+    got = search.search_many(spark.createDataFrame(rows, ITEM), queries).groupBy("query_id").count().collect()
+    want = {q: sum(1 for i in range(300) if f"notice{q % 1000}of" in f"notice{i}ofboardb{i % 7}" and f"b{q % 9}" in f"notice{i}ofboardb{i % 7}") for q in range(50_000)}
+    assert {r["query_id"]: r["count"] for r in got} == {q: n for q, n in want.items() if n}
 
 
 def brute_spans(text, terms):

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import BROADCAST_ROWS, cut, small_side
-from noticelake.llm.minhash import near_duplicates
 
 BLANKS = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens that lead to a leaf, after the token count
@@ -19,6 +18,9 @@ CONSTANT = 70  # percent of a template's tokens that are not variable, at least
 ANY = "<*>"
 MIN_COPIES = 2  # documents in which an exact line recurs in the pipeline; MIN_DOCS for a short one
 LONG_CHARS = 16  # a line of fewer tokens than MIN_TOKENS is short below it; scripts without spaces have one token a line
+SHINGLE = r"(?<!\S)(?=(\S+(?:\s+\S+){4}))"  # five words, from each word on
+SKETCH = 128  # smallest shingle hashes by which near copies are judged
+COPY = 0.65  # estimated share of the union that near copies have; 0.75 less what the estimate may be off
 MAX_PLACES = 3_000_000  # dropped lines whose places are broadcast; with more, documents and places are shuffled
 
 
@@ -131,15 +133,39 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
     )
 
 
+def _near_copies(docs: DataFrame) -> DataFrame:
+    """(_copy, _first): documents and the smallest doc_id that they share a line with and are a near copy of.
+
+    For each line the smallest doc_id is asked, so there are no more pairs than lines. Pairs are judged by the smallest
+    hashes of their five-word shingles, an estimate of the share of their union that both have."""
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= LONG_CHARS)
+    lines = cut(lines.select("doc_id", F.xxhash64("line").alias("h")).distinct())
+    first = lines.groupBy("h").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).filter("n > 1").select("h", "_first")
+    pairs = cut(lines.join(first, "h").filter("doc_id != _first").select(F.col("doc_id").alias("_copy"), "_first").distinct())
+    asked = cut(pairs.select(F.col("_copy").alias("doc_id")).union(pairs.select("_first")).distinct())
+    shingles = F.regexp_extract_all(F.lower("text"), F.lit(SHINGLE), F.lit(1))
+    least = lambda hashes: F.slice(F.array_sort(hashes), 1, SKETCH)
+    sketch = least(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x))))
+    sketches = own.join(small_side(asked), "doc_id", "left_semi").select("doc_id", sketch.alias("s")).filter(F.size("s") > 0)
+    sketches = cut(sketches.dropDuplicates(["doc_id"]))
+    both = pairs.join(sketches.select(F.col("doc_id").alias("_copy"), F.col("s").alias("a")), "_copy").join(sketches.select(F.col("doc_id").alias("_first"), F.col("s").alias("b")), "_first")
+    both = both.withColumn("u", least(F.array_union("a", "b")))
+    shared = F.size(F.array_intersect(F.array_intersect("u", "a"), "b"))
+    near = cut(both.filter(shared >= COPY * F.size("u")).groupBy("_copy").agg(F.min("_first").alias("_first")))
+    # a first document may be a copy itself
+    above = near.select(F.col("_copy").alias("_first"), F.col("_first").alias("_above"))
+    return near.join(above, "_first", "left").select("_copy", F.coalesce("_above", "_first").alias("_first"))
+
+
 def line_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines taken out and n_chars counted anew; documents that held nothing else are dropped.
 
-    Near copies of a document (five-word shingles, 75 percent) count as that document: a line that only they share does
-    not recur, and what recurs elsewhere is taken out of all of them. So a later stage finds the copies whole, instead
-    of what would be left of them. Rows without doc_id count as one document.
+    Near copies that share a line (``_near_copies``) count as one document: a line that only they share does not recur,
+    and what recurs elsewhere is taken out of all of them. So a later stage finds the copies whole, instead of what would
+    be left of them. Rows without doc_id count as one document.
     """
-    copies = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept"))
-    copies = cut(copies.select(F.col("doc_id").alias("_copy"), F.col("component_id").alias("_first")).distinct())
+    copies = cut(_near_copies(docs))
     few = copies.count() <= BROADCAST_ROWS
     own = docs.join(F.broadcast(copies) if few else copies, F.col("doc_id") == F.col("_copy"), "left")
     own = own.select(*[docs[c] for c in docs.columns], F.coalesce("_first", "doc_id").alias("_group"))

@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from noticelake import dims
+from noticelake.functions.arrays import bound, running_max, running_sums
 from noticelake.functions.labels import category_name, notice_title
 from noticelake.functions.text import WS_CLASS, search_form
 from noticelake.operators.grams import BROADCAST_GRAMS, candidates
 from noticelake.session import ensure_checkpoint_dir
 
 LITERAL_QUERIES = 100  # queries that are tested on every item in one pass; more of them are looked up in an index
-SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 _BLANK = re.compile(r"[\s\x0b\xa0  -     　﻿]+")
 
 
@@ -107,49 +105,47 @@ def _search_index(ready: DataFrame, queries: DataFrame, item_id: str) -> DataFra
     return rows.unionByName(every.withColumn("query_id", F.explode("ids")).drop("ids"))
 
 
-def _spans(text: str, terms: list[str]) -> list[tuple[int, int]]:
-    lowered = text.lower()
-    if len(lowered) != len(text):
-        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    blanks = [m.span() for m in _BLANK.finditer(lowered)]
-    squashed = _BLANK.sub("", lowered)
-    hits: list[tuple[int, int]] = []
-    for term in terms:
-        at = squashed.find(term) if term else -1
-        while at >= 0:
-            hits.append((at, at + len(term) - 1))
-            at = squashed.find(term, at + 1)
-    if not hits:
-        return []
-    keep = np.ones(len(text), dtype=bool)
-    for a, b in blanks:
-        keep[a:b] = False
-    place = np.flatnonzero(keep)
-    merged: list[list[int]] = []
-    for s, e in sorted((int(place[a]), int(place[b]) + 1) for a, b in hits):
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    return [(s, e) for s, e in merged]
+def _hits(low: Column, term: str) -> Column:
+    """Structs (s, e) of every place of the term in a lower-case text, white space inside it aside."""
+    pattern = (WS_CLASS + "*").join(f"\\x{{{ord(c):X}}}" for c in term)
+    # zero-width matches, so that hits may overlap: the pieces between them give the starts
+    widths = F.transform(F.regexp_extract_all(low, F.lit(f"(?=({pattern}))"), F.lit(1)), F.length)
+    pieces = F.transform(F.split(low, f"(?={pattern})", -1), F.length)
+    ends = running_sums(F.concat(F.array(F.lit(0)), pieces))
+
+    def spans(widths: Column) -> Column:
+        # the last piece ends the text; a piece stands before the first hit unless the text begins with it
+        starts = bound(ends, lambda e: F.slice(e, F.size(e) - F.size(widths), F.size(widths)))
+        return F.zip_with(starts, widths, lambda s, n: F.struct(s.alias("s"), (s + n).alias("e")))
+
+    return bound(widths, spans)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch as one."""
+
+    def join(sorted_: Column, reach: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | (F.get(sorted_, i)["s"] > F.get(reach, i - 1)))
+        return bound(first, lambda f: F.transform(f, lambda i, j: F.struct(
+            F.get(sorted_, i)["s"].alias("s"), F.get(reach, F.coalesce(F.get(f, j + 1), F.size(sorted_)) - 1).alias("e"))))
+
+    return bound(spans, lambda x: bound(running_max(F.transform(x, lambda y: y["e"])), lambda reach: F.when(F.size(x) > 0, join(x, reach)).otherwise(x)))
 
 
 def match_spans(text: Column, terms: list[str]) -> Column:
     """[s, e) of every hit in the original text, merged where they overlap or touch.
 
-    Hits ignore case and white space, so the positions need a map back to the text. Python sees only the
-    texts that contain a term at all; the others are answered by the JVM.
+    Hits ignore case and white space. Positions count code points; the one letter whose lower case is longer stays as it is.
     """
-
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"s": s, "e": e} for s, e in _spans(t, terms)] if t else [])
-
+    terms = [t for t in dict.fromkeys(terms) if t]
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    if not terms:
+        return none
     form = search_form(text)
-    some = F.lit(False)
-    for t in terms:
-        some = some | F.contains(form, F.lit(t))
-    return spans(F.when(some, text))
+    some = reduce(lambda a, b: a | b, [F.contains(form, F.lit(t)) for t in terms])
+    low = F.array_join(F.transform(F.split(text, "\u0130", -1), F.lower), "\u0130")
+    hits = bound(low, lambda x: F.array_sort(F.concat(*[_hits(x, t) for t in terms])))
+    return F.when(some, _merged(hits)).otherwise(none)
 
 
 def highlight(text: Column, spans: Column) -> Column:

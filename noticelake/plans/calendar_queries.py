@@ -177,21 +177,30 @@ ICS_SQL = """ics AS (
      'DTEND;VALUE=DATE:' || strftime(CAST(day AS DATE) + INTERVAL 1 DAY, '%Y%m%d') END AS span FROM evs)"""
 
 
+BLOCK_SQL = r"""SELECT id, kind, replace('BEGIN:VEVENT|UID:' || uid || '|DTSTAMP:20010615T000000Z|' || span || '|SUMMARY:' || subject
+  || '|DESCRIPTION:AI가 공지에서 추출한 날짜예요. 반드시 원문에서 확인하세요.\n원문: ' || source_url || '|URL:' || source_url || '|END:VEVENT', '|', chr(13) || chr(10)) AS block FROM ics"""
+
+
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return files.ics_blocks(events(spark, sf), STAMP, "notice", UID_DOMAIN)
 
 
 @query(
     "export_ics_blocks",
-    ctes(*WITH_EVENTS, ICS_SQL)
-    + r"""SELECT id, kind, replace('BEGIN:VEVENT|UID:' || uid || '|DTSTAMP:20010615T000000Z|' || span || '|SUMMARY:' || subject
-  || '|DESCRIPTION:AI가 공지에서 추출한 날짜예요. 반드시 원문에서 확인하세요.\n원문: ' || source_url || '|URL:' || source_url || '|END:VEVENT', '|', chr(13) || chr(10)) AS block FROM ics""",
+    ctes(*WITH_EVENTS, ICS_SQL) + BLOCK_SQL,
 )
 def _(spark, sf):
     return blocks(spark, sf).select("id", "kind", "block")
 
 
-@query("export_ics_folded")
+# characters are added one by one: a line has 75 octets at most, the blank of a folded one included
+FOLDED_SQL = r"""SELECT id, kind, array_to_string(list_transform(string_split(block, chr(13) || chr(10)), lambda line:
+  list_reduce(list_transform(string_split(line, ''), lambda c: {'o': c, 'u': strlen(c)}), lambda acc, x:
+    {'o': acc.o || CASE WHEN acc.u + x.u > 75 THEN chr(13) || chr(10) || ' ' ELSE '' END || x.o, 'u': CASE WHEN acc.u + x.u > 75 THEN 1 + x.u ELSE acc.u + x.u END}).o), chr(13) || chr(10)) AS block
+FROM (""" + BLOCK_SQL + ")"
+
+
+@query("export_ics_folded", ctes(*WITH_EVENTS, ICS_SQL) + FOLDED_SQL)
 def _(spark, sf):
     return blocks(spark, sf).select("id", "kind", files.ics_fold(F.col("block")).alias("block"))
 

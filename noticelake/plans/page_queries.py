@@ -162,13 +162,13 @@ def _(spark, sf):
     return export.as_json(items, "id")
 
 
-@query("export_snapshot")
+@query("export_snapshot", store.DETAIL_SQL)
 def _(spark, sf):
-    """Writes the whole snapshot and reads the detail files back."""
+    """Writes the whole snapshot and reads the details back."""
     path = scratch_dir(spark, "snapshot")
     rows = store.latest_docs(spark, sf)
     details = detail_by_copy(rows, rows.select("id"), store.ANALYSIS_COLS)
     items = store.doc_items(spark, sf)
     meta = items.agg(F.count("*").alias("notices"), F.max("crawled_at").alias("last_checked_at"))
     export.export_snapshot(items, details, meta, path)
-    return spark.read.json(f"{path}/details").select("asked_id", "canonical_id", "bucket")
+    return store.detail_columns(spark.read.schema(details.schema).json(f"{path}/details"))

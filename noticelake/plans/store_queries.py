@@ -188,8 +188,7 @@ def _(spark, sf):
     return views.group_sources(ad.grouped_docs(spark, sf), ad.board_dim(spark, sf)).drop("published_at")
 
 
-@query(
-    "detail_by_copy",
+DETAIL_SQL = (
     ctes(*LATEST)
     + """, ladder AS (
   SELECT group_id, id AS shown_id, status, row_number() OVER (PARTITION BY group_id ORDER BY
@@ -199,17 +198,23 @@ def _(spark, sf):
 SELECT q.id AS asked_id, c.id AS canonical_id, c.title, sha256(c.original_content) AS body_hash, l.status, l.shown_id,
        coalesce(a.category, '-') AS category
 FROM latest q JOIN latest c ON c.id = q.group_id JOIN ladder l ON l.group_id = c.id AND l.rn = 1
-LEFT JOIN latest a ON a.id = l.shown_id""",
+LEFT JOIN latest a ON a.id = l.shown_id"""
 )
-def _(spark, sf):
-    rows = latest_docs(spark, sf)
-    out = views.detail_by_copy(rows, ad.notice_docs(spark, sf).select("id"), ANALYSIS_COLS)
-    return out.select(
+
+
+def detail_columns(details: DataFrame) -> DataFrame:
+    return details.select(
         "asked_id", "canonical_id", "title", F.sha2("original_content", 256).alias("body_hash"), "status", "shown_id",
         F.coalesce("category", F.lit("-")).alias("category"),
     )
 
 
+@query("detail_by_copy", DETAIL_SQL)
+def _(spark, sf):
+    rows = latest_docs(spark, sf)
+    return detail_columns(views.detail_by_copy(rows, ad.notice_docs(spark, sf).select("id"), ANALYSIS_COLS))
+
+
 CURRENT = """cur AS (
   SELECT DISTINCT n.id, n.group_id, a.prompt_version FROM grouped n JOIN analysis_docs a
     ON a.notice_id = n.id AND a.content_hash = n.content_hash),

@@ -162,7 +162,24 @@ def _(spark, sf):
     return out.select("id", F.coalesce("best_field", F.lit("-")).alias("field"))
 
 
-@query("search_best_text")
+EITHER = f"(t{WS}*h{WS}*o{WS}*r|a{WS}*t{WS}*s{WS}*r{WS}*c{WS}*7)+"
+BEST_TEXT = r"""shown AS (
+  SELECT id, CASE WHEN has_en THEN en_title ELSE title END AS title, CASE WHEN NOT has_analysis THEN NULL WHEN has_en THEN en_target ELSE target END AS target,
+    CASE WHEN has_analysis THEN list_filter(CASE WHEN has_en THEN en_summary ELSE summary END, lambda x: regexp_matches(x, '(?i){P}'))[1] END AS bullet
+  FROM search_items),
+found AS (
+  SELECT *, CASE WHEN regexp_matches(title, '(?i){P}') THEN 'title' WHEN bullet IS NOT NULL THEN 'summary' WHEN regexp_matches(target, '(?i){P}') THEN 'target' END AS best_field,
+    CASE WHEN bullet IS NOT NULL THEN bullet ELSE target END AS body FROM shown),
+around AS (SELECT *, strpos(body, m) - 1 AS s, length(m) AS n FROM (SELECT *, regexp_extract(body, '(?i){P}', 0) AS m FROM found))""".replace("{P}", EITHER)
+
+
+@query(
+    "search_best_text",
+    ctes(DOCS, SEARCH_ITEMS, BEST_TEXT)
+    + """SELECT id, best_field, CASE WHEN best_field = 'title' THEN title ELSE (CASE WHEN s > 24 THEN '…' ELSE '' END)
+  || substr(body, greatest(0, s - 24) + 1, least(length(body), s + n + 24) - greatest(0, s - 24)) || (CASE WHEN s + n + 24 < length(body) THEN '…' ELSE '' END) END AS best_text
+FROM around WHERE best_field IS NOT NULL""",
+)
 def _(spark, sf):
     out = search.best_match(search_items(spark, sf), "thor atsrc7", "en")
     return out.select("id", "best_field", "best_text").filter("best_field is not null")
@@ -406,7 +423,13 @@ def stub(row: dict) -> tuple[str, bool]:
     return json.dumps(reply, ensure_ascii=False), row["id"] % 13 != 0
 
 
-@query("analyze_stub")
+@query(
+    "analyze_stub",
+    ctes(DOCS)
+    + """SELECT id, content_hash, CASE WHEN id % 11 = 0 THEN 'overload' WHEN id % 17 = 0 THEN 'failed' ELSE 'success' END AS outcome,
+  CASE WHEN id % 11 <> 0 AND id % 17 <> 0 AND id % 13 = 0 THEN 'incomplete' END AS error_class,
+  CASE WHEN id % 11 <> 0 AND id % 17 <> 0 AND id % 13 <> 0 THEN '' END AS warnings FROM notice_docs""",
+)
 def _(spark, sf):
     """Every notice through the stub analyser, then the contract check and the warnings."""
     done = analyse.analyse(prompts(spark, sf), stub)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from noticelake.dims import LABELS
 from noticelake.functions import dates, text
@@ -93,25 +92,22 @@ def ics_blocks(events: DataFrame, stamp: str, uid_prefix: str, uid_domain: str,
     return events.withColumn("block", block)
 
 
-def _fold_line(line: str) -> str:
-    """Fold at 75 octets (74 after the leading blank) without cutting a character."""
-    raw = line.encode()
-    if len(raw) <= 75:
-        return line
-    pieces, start, room = [], 0, 75
-    while len(raw) - start > room:
-        cut = start + room
-        while raw[cut] & 0xC0 == 0x80:  # inside a character
-            cut -= 1
-        pieces.append(raw[start:cut])
-        start, room = cut, 74
-    pieces.append(raw[start:])
-    return b"\r\n ".join(pieces).decode()
+# Octets that may follow a cut: any but the second and later ones of a character.
+_WHOLE = r"(?![\x80-\xBF])"
 
 
-@F.pandas_udf(T.StringType())
-def ics_fold(block: pd.Series) -> pd.Series:
-    return block.map(lambda b: "\r\n".join(_fold_line(line) for line in b.split("\r\n")), na_action="ignore")
+def _fold_line(line: Column) -> Column:
+    # one character per octet, so that a pattern counts octets and sees where a character goes on
+    octets = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    first = F.regexp_extract(octets, f"(?s)^.{{1,75}}{_WHOLE}", 0)
+    rest = F.substring(octets, F.length(first) + 1, F.length(octets))
+    folded = F.concat(first, F.regexp_replace(rest, f"(?s).{{1,74}}{_WHOLE}", "\r\n $0"))
+    return F.when(F.octet_length(line) <= 75, line).otherwise(F.decode(F.encode(folded, "ISO-8859-1"), "UTF-8"))
+
+
+def ics_fold(block: Column) -> Column:
+    """Lines of more than 75 octets are folded (74 after the leading blank) without cutting a character."""
+    return F.array_join(F.transform(F.split(block, "\r\n"), _fold_line), "\r\n")
 
 
 def calendar_head(product: str) -> str:
@@ -146,8 +142,16 @@ def write_ics(blocks: DataFrame, path: str, product: str) -> bool:
 
 # --- iCalendar import ----------------------------------------------------------------------------------
 
-def read_ics(spark, path: str) -> DataFrame:
-    return parse_ics(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+def read_ics(spark: SparkSession, path: str) -> DataFrame:
+    """Events of calendar files, whatever their size: a file is read by many tasks, event by event.
+
+    Records end at a line break and BEGIN:VEVENT, so a record is one event, or what stands before the first. Files whose
+    lines end in a single CR have one record, which holds all of their events. No line of a calendar starts with
+    BEGIN:VEVENT and goes on; one that does is taken as the end of the event before.
+    """
+    records = spark.read.option("lineSep", "\nBEGIN:VEVENT").text(path)
+    opened = F.col("value").startswith("\n") | F.col("value").startswith("\r")
+    return parse_ics(records.select(F.when(opened, F.concat(F.lit("BEGIN:VEVENT"), "value")).otherwise(F.col("value")).alias("text"))).drop("seq")
 
 
 def _last_field(block: Column, name: str) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from noticelake.session import ensure_checkpoint_dir
 
 
 def as_json(rows: DataFrame, key: str) -> DataFrame:
@@ -12,12 +17,33 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(key, *rest), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def export_snapshot(items: DataFrame, details: DataFrame, meta: DataFrame, path: str, detail_key: str = "asked_id", buckets: int = 64) -> None:
-    """``notices`` (list), ``meta`` and ``details``: one JSON line per stored copy, bucketed by its id.
+def export_snapshot(items: DataFrame, details: DataFrame, meta: DataFrame, path: str, detail_key: str = "asked_id", file_bytes: int = 64 << 20) -> None:
+    """``notices`` (list), ``meta``, ``details`` and ``detail_index``, as JSON lines.
 
-    One file per notice would be millions of tiny files; a reader finds a copy in its bucket instead.
+    One file per notice would be millions of tiny files. Details are sorted by key into files of about ``file_bytes``
+    of JSON, however many that makes; the index holds the least and the largest key of each, so that a reader of one
+    copy opens the files that can hold it (``read_details``): one, unless a key has more rows than a file.
     """
     items.write.mode("errorifexists").json(f"{path}/notices")
     meta.write.mode("errorifexists").json(f"{path}/meta")
-    bucketed = details.withColumn("bucket", F.pmod(F.xxhash64(detail_key), F.lit(buckets)))
-    bucketed.repartition(buckets, "bucket").write.mode("errorifexists").partitionBy("bucket").json(f"{path}/details")
+    ensure_checkpoint_dir(details.sparkSession)
+    details = details.checkpoint()  # read three times: for its size, for the bounds of the files, to be written
+    size = details.agg(F.sum(F.octet_length(F.to_json(F.struct(*details.columns))))).first()[0] or 0
+    files = max(1, -(-size // file_bytes))
+    details.repartitionByRange(files, detail_key).sortWithinPartitions(detail_key).write.mode("errorifexists").json(f"{path}/details")
+    schema = f"{detail_key} {details.schema[detail_key].dataType.simpleString()}"
+    stored = details.sparkSession.read.schema(schema).json(f"{path}/details")
+    index = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min(detail_key).alias("least"), F.max(detail_key).alias("largest"), F.count("*").alias("rows"))
+    index.coalesce(1).write.mode("errorifexists").json(f"{path}/detail_index")
+
+
+def read_details(spark: SparkSession, path: str, schema: StructType, keys: list, detail_key: str = "asked_id") -> DataFrame:
+    """Rows of the given keys, from the files that the index names for them."""
+    kind = schema[detail_key].dataType
+    index = spark.read.schema(StructType().add("file", "string").add("least", kind).add("largest", kind)).json(f"{path}/detail_index")
+    between = reduce(lambda a, b: a | b, [F.lit(k).between(F.col("least"), F.col("largest")) for k in keys], F.lit(False))
+    names = [r["file"] for r in index.filter(between).select("file").collect()]  # files of the keys asked for
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json([f"{path}/details/{n}" for n in names]).filter(F.col(detail_key).isin(keys))

@@ -6,6 +6,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from noticelake.session import ship_package
 
 SAMPLE = 240  # pages that the labeller is fitted on
-VARIANTS = 4  # rewritten layouts of each of them
+MOST_CHARS = 200_000  # of a page in the sample
+VARIANTS = 8  # rewritten layouts of each of them
 HIDDEN = 24  # units a direction
 PATH_DIM, WORD_DIM, EXTRA = 24, 12, 6
-EPOCHS = 6
+EPOCHS = 10
 WINDOW = 400  # blocks that the recurrent net reads at once; its states go on to the next ones. Training reads no more of a page
 
 # Fixed names of HTML elements.
@@ -39,13 +41,14 @@ _PIECES = re.compile(r"[a-z0-9]+")
 
 class Path:
     """The words of an element on top of those of the elements around it, which share them: a page with deep nesting holds
-    each element's words once, and sums their vectors once."""
+    each element's words once, and sums their vectors once. ``new`` are its words that no element around it has."""
 
-    __slots__ = ("above", "words", "size", "total")
+    __slots__ = ("above", "words", "new", "size", "distinct", "total")
 
-    def __init__(self, words: tuple[str, ...], above: Path | None):
-        self.above, self.words, self.total = above, words, None
+    def __init__(self, words: tuple[str, ...], above: Path | None, new: tuple[str, ...]):
+        self.above, self.words, self.new, self.total = above, words, new, None
         self.size = len(words) + (above.size if above else 0)
+        self.distinct = len(new) + (above.distinct if above else 0)
 
     def __len__(self) -> int:
         return self.size
@@ -61,14 +64,14 @@ class Path:
         return tuple(self)[at]
 
     def sum(self) -> np.ndarray:
-        """The sum of the vectors of all its words."""
+        """The sum of the vectors of all its different words: many elements of one kind say no more than one."""
         open_, at = [], self
         while at is not None and at.total is None:
             open_.append(at)
             at = at.above
         total = at.total if at is not None else np.zeros(PATH_DIM)
         for level in reversed(open_):
-            total = level.total = total + _LEVELS[level.words]
+            total = level.total = total + _LEVELS[level.new] if level.new else total
         return total
 
 
@@ -110,6 +113,8 @@ def leaf_blocks(page: str) -> list[Block]:
     """
     blocks: list[Block] = []
     stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = {}  # of each element name, where it is open on the stack
+    held: Counter[str] = Counter()  # words of the open elements
     run: list[str] = []
     linked = links = 0
 
@@ -123,6 +128,12 @@ def leaf_blocks(page: str) -> list[Block]:
             run.clear()
         linked = 0
 
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            name, path = stack.pop()
+            places[name].pop()
+            held.subtract(path.words)
+
     at, size = 0, len(page)
     while at < size:
         tag = page.find("<", at)
@@ -169,16 +180,18 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in VOID_TAGS or name not in BLOCK_TAGS:
             continue
         if closing:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if places.get(name):
+                close(places[name][-1])
         else:
             while stack and name in CLOSES and stack[-1][0] in CLOSES[name]:
-                stack.pop()
+                close(len(stack) - 1)
             if stack and stack[-1][0] == "p" and name not in CLOSES:
-                stack.pop()
-            stack.append((name, Path(_words_of_tag(name, body[cut.end() :]), stack[-1][1] if stack else None)))
+                close(len(stack) - 1)
+            words = _words_of_tag(name, body[cut.end() :])
+            new = tuple(w for w in dict.fromkeys(words) if not held[w])
+            held.update(words)
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, Path(words, stack[-1][1] if stack else None, new)))
     flush()
     return blocks
 
@@ -233,7 +246,7 @@ def _sums(words: list[list[str]], table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """Vectors of the blocks: sums of hashed tag-path words, means of hashed words, and a few sizes."""
+    """Vectors of the blocks: sums of the different hashed tag-path words, means of hashed words, and a few sizes."""
     return page_features([blocks])[0]
 
 
@@ -242,10 +255,10 @@ def page_features(pages: list[list[Block]]) -> list[np.ndarray]:
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + EXTRA), np.float32)
     if blocks:
         words = [b.text.split() for b in blocks]
-        total, sizes = _sums([() if isinstance(b.path, Path) else b.path for b in blocks], _PATH)
+        total, sizes = _sums([() if isinstance(b.path, Path) else tuple(dict.fromkeys(b.path)) for b in blocks], _PATH)
         for k, b in enumerate(blocks):
             if isinstance(b.path, Path):
-                total[k], sizes[k] = b.path.sum(), len(b.path)
+                total[k], sizes[k] = b.path.sum(), b.path.distinct
         out[:, :PATH_DIM] = total / np.sqrt(sizes)[:, None]
         total, sizes = _sums(words, _WORD)
         out[:, PATH_DIM : PATH_DIM + WORD_DIM] = total / sizes[:, None]
@@ -399,9 +412,17 @@ _OTHERS = {
 }
 
 
+# Fixed elements that the blocks of an article may stand in.
+_INNER = [("p",), ("ul", "li"), ("ol", "li"), ("ul", "li", "p"), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("table", "tr", "th"), ("pre",), ("h2",), ("h3",), ("dl", "dd"), ("dl", "dt"), ("div",), ("figure", "figcaption"), ("section", "p"), ("section", "h2"), ()]
+
+
 def rewritten(blocks: list[Block], labels: np.ndarray, rng: random.Random) -> tuple[list[Block], np.ndarray]:
-    """The same article in another layout: other elements around it, and other blocks before, within and behind it."""
+    """The same article in another layout: other elements around it and in it, and other blocks before, within and behind
+    it. Some articles have lists, quotes, tables and plain ``div`` text, some are of one kind of block, some are short."""
     article = [b for b, y in zip(blocks, labels, strict=True) if y]
+    if rng.random() < 0.25:
+        article = article[: rng.randint(1, 3)]
+    mixed, only = rng.choice([0.0, 0.3, 0.7]), rng.choice(_INNER) if rng.random() < 0.25 else None
     words = [w for b in blocks for w in b.text.split()] or ["x"]
 
     def other(kind: str) -> Block:
@@ -426,7 +447,14 @@ def rewritten(blocks: list[Block], labels: np.ndarray, rng: random.Random) -> tu
     made: list[tuple[Block, float]] = [(b, 0.0) for b in some("head", 3) + some("near", 2)]
     for k, b in enumerate(article):
         last = b.path[-1:] if b.path and not b.path[-1].startswith(".") and b.path[-1] not in MAIN else ("p",)
-        made.append((Block((*around, *last), b.text, b.linked), 1.0))
+        text = b.text
+        if only is not None and last == ("p",):
+            last = only
+        elif rng.random() < mixed:
+            last = rng.choice(_INNER)
+            if last[-1:] != ("p",) and rng.random() < 0.5:
+                text = " ".join(text.split()[: rng.randint(1, 12)])
+        made.append((Block((*around, *last), text, min(b.linked, len(text)) if rng.random() < 0.95 else len(text)), 1.0))
         if k + 1 < len(article) and rng.random() < 0.08:
             extra = other("near")
             made.append((Block((*around, *extra.path[-2:]), extra.text, extra.linked) if inside else extra, 0.0))
@@ -434,18 +462,23 @@ def rewritten(blocks: list[Block], labels: np.ndarray, rng: random.Random) -> tu
     return [b for b, _ in made], np.array([y for _, y in made], np.float32)
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, variants: int = VARIANTS) -> Labeller:
-    """A labeller fitted on at most ``sample`` pages, chosen by a hash of their html, with their weak labels, and on
-    ``variants`` rewritten layouts of each."""
+def fit(pages: DataFrame, sample: int = SAMPLE, variants: int = VARIANTS, most_chars: int = MOST_CHARS) -> Labeller:
+    """A labeller fitted on at most ``sample`` pages of at most ``most_chars`` characters, chosen by a hash of their html,
+    with their weak labels, and on ``variants`` rewritten layouts of each. The sample comes to the driver, so its bound is
+    the product of the two."""
     rows = pages.select(F.col("html").cast("string").alias("html")).filter("html is not null")
     n = rows.count()
     place = F.pmod(F.xxhash64("html"), F.lit(1_000_003)) / F.lit(1_000_003)
-    near = rows.filter((place < min(1.0, 2.0 * sample / max(1, n) + 0.001)) & (F.length("html") < 200_000))
+    near = rows.filter((place < min(1.0, 2.0 * sample / max(1, n) + 0.001)) & (F.length("html") <= most_chars))
     chosen = near.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    return fit_pages([r["html"] for r in chosen], variants)
+
+
+def fit_pages(pages: list[str], variants: int = VARIANTS) -> Labeller:
     rng = random.Random(17)
     x, y = [], []
-    for r in chosen:
-        blocks = leaf_blocks(r["html"])[:WINDOW]
+    for page in pages:
+        blocks = leaf_blocks(page)[:WINDOW]
         labels = weak_labels(blocks)
         if not labels.any():
             continue

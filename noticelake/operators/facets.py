@@ -137,3 +137,8 @@ def freshness(checks: DataFrame, boards: DataFrame, notices: DataFrame) -> DataF
         notices.select(F.lit(None).cast("timestamp").alias("checked_at"), "crawled_at")
     )
     return both.agg(F.coalesce(F.min("checked_at"), F.max("crawled_at")).alias("last_checked_at"))
+
+
+def board_checks(checks: DataFrame, boards: DataFrame) -> DataFrame:
+    """One row per known board, ``ord`` giving the registry's order: source, ord, checked_at (null before its first check)."""
+    return boards.select("source", "ord").join(checks.select("source", "checked_at"), "source", "left")

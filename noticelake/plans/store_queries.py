@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import text
-from noticelake.operators import cdc, facets, listing, notice_store, resolve, runs, views
+from noticelake.operators import cdc, facets, listing, match, notice_store, resolve, runs, views
 from noticelake.plans import adapters as ad
 from noticelake.plans import registry
 from noticelake.plans.adapters import ctes
@@ -659,6 +659,32 @@ def _(spark, sf):
     return out.select(F.date_format("last_checked_at", "yyyy-MM-dd HH:mm:ss").alias("last_checked_at"))
 
 
+@query(
+    "board_checks",
+    ctes(ad.BOARD_DIM)
+    + """SELECT b.source, b.ord, coalesce(strftime(c.t, '%Y-%m-%d %H:%M:%S'), '-') AS checked_at FROM board_dim b
+LEFT JOIN (SELECT 'src' || (user_id % 20) AS source, arg_max(ts, event_id) AS t FROM events WHERE user_id % 20 <> 3 GROUP BY 1) c USING (source)""",
+)
+def _(spark, sf):
+    """One board, src3, has not been checked yet."""
+    checks = cdc.last_checks(check_log(spark, sf).filter("source <> 'src3'"))
+    out = facets.board_checks(checks, ad.board_dim(spark, sf))
+    return out.select("source", "ord", F.coalesce(F.date_format("checked_at", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("checked_at"))
+
+
+@query(
+    "board_units",
+    ctes(*GROUPED, ad.BOARD_DIM)
+    + """SELECT group_id AS id, coalesce(string_agg(DISTINCT major, '|' ORDER BY major), '') AS majors, coalesce(string_agg(DISTINCT college, '|' ORDER BY college), '') AS colleges
+FROM grouped LEFT JOIN board_dim USING (source) GROUP BY group_id""",
+)
+def _(spark, sf):
+    """Majors and colleges of all boards that a notice or a copy of it was posted on."""
+    copies = ad.grouped_docs(spark, sf).select(F.col("group_id").alias("id"), "source")
+    out = match.board_units(copies, ad.board_dim(spark, sf))
+    return out.select("id", F.array_join("b_majors", "|").alias("majors"), F.array_join("b_colleges", "|").alias("colleges"))
+
+
 @query("category_filter", ctes(*LIST) + "SELECT id, status FROM items WHERE coalesce(category, 'pending') = 'academic'")
 def _(spark, sf):
     return facets.filter_category(doc_items(spark, sf), "academic").select("id", "status")

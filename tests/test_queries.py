@@ -7,7 +7,7 @@ import __spark_entry__ as entry_points
 import check
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["canonical_list", "same_pairs", "upsert_apply", "limit_regular", "stop_policy", "day_union", "for_you_topk", "search_excerpt", "json_contract", "page_links"]
+SAMPLE = ["canonical_list", "same_pairs", "upsert_apply", "limit_regular", "stop_policy", "day_union", "for_you_topk", "search_excerpt", "json_contract", "page_links", "board_checks", "board_units", "export_ics_folded", "search_best_text"]
 
 
 def test_registry():

@@ -15,8 +15,8 @@ FOOT = "<footer><p>© 2024 All rights reserved</p></footer>"
 
 @pytest.fixture(scope="module")
 def net():
-    pages = sorted(pd.read_parquet(PAGES)["html"].dropna())
-    return html_blocks.fit_pages(pages[:: max(1, len(pages) // html_blocks.SAMPLE)][: html_blocks.SAMPLE])
+    """Fitted on as many pages as the query's."""
+    return html_blocks.fit_pages(sorted(pd.read_parquet(PAGES)["html"].dropna())[: html_blocks.SAMPLE])
 
 
 def lines(net, page):
@@ -53,12 +53,13 @@ def test_end_tags_reach_any_depth():
     assert [b.path for b in html_blocks.leaf_blocks("</div>a</p>")] == [()]
 
 
-def test_held_out_layouts(net):
-    """Layouts that the fit has not seen: other pages, rewritten with another seed."""
+def test_held_out_layouts():
+    """Every second page is fitted; the others, rewritten with another seed, are judged."""
     pages = sorted(pd.read_parquet(PAGES)["html"].dropna())
-    rng = random.Random(99)
+    net = html_blocks.fit_pages(pages[::2])
+    rng = random.Random(20261)
     kept = lost = let_in = out = 0
-    for page in pages[1::7]:
+    for page in pages[1::2]:
         blocks = html_blocks.leaf_blocks(page)
         labels = html_blocks.weak_labels(blocks)
         if not labels.any():

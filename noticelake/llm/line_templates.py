@@ -11,12 +11,12 @@ from noticelake.llm.common import BROADCAST_ROWS, cut, small_side
 
 BLANKS = r"[\x20\x09-\x0D]+"
 DEPTH = 4  # leading tokens that lead to a leaf, after the token count
-WIDE_DEPTH = 2  # the same in the pipeline, so that a variable field may stand further to the front
+WIDE_DEPTH = 2  # the same in the query and the pipeline, so that a variable field may stand further to the front
 MIN_TOKENS = 3  # shorter lines are no template
 MIN_DOCS = 3  # documents in which a template recurs
 CONSTANT = 70  # percent of a template's tokens that are not variable, at least
 ANY = "<*>"
-MIN_COPIES = 2  # documents in which an exact line recurs in the pipeline; MIN_DOCS for a short one
+MIN_COPIES = 2  # documents in which an exact line recurs; MIN_DOCS for a short one
 LONG_CHARS = 16  # a line of fewer tokens than MIN_TOKENS is short below it; scripts without spaces have one token a line
 SHINGLE = r"(?<!\S)(?=(\S+(?:\s+\S+){4}))"  # five words, from each word on
 SKETCH = 128  # smallest shingle hashes by which near copies are judged
@@ -105,8 +105,7 @@ def drop_recurring_lines(docs: DataFrame, cleaned: str = "text", dropped: str =
     without doc_id count as one document, which is never the first one unless it is alone. Lines of fewer than three
     tokens, blank lines and null texts stay. Rows that share doc_id and text are treated alike. Other columns stay.
 
-    ``wide`` is the whole job, and what the pipeline does; without it the rows are those of the SQL twin. With it, the
-    first two tokens alone lead to a leaf, and tokens with a digit become a variable in every line that has a word
+    ``wide`` is the whole job, and what the query and the pipeline do. With it, the first two tokens alone lead to a leaf, and tokens with a digit become a variable in every line that has a word
     besides them. Also, an exact line (runs of white space count as one blank) is dropped from all documents but the one
     with the smallest doc_id if two documents have it; a line of one or two tokens and under 16 characters if three have
     it and it has a letter or a digit. Lines of fewer than three tokens are in no template.

@@ -103,19 +103,24 @@ def op5_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT r, doc_id, pos, list_filter(regexp_split_to_array(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS u
+      FROM (SELECT r, doc_id, ls, unnest(range(0, len(ls))) AS pos FROM d WHERE text IS NOT NULL)),
 l AS (
-  SELECT r, doc_id, pos, list_filter(regexp_split_to_array(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS u,
-         list_transform(u, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m, array_to_string(m, ' ') AS ms,
-         CASE WHEN (length(ms) - length(replace(ms, '<*>', ''))) // 3 * 100 <= len(u) * 30 THEN m ELSE u END AS t
-  FROM (SELECT r, doc_id, ls, unnest(range(0, len(ls))) AS pos FROM d WHERE text IS NOT NULL)),
-ll AS (SELECT r, doc_id, pos, len(t) AS n, array_to_string(t[1:4], ' ') AS head, array_to_string(t, ' ') AS s, t FROM l WHERE len(t) >= 3),
+  SELECT r, doc_id, pos, array_to_string(u, ' ') AS raw, list_transform(u, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m,
+         CASE WHEN regexp_matches(array_to_string(m, ' '), '\p{L}') THEN m ELSE u END AS t,
+         CASE WHEN len(u) >= 3 OR length(raw) >= 16 THEN 2 WHEN regexp_matches(raw, '[\p{L}\p{N}]') THEN 3 END AS need
+  FROM u WHERE len(u) > 0),
+same AS (SELECT raw, min(doc_id) AS first FROM l WHERE need IS NOT NULL GROUP BY raw, need HAVING count(DISTINCT coalesce(doc_id, -1)) >= need),
+ll AS (SELECT r, doc_id, pos, len(t) AS n, array_to_string(t[1:2], ' ') AS head, array_to_string(t, ' ') AS s, t FROM l WHERE len(t) >= 3),
 held AS (SELECT n, head, s, any_value(t) AS t, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM ll GROUP BY n, head, s),
 tok AS (SELECT n, head, s, docs, unnest(range(1, n + 1)) AS place, unnest(t) AS token FROM held),
 sup AS (SELECT n, head, place, token FROM tok GROUP BY n, head, place, token HAVING sum(docs) >= 3),
 fix AS (SELECT n, head, s, count(*) AS c, string_agg(place - 1 || ':' || token, ' ' ORDER BY place) AS g FROM tok JOIN sup USING (n, head, place, token) WHERE token <> '<*>' GROUP BY n, head, s),
 tem AS (SELECT h.n, h.head, h.s, CASE WHEN coalesce(c, 0) * 100 >= h.n * 70 THEN g ELSE '=' || h.s END AS tpl FROM held h LEFT JOIN fix f ON f.n = h.n AND f.head = h.head AND f.s = h.s),
 rec AS (SELECT n, head, tpl, min(doc_id) AS first FROM ll JOIN tem USING (n, head, s) GROUP BY n, head, tpl HAVING count(DISTINCT coalesce(doc_id, -1)) >= 3),
-gone AS (SELECT r, list(pos) AS gone FROM ll JOIN tem USING (n, head, s) JOIN rec USING (n, head, tpl) WHERE ll.doc_id IS DISTINCT FROM rec.first GROUP BY r)
+out AS (SELECT r, pos FROM ll JOIN tem USING (n, head, s) JOIN rec USING (n, head, tpl) WHERE ll.doc_id IS DISTINCT FROM rec.first
+        UNION SELECT r, pos FROM l JOIN same USING (raw) WHERE l.doc_id IS DISTINCT FROM same.first),
+gone AS (SELECT r, list(pos) AS gone FROM out GROUP BY r)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
        CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]), chr(10)) END AS kept_text
 FROM d LEFT JOIN gone USING (r)"""
@@ -124,7 +129,7 @@ FROM d LEFT JOIN gone USING (r)"""
 @query("op6_line_templates", OP6_SQL)
 def op6_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return line_templates.drop_recurring_lines(docs, cleaned="kept_text").select("doc_id", "n_lines", "n_dropped", "kept_text")
+    return line_templates.drop_recurring_lines(docs, cleaned="kept_text", wide=True).select("doc_id", "n_lines", "n_dropped", "kept_text")
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,33 +38,29 @@ def anchor_stride(size: int) -> tuple[int, int]:
 def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, h, start, size, item_id): each place in a document where a window of an item occurs.
 
-    ``h`` is a hash of the text, so that rows with one doc_id but other texts stay apart. Windows are found in two
-    scans. Anchors, about half a window long, are looked up at every stride-th word of each document in the hash set
-    of all anchors of the items; only around a found anchor are the windows spelt out and compared in full.
+    ``h`` is a hash of the text, so that rows with one doc_id but other texts stay apart. Documents are read once for
+    windows of all sizes. Anchors, about half a window long, are looked up at every stride-th word of each document in
+    the hash set of all anchors of the items; only around a found anchor are the windows spelt out and compared in full.
     """
     wins = cut(item_windows(items, window))
     sizes = sorted(r["size"] for r in wins.select("size").distinct().collect())  # 1 to ``window`` at most
-    words = docs.select("doc_id", F.xxhash64("text").alias("h"), normal_words(F.col("text")).alias("w"))
-    hits = []
-    for size in sizes:
-        stride, length = anchor_stride(size)
-        own = wins.filter(F.col("size") == size)
-        spelt = own.select(F.split("gram", " ").alias("g"))
-        anchors = spelt.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - length)), lambda i: F.concat_ws(" ", F.slice("g", i + 1, length)))).alias("a"))
-        anchors = small_side(cut(anchors.select(F.xxhash64("a").alias("anchor")).distinct()), MAX_BROADCAST)
-        last = F.size("w") - length
-        scan = words.filter(F.size("w") >= size).select(
-            "doc_id", "h", "w", F.posexplode(F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda p: F.xxhash64(_gram("w", p, length)))).alias("k", "anchor")
-        )
-        found = scan.join(anchors, "anchor").withColumn("p", F.col("k") * stride)
-        near = F.sequence(F.greatest(F.col("p") - (size - length), F.lit(0)), F.least(F.col("p"), F.size("w") - size))
-        places = found.filter((F.size("w") >= size) & (F.greatest(F.col("p") - (size - length), F.lit(0)) <= F.least(F.col("p"), F.size("w") - size)))
-        places = places.select("doc_id", "h", F.explode(F.transform(near, lambda s: F.struct(s.alias("start"), _gram("w", s, size).alias("gram")))).alias("x"))
-        places = places.select("doc_id", "h", "x.start", "x.gram")
-        hits.append(places.join(small_side(own, MAX_BROADCAST), "gram").select("doc_id", "h", "start", "size", "item_id"))
-    if not hits:
+    if not sizes:
         return wins.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("start"), "size", "item_id").limit(0)
-    return reduce(DataFrame.union, hits).distinct()
+    steps = [F.struct(F.lit(n).alias("size"), F.lit(anchor_stride(n)[0]).alias("stride"), F.lit(anchor_stride(n)[1]).alias("length")) for n in sizes]
+    size, stride, length = (F.col(f"step.{x}") for x in ("size", "stride", "length"))
+    spelt = wins.withColumn("step", F.explode(F.array(*steps))).filter(size == F.col("size")).select("step", F.split("gram", " ").alias("g"))
+    anchors = spelt.select(size.alias("size"), F.explode(F.transform(F.sequence(F.lit(0), size - length), lambda i: F.xxhash64(_gram("g", i, length)))).alias("anchor"))
+    anchors = small_side(cut(anchors.distinct()), MAX_BROADCAST)
+    words = docs.select("doc_id", F.xxhash64("text").alias("h"), normal_words(F.col("text")).alias("w"))
+    scan = words.withColumn("step", F.explode(F.array(*steps))).filter(F.size("w") >= size)
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - length, stride), lambda p: F.xxhash64(_gram("w", p, length)))
+    scan = scan.select("doc_id", "h", "w", size.alias("size"), stride.alias("stride"), length.alias("length"), F.posexplode(places).alias("k", "anchor"))
+    found = scan.join(anchors, ["size", "anchor"]).withColumn("p", F.col("k") * F.col("stride"))
+    first = F.greatest(F.col("p") - (F.col("size") - F.col("length")), F.lit(0))
+    last = F.least(F.col("p"), F.size("w") - F.col("size"))
+    near = F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), _gram("w", s, F.col("size")).alias("gram")))
+    near = found.filter(first <= last).select("doc_id", "h", "size", F.explode(near).alias("x")).select("doc_id", "h", "size", "x.start", "x.gram")
+    return near.join(small_side(wins, MAX_BROADCAST), ["size", "gram"]).select("doc_id", "h", "start", "size", "item_id").distinct()
 
 
 def _per_text(hits: DataFrame) -> DataFrame:

@@ -53,10 +53,13 @@ def _lines(docs: DataFrame, wide: bool) -> DataFrame:
 
 def _exact_places(lines: DataFrame) -> DataFrame:
     """(doc_id, h, pos) of each line that stands in another document as well, but for the first one."""
-    per_doc = lines.groupBy("exact", "docs", "doc_id").agg(F.lit(1).alias("one"))
-    recur = per_doc.groupBy("exact", "docs").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= F.col("docs"))
-    recur = small_side(cut(recur.select("exact", "docs", "first")))
-    return lines.join(recur, ["exact", "docs"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    # two documents are told by the least and the greatest id, with one row a line and task in the shuffle
+    ends = lines.filter(F.col("docs") == MIN_COPIES).groupBy("exact").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    twice = ends.filter((F.col("first") != F.col("last")) | F.col("unnamed")).select("exact", "first")
+    short = lines.filter(F.col("docs") > MIN_COPIES).select("exact", "docs", "doc_id").distinct()
+    often = short.groupBy("exact", "docs").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= F.col("docs"))
+    recur = small_side(cut(twice.union(often.select("exact", "first")).filter("first is not null")))
+    return lines.join(recur, "exact").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
 
 
 def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
@@ -75,13 +78,19 @@ def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     # one copy of the text of each such line
     texts = lines.select("leaf", "line", "s").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("s").alias("s"))
     one = cut(texts.join(held, ["leaf", "line"]))
-    tokens = one.select("leaf", "line", "docs", F.posexplode(F.split("s", " ")).alias("at", "token"))
+    # all lines of a leaf have its leading tokens, so these are constant where the leaf has enough lines at all, and only
+    # the tokens behind them are counted
+    head = WIDE_DEPTH if wide else DEPTH
+    held_leaves = small_side(cut(one.groupBy("leaf").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS).select("leaf")))
+    one = one.join(held_leaves, "leaf", "left_semi")
+    tokens = one.select("leaf", "line", "docs", F.posexplode(F.split("s", " ")).alias("at", "token")).filter(F.col("at") >= head)
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
     fixed = tokens.filter(F.col("token") != ANY).join(support.select("leaf", "at", "token"), ["leaf", "at", "token"], "left_semi")
     fixed = fixed.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    named = one.join(fixed, ["leaf", "line"], "left")
+    leading = F.filter(F.transform(F.slice(F.split("s", " "), 1, head), lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda x: x["token"] != ANY)
+    named = one.join(fixed, ["leaf", "line"], "left").withColumn("kept", F.when(F.col("kept").isNull(), leading).otherwise(F.concat(leading, "kept")))
     general = F.concat_ws(" ", F.transform("kept", lambda x: F.concat_ws(":", x["at"].cast("string"), x["token"])))
-    enough = F.coalesce(F.size("kept"), F.lit(0)) * 100 >= F.size(F.split("s", " ")) * CONSTANT
+    enough = F.size("kept") * 100 >= F.size(F.split("s", " ")) * CONSTANT
     named = named.select("leaf", "line", F.when(enough, F.xxhash64(general)).otherwise(F.xxhash64(F.concat(F.lit("="), F.col("s")))).alias("template"))
     # documents of each template; its first document keeps it
     found = cut(narrow.join(small_side(cut(named)), ["leaf", "line"]).select("doc_id", "h", "pos", "leaf", "template"))

@@ -31,7 +31,8 @@ def test_fields_in_the_first_tokens_and_short_numbered_lines(spark):
 
 def test_exact_lines_in_two_documents_and_short_lines(spark):
     twice, script = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "今日は学校の図書館で新しい本を読みました。"
-    texts = [(0, f"{own(0)}\n{twice}\nRead more\n}}\nOnce"), (1, f"{own(1)}\nRead  more\n}}\n{script}"), (2, f"{own(2)}\n {twice}\nRead more\n}}\nTwice\n\n"), (3, f"{own(3)}\n{script}\nTwice"), (4, f"{twice}")]
+    more = " ".join(f"q{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))  # so that document 4 is no near copy of document 0
+    texts = [(0, f"{own(0)}\n{more}\n{twice}\nRead more\n}}\nOnce"), (1, f"{own(1)}\nRead  more\n}}\n{script}"), (2, f"{own(2)}\n {twice}\nRead more\n}}\nTwice\n\n"), (3, f"{own(3)}\n{script}\nTwice"), (4, f"{twice}")]
     got = stage_texts(spark, texts)
     assert got == {0: texts[0][1], 1: f"{own(1)}\n}}\n{script}", 2: f"{own(2)}\n}}\nTwice\n\n", 3: f"{own(3)}\nTwice"}
 

@@ -96,3 +96,15 @@ def append_analysis(history: DataFrame, results: DataFrame, order: list[Column])
     """New analysis versions with ids above the stored maximum, ready to append to the history."""
     top = history.agg(F.coalesce(F.max("analysis_id"), F.lit(-1)).alias("top")).first()["top"]
     return with_global_index(results, order, "analysis_id").withColumn("analysis_id", F.col("analysis_id") + F.lit(top + 1))
+
+
+VERSION_JSON = {
+    "summary": "summary_json", "evidence": "evidence_json", "uncertain": "uncertain_fields_json",
+    "validation_warnings": "validation_warnings_json", "en": "en_json",
+}  # nested fields of a reply and the text columns that hold them
+
+
+def version_rows(results: DataFrame, prompt_version: str, created_at: Column) -> DataFrame:
+    """Replies as stored version rows: nested fields as JSON text, null fields named, the other columns as they are."""
+    coded = {name: F.to_json(F.col(field), {"ignoreNullFields": "false"}) for field, name in VERSION_JSON.items()}
+    return results.withColumns({**coded, "prompt_version": F.lit(prompt_version), "created_at": created_at}).drop(*VERSION_JSON)

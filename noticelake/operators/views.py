@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticelake import schemas
+from noticelake.operators import resolve
 from noticelake.operators.skew import hot_lookup_join
 
 FAR_PAST = 1 << 30
@@ -138,3 +140,30 @@ def stored_record(rows: DataFrame) -> DataFrame:
     return rows.select(
         "source", "source_notice_id", "source_url", "title", "original_content", "published_at", "board_category", "crawled_at"
     )
+
+
+def stored_list(rows: DataFrame, boards: DataFrame, analysis_columns: list[str]) -> DataFrame:
+    """The list over stored groups: a copy whose canonical row is gone is listed on its own; boards are in registry order.
+
+    ``rows``: with_latest_analysis over stored notices with ``dup_of``. Boards that the registry lacks come last, by name.
+    """
+    own = resolve.orphan_groups(rows.drop("group_id"))
+    n = boards.count()
+    dim = boards.select("source", "ord")
+    placed = own.select("group_id", "source").join(F.broadcast(dim) if n <= 100_000 else dim, "source", "left")
+    order = F.array_sort(F.collect_set(F.struct(F.coalesce("ord", F.lit(n)).alias("ord"), "source")))
+    placed = placed.groupBy("group_id").agg(F.transform(order, lambda x: x["source"]).alias("boards"))
+    return canonical_list(own, analysis_columns).drop("boards").join(placed, "group_id")
+
+
+def stored_detail(rows: DataFrame, asked: DataFrame, analysis_columns: list[str]) -> DataFrame:
+    """``detail_by_copy`` over stored groups, with ``attachments`` decoded from ``attachments_json`` (none: empty).
+
+    Of a group whose canonical row is gone, the remaining copy with the lowest id stands for all of them.
+    """
+    root = F.coalesce("dup_of", "id")
+    heads = rows.groupBy(root.alias("_root")).agg(F.min(F.struct(F.col("dup_of").isNotNull().alias("copy"), "id")).alias("f"), F.count("*").alias("_n"))
+    heads = heads.select("_root", F.col("f.id").alias("group_id"), "_n")
+    own = hot_lookup_join(rows.drop("group_id").withColumn("_root", root), heads, ["_root"], "id", "_n").drop("_root")
+    files = F.coalesce(F.from_json("attachments_json", schemas.ATTACHMENTS), F.array().cast(schemas.ATTACHMENTS))
+    return detail_by_copy(own, asked, analysis_columns).withColumn("attachments", files).drop("attachments_json")

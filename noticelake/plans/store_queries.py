@@ -746,3 +746,92 @@ def _(spark, sf):
         "id", "kind", F.coalesce("college", F.lit("-")).alias("college"), F.coalesce("major", F.lit("-")).alias("major"), "ord",
         board_label(F.col("major"), F.col("college")).alias("label"),
     )
+
+
+# --- stored groups, details and version rows --------------------------------------------------------------
+
+STORED = """stored AS (
+  SELECT k.* EXCLUDE (group_id), k.dup_of IS NOT NULL AND p.id IS NULL AS orphan,
+         CASE WHEN p.id IS NULL THEN k.id ELSE k.dup_of END AS group_id
+  FROM (SELECT * FROM grouped WHERE published_at >= DATE '2026-09-02') k
+  LEFT JOIN (SELECT id FROM grouped WHERE published_at >= DATE '2026-09-02') p ON p.id = k.dup_of)"""
+STORED_LATEST = ad.DOC_LATEST.replace("FROM grouped n", "FROM stored n")
+
+
+def stored_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the groups after the retention day, with the newest analysis."""
+    kept = ad.grouped_docs(spark, sf).drop("group_id").filter("published_at >= DATE '2026-09-02'")
+    return views.with_latest_analysis(kept, ad.analysis_docs(spark, sf), ANALYSIS_COLS)
+
+
+@query(
+    "stored_list",
+    ctes(*GROUPED, STORED, ad.ANALYSIS_DOCS, STORED_LATEST, ITEMS.replace("c.dup_of IS NULL", "c.id = c.group_id"), ad.BOARD_DIM)
+    + """, placed AS (SELECT group_id, array_to_string(list(source ORDER BY ord), ',') AS boards
+  FROM (SELECT DISTINCT group_id, source, ord FROM latest JOIN board_dim USING (source)) GROUP BY group_id)
+SELECT i.id, p.boards, i.n_copies, i.status, i.shown_id, coalesce(i.category, 'pending') AS category FROM items i JOIN placed p USING (group_id)""",
+)
+def _(spark, sf):
+    """The list over groups of which some lost their canonical row, boards in registry order."""
+    out = views.stored_list(stored_docs(spark, sf), ad.board_dim(spark, sf), ANALYSIS_COLS)
+    category = facets.category_or_pending(F.col("category")).alias("category")
+    return out.select("id", F.array_join("boards", ",").alias("boards"), "n_copies", "status", "shown_id", category)
+
+
+@query(
+    "stored_detail",
+    ctes(*GROUPED, STORED.replace("CASE WHEN p.id IS NULL THEN k.id ELSE k.dup_of END", "min(k.id) OVER (PARTITION BY coalesce(k.dup_of, k.id))"), ad.ANALYSIS_DOCS, STORED_LATEST)
+    + """, ladder AS (
+  SELECT group_id, id AS shown_id, status, row_number() OVER (PARTITION BY group_id ORDER BY
+           CASE WHEN id = group_id AND status = 'ready' THEN 0 WHEN status = 'ready' THEN 1
+                WHEN id = group_id AND status = 'stale' THEN 2 WHEN status = 'stale' THEN 3
+                WHEN id = group_id THEN 4 ELSE 5 END, id) AS rn FROM latest)
+SELECT q.id AS asked_id, c.id AS canonical_id, CASE WHEN c.id % 5 > 0 THEN 'office ' || c.id % 7 ELSE '-' END AS author,
+       CASE c.id % 3 WHEN 0 THEN '' WHEN 1 THEN 'file:"' || c.title || '".pdf' ELSE 'file:"' || c.title || '".pdf,image:2.png' END AS attachments,
+       sha256(c.original_content) AS body_hash, l.status, l.shown_id
+FROM latest q JOIN latest c ON c.id = q.group_id JOIN ladder l ON l.group_id = c.id AND l.rn = 1""",
+)
+def _(spark, sf):
+    """The detail of every stored copy, with author and attachments of the row that stands for its group."""
+    pdf = F.struct(F.lit("file").alias("kind"), F.concat(F.lit('"'), "title", F.lit('".pdf')).alias("name"), F.col("source_url").alias("url"))
+    image = F.struct(F.lit("image").alias("kind"), F.lit("2.png").alias("name"), F.col("source_url").alias("url"))
+    files = F.when(F.col("id") % 3 == 1, F.to_json(F.array(pdf))).when(F.col("id") % 3 == 2, F.to_json(F.array(pdf, image)))
+    author = F.when(F.col("id") % 5 > 0, F.concat(F.lit("office "), (F.col("id") % 7).cast("string")))
+    rows = stored_docs(spark, sf).withColumns({"author": author, "attachments_json": files})
+    out = views.stored_detail(rows, rows.select("id"), ANALYSIS_COLS)
+    named = F.array_join(F.transform("attachments", lambda x: F.concat(x["kind"], F.lit(":"), x["name"])), ",")
+    return out.select(
+        "asked_id", "canonical_id", F.coalesce("author", F.lit("-")).alias("author"), named.alias("attachments"),
+        F.sha2("original_content", 256).alias("body_hash"), "status", "shown_id",
+    )
+
+
+@query(
+    "append_version",
+    ctes(DOCS, ad.ANALYSIS_DOCS)
+    + """SELECT n.id AS notice_id, (SELECT max(analysis_id) FROM analysis_docs) + row_number() OVER (ORDER BY n.source, n.id) AS analysis_id,
+       n.content_hash, 'stub' AS provider, 'stub-' || n.board_category AS model, 'v3' AS prompt_version, '2026-09-08' AS created,
+       CAST(to_json([n.title, n.source]) AS VARCHAR) AS summary_json,
+       CAST(to_json([{'field': 'title', 'quote': n.title}]) AS VARCHAR) AS evidence_json,
+       CASE WHEN n.id % 2 = 0 THEN '["target"]' ELSE '[]' END AS uncertain_fields_json,
+       CASE WHEN n.id % 3 = 0 THEN '["no date in the text"]' ELSE '[]' END AS validation_warnings_json,
+       CAST(to_json({'title': n.title, 'target': CAST(NULL AS VARCHAR)}) AS VARCHAR) AS en_json,
+       'reply ' || n.title AS raw_response
+FROM notice_docs n WHERE n.id NOT IN (SELECT notice_id FROM analysis_docs)""",
+)
+def _(spark, sf):
+    """The whole stored row of each new version: provider, model, prompt version, warnings and raw reply as well."""
+    history = ad.analysis_docs(spark, sf)
+    todo = ad.notice_docs(spark, sf).join(history.select(F.col("notice_id").alias("id")), "id", "left_anti")
+    none = F.array().cast("array<string>")
+    replies = todo.select(
+        F.col("id").alias("notice_id"), "source", "content_hash", F.lit("stub").alias("provider"),
+        F.concat(F.lit("stub-"), "board_category").alias("model"), F.array("title", "source").alias("summary"),
+        F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("quote"))).alias("evidence"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("target"))).otherwise(none).alias("uncertain"),
+        F.when(F.col("id") % 3 == 0, F.array(F.lit("no date in the text"))).otherwise(none).alias("validation_warnings"),
+        F.struct("title", F.lit(None).cast("string").alias("target")).alias("en"), F.concat(F.lit("reply "), "title").alias("raw_response"),
+    )
+    rows = cdc.version_rows(replies, "v3", F.lit("2026-09-08 00:00:00").cast("timestamp"))
+    out = cdc.append_analysis(history, rows, [F.col("source"), F.col("notice_id")])
+    return out.withColumn("created", F.date_format("created_at", "yyyy-MM-dd")).drop("source", "created_at")

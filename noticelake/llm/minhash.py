@@ -332,4 +332,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _one_of_each(docs)
     gone = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = small_side(cut(gone))
-    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = rows.select("_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # its columns may have any names
+    return whole.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -52,6 +52,12 @@ def test_near_dedup_of_repeated_rows(spark):
     assert minhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_of_columns_with_inner_names(spark):
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words")]).selectExpr("*", "7 AS _gone", "8 AS _row")
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["_gone"], r["_row"]) for r in kept.collect()) == [(1, 7, 8), (3, 7, 8)]
+
+
 def test_language_of_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     copies = frame(spark, [(10**6 + i, "la la la lo li lu") for i in range(5000)]).withColumn("lang", F.lit("xx"))

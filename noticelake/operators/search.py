@@ -85,18 +85,25 @@ def search_many(items: DataFrame, queries: dict[str, str] | DataFrame, lang: str
     return _search_index(ready, queries, item_id).drop("search_forms")
 
 
+def query_classes(queries: DataFrame) -> DataFrame:
+    """``queries`` (query_id, query) plus ``query_class``: equal for queries of the same terms, which find the same items."""
+    return queries.withColumn("query_class", F.array_join(F.array_sort(F.array_distinct(query_terms(F.col("query")))), " "))
+
+
 def _search_index(ready: DataFrame, queries: DataFrame, item_id: str) -> DataFrame:
     ensure_checkpoint_dir(ready.sparkSession)
-    asked = queries.select("query_id", query_terms(F.col("query")).alias("terms")).checkpoint()
-    worded = asked.filter(F.size("terms") > 0)
-    met = candidates(ready.select(F.col(item_id).alias("text_id"), F.col("search_forms").alias("parts")), worded.select(F.col("query_id").alias("needle_id"), "terms"))
-    few = worded.count() <= BROADCAST_GRAMS // 4
-    terms = worded.select(F.col("query_id").alias("needle_id"), F.col("terms").alias("_terms"))
-    met = met.join(F.broadcast(terms) if few else terms, "needle_id").withColumnRenamed("text_id", "_item")
+    asked = query_classes(queries).select("query_id", "query_class").checkpoint()
+    worded = asked.filter("query_class != '' and query_id is not null")
+    # queries of the same terms are searched as one
+    classes = worded.select(F.col("query_class").alias("needle_id")).distinct().withColumn("terms", F.split("needle_id", " ")).checkpoint()
+    met = candidates(ready.select(F.col(item_id).alias("text_id"), F.col("search_forms").alias("parts")), classes)
+    met = met.withColumnsRenamed({"text_id": "_item", "terms": "_terms", "needle_id": "_class"})
     rows = ready.join(met, ready[item_id] == met["_item"])
     rows = rows.filter(F.forall("_terms", lambda t: _in_some_field(F.col("search_forms"), t)))
-    rows = rows.withColumn("query_id", F.col("needle_id")).select(*ready.columns, "query_id")
-    blank = asked.filter(F.size("terms") == 0).select("query_id")
+    ids = worded.withColumnRenamed("query_class", "_class")
+    few = worded.count() <= BROADCAST_GRAMS // 4
+    rows = rows.join(F.broadcast(ids) if few else ids, "_class").select(*ready.columns, "query_id")
+    blank = asked.filter("query_class = ''").select("query_id")
     if blank.isEmpty():
         return rows
     # every item for each of them: the rows asked for, made item by item from a list that is small or else comes in parts

@@ -96,8 +96,12 @@ def _(spark, sf):
     third = F.when(key % 3 == 0, "Academic").when(key % 3 == 1, "READERSof").otherwise(F.concat(F.lit("x"), key.cast("string")))
     saved = ad.table(spark, sf, "customer").select(
         key.alias("query_id"), F.concat(F.substring("c_mktsegment", 1, 3), F.lit("  src"), (key % 20).cast("string"), F.lit(" "), third).alias("query"))
-    out = search.search_many(search_items(spark, sf), saved)
-    return out.groupBy("query_id").agg(F.count("*").alias("n_items"), F.min("id").alias("first_item"))
+    # customers who ask for the same terms find the same items: these are counted once
+    classes = search.query_classes(saved)
+    asked = classes.select(F.col("query_class").alias("query_id"), F.col("query_class").alias("query")).distinct()
+    out = search.search_many(search_items(spark, sf), asked)
+    found = out.groupBy(F.col("query_id").alias("query_class")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return classes.join(found, "query_class").groupBy("query_id").agg(F.sum("n").alias("n_items"), F.min("first").alias("first_item"))
 
 
 @query(

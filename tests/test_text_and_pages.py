@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import dates, labels
 from noticelake.functions import text as texts
-from noticelake.operators import analyse, search, validate
+from noticelake.operators import analyse, grams, search, validate
 from noticelake.operators import calendar as cal
 from noticelake.sources import calendar_files as files
 from noticelake.sources import pages as pg
@@ -56,6 +56,29 @@ def test_many_thousand_saved_queries(spark):
     assert {r["query_id"]: r["count"] for r in got} == {q: n for q, n in want.items() if n}
 
 
+def test_saved_queries_of_the_same_terms_are_searched_once(spark, monkeypatch):
+    rows = [item(i, f"notice {i} of board b{i % 7}") for i in range(40)]
+    table = spark.range(3000).selectExpr("id AS query_id", "CASE id % 3 WHEN 0 THEN 'notice B1' WHEN 1 THEN ' b1  NOTICE b1' ELSE concat('zz', id) END AS query")
+    asked, real = [], search.candidates
+    monkeypatch.setattr(search, "candidates", lambda texts, needles: asked.append(needles.count()) or real(texts, needles))
+    got = search.search_many(spark.createDataFrame(rows, ITEM), table).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {q: 6 for q in range(3000) if q % 3 != 2}
+    assert asked == [1001]
+
+
+@pytest.mark.parametrize("listed", [0, 64])
+def test_many_needles_of_few_grams_shuffle_no_grams(spark, monkeypatch, listed):
+    monkeypatch.setattr(grams, "BROADCAST_GRAMS", 1200)  # fewer than the needles, more than their grams
+    monkeypatch.setattr(grams, "LISTED_GRAMS", listed)
+    needles = spark.range(5000).selectExpr("id AS needle_id", "array(concat('n', id, 'z')) AS terms", "id % 2 AS side")
+    texts_ = spark.range(50).selectExpr("id AS text_id", "array(concat('of n', id, 'z'), 'other') AS parts")
+    found = grams.candidates(texts_, needles)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    kept = found.filter(F.exists("terms", lambda t: F.lit(True)) & (F.col("needle_id") == F.col("text_id"))).collect()
+    assert found.columns == ["text_id", "needle_id", "terms", "side"] and sorted(r["text_id"] for r in kept) == list(range(50))
+
+
 def brute_spans(text, terms):
     keep = [i for i, c in enumerate(text) if not c.isspace()]
     plain = "".join(text[i].lower() for i in keep)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from noticelake import dims
 from noticelake.dims import SCORE
 from noticelake.functions.text import WS_CLASS
-from noticelake.operators.grams import BROADCAST_GRAMS, candidates
+from noticelake.operators.grams import candidates
+from noticelake.session import ensure_checkpoint_dir
 
 WS = WS_CLASS + "*"
 INTS = "array<int>"
@@ -70,44 +71,52 @@ def unit_names(hits: Column, terms: list[tuple[str, str | None, str]]) -> tuple[
 
 
 def unit_hits(texts: DataFrame, units: DataFrame) -> DataFrame:
-    """(text_id, hits) of the texts (text_id, text) that name a unit; hits: structs of term, major, college.
+    """(text_id, hits) of the texts (text_id, text) that name a unit; hits: structs of term, major, college."""
+    hits = part_hits(texts.filter("text is not null").select("text_id", F.array("text").alias("parts")), units)
+    return hits.select("text_id", F.col("hits")[0].alias("hits"))
+
+
+def part_hits(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """(text_id, hits) of the texts (text_id, parts) that name a unit; hits: of each part structs of term, major, college.
 
     The names are those of ``find_terms``, longest first, equally long ones by name; a name that the table has twice has
     the least of its units. Texts meet names through an index on short character sequences. Only the names that a text
     holds are then blanked out in turn, so the work does not grow with the table. Names that hold two blanks in a row
-    count where the text has them.
+    count where the text has them. The parts of all columns go through the index together, and stay with their candidates.
     """
+    ensure_checkpoint_dir(texts.sparkSession)
     named = units.filter("term is not null and term != ''").groupBy("term").agg(F.min(F.struct("major", "college")).alias("u"))
-    named = named.select("term", "u.major", "u.college")
-    met = candidates(texts.select("text_id", F.array("text").alias("parts")).filter("text is not null"), named.select(F.col("term").alias("needle_id"), F.array("term").alias("terms")))
-    few = named.count() <= BROADCAST_GRAMS // 4
-    met = met.withColumnRenamed("needle_id", "term").join(F.broadcast(named) if few else named, "term")
-    held = met.join(texts, "text_id").filter(F.contains("text", F.col("term")))
+    named = named.select(F.col("term").alias("needle_id"), F.array("term").alias("terms"), "u.major", "u.college").checkpoint()
+    met = candidates(texts.select("text_id", "parts", F.col("parts").alias("_own")), named).withColumnsRenamed({"needle_id": "term", "_own": "parts"})
+    held = met.filter(F.exists("parts", lambda p: F.contains(p, F.col("term"))) & F.col("text_id").isNotNull())
     own = F.struct((-F.length("term")).alias("n"), "term", "major", "college")
-    held = held.groupBy("text_id").agg(F.array_sort(F.collect_list(own)).alias("found"), F.first("text").alias("text"))
-    start = F.struct(F.col("text").alias("rest"), F.filter("found", lambda t: F.lit(False)).alias("hits"))
+    held = held.groupBy("text_id").agg(F.array_sort(F.collect_list(own)).alias("found"), F.first("parts").alias("parts"))
 
     def step(acc: Column, t: Column) -> Column:
         rest = F.replace(acc["rest"], t["term"], F.repeat(F.lit(" "), -t["n"]))
         return F.when(F.contains(acc["rest"], t["term"]), F.struct(rest.alias("rest"), F.array_append(acc["hits"], t).alias("hits"))).otherwise(acc)
 
-    return held.select("text_id", F.transform(F.aggregate("found", start, step)["hits"], lambda t: F.struct(t["term"].alias("term"), t["major"].alias("major"), t["college"].alias("college"))).alias("hits"))
+    def hits(part: Column) -> Column:
+        start = F.struct(part.alias("rest"), F.filter("found", lambda t: F.lit(False)).alias("hits"))
+        return F.transform(F.aggregate("found", start, step)["hits"], lambda t: F.struct(t["term"].alias("term"), t["major"].alias("major"), t["college"].alias("college")))
+
+    return held.select("text_id", F.transform("parts", hits).alias("hits"))
 
 
 def _with_units(items: DataFrame, target: Column, units: DataFrame) -> DataFrame:
-    """``items`` plus t_majors, t_colleges, n_majors, n_colleges, _n_of_majors by ``unit_hits`` over target and title."""
-    out = items
-    for name, column in (("t", target), ("n", F.col("title"))):
-        hits = unit_hits(items.select(F.col("id").alias("text_id"), column.alias("text")), units).withColumnsRenamed({"text_id": "id", "hits": "_hits"})
-        out = out.join(hits, "id", "left")
-        majors = F.filter(F.coalesce("_hits", F.array()), lambda t: t["major"].isNotNull())
-        colleges = F.filter(F.coalesce("_hits", F.array()), lambda t: t["major"].isNull())
+    """``items`` plus t_majors, t_colleges, n_majors, n_colleges, _n_of_majors by ``part_hits`` over target and title."""
+    parts = F.array(F.coalesce(target, F.lit("")), F.coalesce("title", F.lit("")))
+    hits = part_hits(items.select(F.col("id").alias("text_id"), parts.alias("parts")), units).withColumnsRenamed({"text_id": "id", "hits": "_hits"})
+    out = items.join(hits, "id", "left")
+    for i, name in enumerate(("t", "n")):
+        own = F.coalesce(F.col("_hits")[i], F.array())
+        majors, colleges = F.filter(own, lambda t: t["major"].isNotNull()), F.filter(own, lambda t: t["major"].isNull())
         out = out.withColumns({
             f"{name}_majors": F.array_distinct(F.transform(majors, lambda t: t["major"])),
             f"{name}_colleges": F.array_distinct(F.transform(colleges, lambda t: t["college"])),
             f"_{name}_of_majors": F.array_distinct(F.transform(majors, lambda t: t["college"])),
-        }).drop("_hits")
-    return out
+        })
+    return out.drop("_hits")
 
 
 def completed_semesters(year: Column, today: date) -> Column:

@@ -110,6 +110,20 @@ def test_names_by_index_equal_names_one_by_one(spark):
     assert got == want
 
 
+def test_names_of_title_and_target_go_through_one_index(spark, monkeypatch):
+    calls, real = [], match.candidates
+    monkeypatch.setattr(match, "candidates", lambda texts, needles: calls.append(1) or real(texts, needles))
+    units = spark.createDataFrame([(f"Unit{i}", f"major{i}" if i % 2 else None, f"col{i % 3}") for i in range(600)], "term string, major string, college string")
+    rows = [item(1, "for Unit3 and Unit8", "Unit5"), item(2, None, "Unit12 and Unit7"), item(3, "Unit7", "none"), item(4, "x", "y")]
+    rows.append((5, None, None, "Unit9", [], [], None, None, None, "u", None))
+    got = {r["id"]: r for r in match.notice_features(spark.createDataFrame(rows, ITEM), units, dims.INTEREST_RULES, TODAY).collect()}
+    names = lambda i: [got[i][c] for c in ("t_majors", "t_colleges", "n_majors", "n_colleges")]
+    assert names(1) == [["major3"], ["col2"], ["major5"], ["col2"]]
+    assert names(2) == [[], [], ["major7"], ["col0", "col1"]]
+    assert names(3) == [["major7"], [], [], []] and names(4) == [[], [], [], []] and names(5)[0] == ["major9"]
+    assert len(calls) == 1
+
+
 def test_fifty_thousand_names(spark):
     units = spark.range(50_000).selectExpr("concat('Unit', id, 'Z') AS term", "concat('major', id) AS major", "'c' AS college")
     df = spark.createDataFrame([(i, f"for Unit{i * 7}Z and Unit{i}Z, not Unit{i}") for i in range(200)], "text_id long, text string")

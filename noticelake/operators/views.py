@@ -75,7 +75,10 @@ def canonical_list(rows: DataFrame, analysis_columns: list[str], detail: bool =
     chosen = pick_analysis(rows, tie)
     head = rows.filter(F.col("id") == F.col("group_id")).drop("status", "analysis_id", "analyzed_hash", *analysis_columns)
     shown = rows.filter(F.col("analysis_id").isNotNull()).select(F.col("id").alias("shown_id"), "analysis_id", *analysis_columns)
-    return head.join(chosen, "group_id").join(shown, "shown_id", "left")
+    picked = chosen.join(shown, "shown_id", "left")  # narrow; texts stay where the join by id has put them
+    own = [c for c in head.columns if c != "group_id"]
+    out = head.join(picked.withColumnRenamed("group_id", "_group"), F.col("id") == F.col("_group"))
+    return out.select("shown_id", "group_id", *own, "status", "n_copies", "boards", "analysis_id", *analysis_columns)
 
 
 def group_sources(rows: DataFrame, boards: DataFrame) -> DataFrame:

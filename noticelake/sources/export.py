@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from noticelake.session import ensure_checkpoint_dir
+from noticelake.session import scratch_dir
 
 
 def as_json(rows: DataFrame, key: str) -> DataFrame:
@@ -26,9 +26,11 @@ def export_snapshot(items: DataFrame, details: DataFrame, meta: DataFrame, path:
     """
     items.write.mode("errorifexists").json(f"{path}/notices")
     meta.write.mode("errorifexists").json(f"{path}/meta")
-    ensure_checkpoint_dir(details.sparkSession)
-    details = details.checkpoint()  # read three times: for its size, for the bounds of the files, to be written
-    size = details.agg(F.sum(F.octet_length(F.to_json(F.struct(*details.columns))))).first()[0] or 0
+    # kept packed until the number of files is known; their bounds are then found in the key's column alone
+    octets, kept = Observation(), scratch_dir(details.sparkSession, "details")
+    details.observe(octets, F.sum(F.octet_length(F.to_json(F.struct(*details.columns)))).alias("n")).write.parquet(kept)
+    size = octets.get["n"] or 0
+    details = details.sparkSession.read.schema(details.schema).parquet(kept)
     files = max(1, -(-size // file_bytes))
     details.repartitionByRange(files, detail_key).sortWithinPartitions(detail_key).write.mode("errorifexists").json(f"{path}/details")
     schema = f"{detail_key} {details.schema[detail_key].dataType.simpleString()}"

@@ -176,13 +176,17 @@ def parse_ics(files: DataFrame) -> DataFrame:
     opened = F.split(F.concat(F.lit("\n"), lines), r"(?<=\n)BEGIN:VEVENT(?=\n)")
     closed = F.transform(opened, lambda part: F.split(part, r"(?<=\n)END:VEVENT(?=\n|$)", 2))
     whole = F.filter(closed, lambda part, n: (n > 0) & (F.size(part) == 2))
-    events = files.select(*rest, F.posexplode(whole).alias("seq", "part"))
-    block = F.col("part")[0]
-    events = events.select(
-        *rest, "seq", text.strip(_last_field(block, "UID")).alias("raw_uid"),
-        ics_unescape(F.coalesce(_last_field(block, "SUMMARY"), F.lit(""))).alias("title"),
-        text.strip(_last_field(block, "DTSTART")).alias("start"),
-    )
+
+    def fields(part: Column) -> Column:
+        block = part[0]
+        return F.struct(
+            text.strip(_last_field(block, "UID")).alias("raw_uid"),
+            ics_unescape(F.coalesce(_last_field(block, "SUMMARY"), F.lit(""))).alias("title"),
+            text.strip(_last_field(block, "DTSTART")).alias("start"),
+        )
+
+    # fields are read before the events are taken apart, so that no filter reads them again
+    events = files.select(*rest, F.posexplode(F.transform(whole, fields)).alias("seq", "e")).select(*rest, "seq", "e.*")
     pattern = "^[0-9]{8}(T[0-9]{6}Z?)?$"
     start = F.col("start")
     day = F.concat_ws("-", F.substring(start, 1, 4), F.substring(start, 5, 2), F.substring(start, 7, 2))

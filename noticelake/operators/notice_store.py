@@ -119,13 +119,13 @@ class NoticeStore:
     def _write_rows(self, incoming: DataFrame, fresh: DataFrame, edited: DataFrame, before: int, touched: list[int], version: int) -> None:
         given = [c for c in self.content.names if c in incoming.columns]
         carried = [c for c in self.content.names if c not in incoming.columns]
-        rows = incoming.select(*KEY, "crawled_at", *given)
-        new = rows.join(fresh, KEY).withColumn("content_updated_at", F.lit(None).cast("timestamp"))
-        changed = rows.join(edited, KEY).withColumn("content_updated_at", F.col("crawled_at"))
+        # rows and their texts meet the ids of new and edited ones once
+        ids = fresh.withColumn("_edited", F.lit(False)).unionByName(edited.withColumn("_edited", F.lit(True)))
+        rows = incoming.select(*KEY, "crawled_at", *given).join(ids, KEY)
+        rows = rows.withColumn("content_updated_at", F.when(F.col("_edited"), F.col("crawled_at")))
         if carried:
-            new = new.withColumns({c: F.lit(None).cast(self.content[c].dataType) for c in carried})
-            changed = changed.join(self.notices.read(before, touched, carried).select(*KEY, *carried), KEY)
-        self.notices.write(new.unionByName(changed), version)
+            rows = rows.join(self.notices.read(before, touched, carried).select(*KEY, *carried), KEY, "left")
+        self.notices.write(rows, version)
 
     def _group(self, incoming: DataFrame, fresh: DataFrame, updated: DataFrame, before: int, touched: list[int], version: int) -> None:
         spot = incoming.select(*KEY, "published_at", text.dedup_key(F.col("title")).alias("dedup_key"))

@@ -51,6 +51,20 @@ def test_calendars_are_read_by_many_tasks(spark, tmp_path, end):
     assert {r["title"] for r in got} == {f"가나 {i} BEGIN:VEVENT and on" for i in range(400)} and all(r["all_day"] for r in got)
 
 
+def test_fields_of_an_event_are_read_once(spark):
+    plan = files.parse_ics(spark.range(1).selectExpr("id", "cast(id AS string) AS text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^DTSTART") == 1 and plan.count("^UID") == 1
+
+
+def test_snapshot_details_are_not_checkpointed(spark, tmp_path, monkeypatch):
+    details = spark.range(50).select(F.col("id").alias("asked_id"), F.array(F.lit("x")).alias("more"), F.lit(None).cast("date").alias("day"))
+    monkeypatch.setattr(type(details), "checkpoint", lambda *_: pytest.fail("whole rows are checkpointed"))
+    path = str(tmp_path / "snap")
+    export.export_snapshot(spark.range(3), details, spark.range(1), path, file_bytes=300)
+    assert len(spark.read.json(f"{path}/detail_index").collect()) >= 3
+    assert sorted(map(tuple, export.read_details(spark, path, details.schema, [7, 49]).collect())) == [(7, ["x"], None), (49, ["x"], None)]
+
+
 def test_snapshot_copies_are_found_by_the_index(spark, tmp_path):
     details = spark.range(1000).select(F.col("id").alias("asked_id"), (F.col("id") % 7).alias("canonical_id"), F.repeat(F.lit("본문"), 30).alias("body"))
     items = spark.range(3)

@@ -44,6 +44,24 @@ def test_bucketed_table(spark, tmp_path):
     assert len(only) == 1 and all(p.bucket in only for p in t.pieces(3, only))
 
 
+def test_a_batch_is_joined_once_for_new_and_edited_rows(spark, tmp_path, monkeypatch):
+    def crawl(*ids, mark):
+        numbers = spark.createDataFrame([(i,) for i in ids], "i long").checkpoint()
+        return numbers.select(F.lit("b").alias("source"), F.col("i").cast("string").alias("source_notice_id"), F.concat(F.lit(mark), F.col("i").cast("string")).alias("title"),
+                              F.lit(mark).alias("content_hash"), F.lit(date(2026, 9, 1)).alias("published_at"), F.lit(DAY).alias("crawled_at"), F.col("i").alias("pos"))
+
+    schema = T.StructType([*crawl(1, mark="m").schema, T.StructField("views", T.LongType())])  # views: kept from the store
+    store = NoticeStore(spark, str(tmp_path / "s"), schema, buckets=2)
+    store.apply(crawl(1, 2, mark="old").withColumn("views", F.col("pos") * 10), 0, ["pos"])
+    plans, real = [], BucketedTable.write
+    monkeypatch.setattr(BucketedTable, "write", lambda self, rows, version, base=False: (
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) if "title" in rows.columns else None, real(self, rows, version, base))[1])
+    store.apply(crawl(2, 3, mark="~new~"), 1, ["pos"])
+    got = sorted((r["id"], r["title"], r["views"], r["content_updated_at"]) for r in store.snapshot().collect())
+    assert [r[:3] for r in got] == [(0, "old1", 10), (1, "~new~2", 20), (2, "~new~3", None)] and [r[3] is None for r in got] == [True, False, True]
+    assert len(plans) == 1 and plans[0].count("concat(~new~") == 1
+
+
 def test_batches_equal_row_by_row_simulation(spark, tmp_path):
     schema = spark.createDataFrame([], CRAWLED).schema
     store = NoticeStore(spark, str(tmp_path / "s"), schema, grouped=True, buckets=5, merge_after=2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 
@@ -11,21 +12,29 @@ import pyarrow as pa
 
 from noticelake.llm.common import slices, utf8
 
-PIECES = 1_000_000  # encodings that a worker keeps, and ids of them; beyond either it starts anew, with the same result
+PIECES = 1_000_000  # encodings that a worker keeps, and ids of them; new ones beyond either serve one slice, with the same result
 MOST_IDS = 8_000_000
 JOINED = 1 << 16  # bytes of new pieces that are encoded in one call
 
 _SPACE_RUN = re.compile(r" (?!\S)")
 _BEFORE = np.zeros(256, dtype=bool)  # bytes behind a space that may begin more white space
 _BEFORE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_GRAPH = np.zeros(256, dtype=bool)  # ASCII characters that are no white space
+_GRAPH[33:127] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = _GRAPH & ~_LETTER
+_SIGN[48:58] = False
 
 
 class Encoder:
     """Ids as the tokenizer gives them for whole texts without added tokens.
 
     The byte-level vocabulary never joins a character with the single space behind it, so a text is cut before its
-    spaces and each different piece is encoded once. Texts in which more white space or the end follows a space are
-    encoded as a whole. The bytes of a token are the characters of its name, which tells where the ids of joined
+    spaces and each different piece is encoded once. If the vocabulary splits words by the usual byte-level pattern, which
+    ends a run of letters at a sign and any run at a line end, a text is cut between ASCII letters and signs and before
+    line ends as well. Texts in which more white space or the end follows a space, and those that spell an added token,
+    are encoded as a whole. The bytes of a token are the characters of its name, which tells where the ids of joined
     pieces part; if the lengths do not add up, the pieces are encoded one by one.
     """
 
@@ -38,9 +47,9 @@ class Encoder:
         self.size = np.zeros(max(names.values(), default=-1) + 1, np.int64)
         for name, i in names.items():
             self.size[i] = len(name)
-        self._forget()
-
-    def _forget(self) -> None:
+        rules = json.loads(self.tokenizer.to_str())
+        self.fine = rules["normalizer"] is None and (rules["pre_tokenizer"] or {}).get("type") == "ByteLevel" and bool(rules["pre_tokenizer"].get("use_regex", True))
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.slots: dict[bytes, int] = {}
         self.starts, self.lengths, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.held = 0
@@ -52,7 +61,7 @@ class Encoder:
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces that all begin with a space."""
+        """The same for pieces that all begin with a space, or with a line end if all end in a character that is no white space."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = []
         for lo, hi in slices(np.concatenate([[0], np.cumsum(sizes)]), JOINED):
@@ -67,8 +76,10 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        spaced, heads = [p for p in pieces if p[:1] == b" "], [p for p in pieces if p[:1] != b" "]
-        for some, (ids, lengths) in ((spaced, self._joined(spaced)), (heads, self._one_by_one(heads))):
+        spaced, lines, heads = [], [], []
+        for p in pieces:
+            (spaced if p[0] == 32 else lines if p[0] == 10 and len(p) > 1 and _GRAPH[p[1]] and _GRAPH[p[-1]] and self.fine else heads).append(p)
+        for some, (ids, lengths) in ((spaced, self._joined(spaced)), (lines, self._joined(lines)), (heads, self._one_by_one(heads))):
             n = len(self.slots)
             while n + len(some) > len(self.starts):
                 self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
@@ -80,28 +91,37 @@ class Encoder:
             self.ids[self.held : self.held + len(ids)] = ids
             self.held += len(ids)
 
-    def _cut(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, end to end, and the number of ids of each row; no row holds a space before white space."""
+    def _keep(self, most: int) -> None:
+        """Forget the encodings learnt last, so that ``most`` are left, and no more than ``MOST_IDS`` of their ids."""
+        n = min(most, len(self.slots), int(np.searchsorted((self.starts + self.lengths)[: len(self.slots)], MOST_IDS, side="right")))
+        for p in list(itertools.islice(reversed(self.slots), len(self.slots) - n)):
+            del self.slots[p]
+        self.held = int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
+
+    def _cut(self, raw: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, end to end, and the number of ids of each row; no row holds a space before white space or an
+        added token."""
         edge = raw == 32
+        if self.fine:
+            edge[1:] |= (_LETTER[raw[:-1]] & _SIGN[raw[1:]]) | (_GRAPH[raw[:-1]] & (raw[1:] == 10))
         edge[at[:-1][at[:-1] < len(raw)]] = True
         first = np.flatnonzero(edge).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, np.int32(len(raw)))), pa.py_buffer(raw)])
         coded = pieces.dictionary_encode()
         names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.slots) + len(names) > PIECES:
-            self._forget()
         self._learn([p for p in names if p not in self.slots])
         slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))[index]
         starts, lengths = self.starts[slot], self.lengths[slot]
         ends = np.cumsum(lengths)
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
-        if self.held > MOST_IDS:
-            self._forget()
+        if len(self.slots) > most or self.held > MOST_IDS:
+            self._keep(most)
         row_ends = np.concatenate([[0], ends])[np.searchsorted(first, at)]
         return ids, np.diff(row_ends)
 
-    def encode(self, texts: pa.Array):
-        """(row, ids end to end, number of ids of each row) of slices of rows in order; null is empty."""
+    def encode(self, texts: pa.Array, most: int = PIECES):
+        """(row, ids end to end, number of ids of each row) of slices of rows in order; null is empty. ``most`` encodings
+        are kept."""
         data, offsets = utf8(texts)
         for lo, hi in slices(offsets, 1 << 22):
             raw, at = np.ascontiguousarray(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
@@ -114,13 +134,16 @@ class Encoder:
             odd |= np.isin(space + 1, at)  # a space at the end of a row
             rows = np.unique(np.searchsorted(at, space[odd], side="right") - 1)
             whole = [r for r in rows.tolist() if _SPACE_RUN.search(raw[at[r] : at[r + 1]].tobytes().decode())]
+            text = raw.tobytes()
+            if any(token in text for token in self.added):
+                whole = sorted({*whole, *(r for r in range(hi - lo) if any(token in text[at[r] : at[r + 1]] for token in self.added))})
             if not whole:
-                yield lo, *self._cut(raw, at)
+                yield lo, *self._cut(raw, at, most)
                 continue
             keep = np.ones(hi - lo, bool)
             keep[whole] = False
             sizes = np.where(keep, np.diff(at), 0)
-            ids, counts = self._cut(raw[np.repeat(keep, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)]))
+            ids, counts = self._cut(raw[np.repeat(keep, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)]), most)
             alone, lengths = self._one_by_one([raw[at[r] : at[r + 1]].tobytes() for r in whole])
             parts, done = [], 0
             ends = np.cumsum(counts)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
+import itertools
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import give_back
+from noticelake.llm.encoding import encoder
 from noticelake.session import ship_package
 
 TOKENS = 2048  # most tokens of a sequence
@@ -21,20 +21,21 @@ SEGMENTS = 128  # most pieces of a sequence
 LOSS = 2048  # most loss-bearing tokens of a sequence
 END = 1  # id after each document
 POOL = 256  # pieces that wait for a sequence in a task
-CACHE = 1_000_000  # word encodings that a worker keeps, about 150 bytes each; fewer take more time, with the same result
+CACHE = 1_000_000  # encodings of pieces of text that a worker keeps, about 200 bytes each; fewer take more time, with the same result
+STEP = 512  # rows of a batch that join the pool at once
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
     doc: object
     start: int
     ids: bytes  # little-endian unsigned 32-bit
     loss: int
     total: int
+    length: int = field(init=False)
 
-    @property
-    def length(self) -> int:
-        return len(self.ids) // 4
+    def __post_init__(self):
+        self.length = len(self.ids) // 4
 
     def split(self, at: int) -> tuple[Piece, Piece]:
         """The first ``at`` ids and the rest; prompt ids, which bear no loss, come first in a piece."""
@@ -43,54 +44,6 @@ class Piece:
         return Piece(self.doc, self.start, self.ids[: 4 * at], head, self.total), Piece(self.doc, self.start + at, self.ids[4 * at :], self.loss - head, self.total)
 
 
-# ---- encoding ---------------------------------------------------------------------------------
-
-_LOADED: dict[str, tuple] = {}
-_SPACE_RUN = re.compile(r" (?!\S)")
-
-
-def _load(path: str) -> tuple:
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    return _LOADED[path]
-
-
-def encode(texts: list[str], path: str, cache: int = CACHE) -> list[bytes]:
-    """Ids of each text as bytes, as the tokenizer gives for the whole text without added tokens.
-
-    The byte-level vocabulary never joins a character with the single space behind it, so the pieces between single
-    spaces can be encoded once per worker and looked up again. Texts with other white space after a space are encoded
-    as a whole.
-    """
-    tokenizer, known = _load(path)
-    pack = lambda found: np.asarray(found, dtype="<u4").tobytes()
-    out: list[bytes | None] = [None] * len(texts)
-    whole = [i for i, t in enumerate(texts) if _SPACE_RUN.search(t)]
-    for i, e in zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-        out[i] = pack(e.ids)
-    cuttable = [i for i in range(len(texts)) if out[i] is None]
-    parts = [texts[i].split(" ") for i in cuttable]
-    heads = tokenizer.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)
-    words = set()
-    for p in parts:
-        del p[0]
-        words.update(p)
-    new = [w for w in words if w not in known]
-    now = known
-    if len(known) + len(new) > cache:
-        now = {w: known[w] for w in words if w in known}
-    for at in range(0, len(new), 4_000):
-        some = new[at : at + 4_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False), strict=True):
-            now[w] = pack(e.ids)
-    for i, head, p in zip(cuttable, heads, parts, strict=True):
-        out[i] = pack(head.ids) + b"".join(map(now.__getitem__, p))
-    return out
-
-
 # ---- packing ----------------------------------------------------------------------------------
 
 
@@ -104,29 +57,28 @@ def fill(pool: list[Piece], tokens: int = TOKENS, segments: int = SEGMENTS, loss
     n = np.array([p.length for p in pool], dtype=np.int64)
     bears = np.array([p.loss for p in pool], dtype=np.int64)
     here = np.ones(len(pool), bool)
-    room = np.array([tokens, segments, loss], dtype=np.int64)
-    limits = np.array([tokens, segments, loss], dtype=np.float64)
+    room = [tokens, segments, loss]
+    long, bearing = n / tokens, bears / loss
     chosen: list[Piece] = []
     while room[1] > 0:
         fits = here & (n <= room[0]) & (bears <= room[2])
         if not fits.any():
             break
-        share = room / limits
-        value = np.where(fits, (n / limits[0]) * share[0] + (1 / limits[1]) * share[1] + (bears / limits[2]) * share[2], -1.0)
+        value = np.where(fits, long * (room[0] / tokens) + (1 / segments) * (room[1] / segments) + bearing * (room[2] / loss), -1.0)
         k = int(value.argmax())
         chosen.append(pool[k])
         here[k] = False
-        room -= np.array([n[k], 1, bears[k]])
+        room = [room[0] - pool[k].length, room[1] - 1, room[2] - pool[k].loss]
     left = [p for p, h in zip(pool, here, strict=True) if h]
     if room[0] and room[1] and left:
-        k = max(range(len(left)), key=lambda i: left[i].length)
-        fit = min(int(room[0]), left[k].length - left[k].loss + int(room[2]))
+        k = int(n[here].argmax())
+        fit = min(room[0], left[k].length - left[k].loss + room[2])
         if 0 < fit < left[k].length:
             head, rest = left[k].split(fit)
             chosen.append(head)
             left[k] = rest
             room[0] -= fit
-    total = int(tokens - room[0])
+    total = tokens - room[0]
     if room[0] and total & (total - 1):
         over = total - (1 << (total.bit_length() - 1))
         while over:
@@ -150,23 +102,30 @@ def _pieces(doc, ids: bytes, prompt: int, tokens: int, loss: int):
     yield rest
 
 
+def _encoded(batch: pa.RecordBatch, path: str, end: bytes, cache: int):
+    """(doc_id, ids and ``end`` as bytes, prompt) of each row; texts are encoded a slice at a time."""
+    names, prompts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+    for lo, ids, n in encoder(path).encode(batch.column(1), cache):
+        raw, at = ids.astype("<u4", copy=False).tobytes(), 0
+        for k, stop in enumerate((4 * np.cumsum(n)).tolist(), lo):
+            yield names[k], raw[at:stop] + end, int(prompts[k] or 0)
+            at = stop
+
+
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def _rows(sequences: list[tuple[int, list[Piece]]], with_ids: bool) -> pa.RecordBatch:
-    cols: dict[str, list] = {f: [] for f in _FIELDS}
-    ids = []
+    rows = []
     for sequence, pieces in sequences:
         offset = 0
         for p in pieces:
-            for f, v in zip(_FIELDS, (p.doc, p.start, p.length, zlib.crc32(p.ids), p.total, sequence, offset), strict=True):
-                cols[f].append(v)
-            if with_ids:
-                ids.append(np.frombuffer(p.ids, dtype="<u4").astype(np.int64))
+            rows.append((p.doc, p.start, p.length, zlib.crc32(p.ids), p.total, sequence, offset))
             offset += p.length
-    arrays = [pa.array(cols[f], pa.int64()) for f in _FIELDS]
+    arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
     if with_ids:
+        ids = [np.frombuffer(p.ids, dtype="<u4").astype(np.int64) for _, pieces in sequences for p in pieces]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.list_(pa.int64()))], names=[*_FIELDS, "ids"])
     return pa.RecordBatch.from_arrays(arrays, names=_FIELDS)
 
@@ -192,12 +151,11 @@ def pack_documents(
         made = 0
         pool: list[Piece] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                names, texts, prompts = (part.column(i).to_pylist() for i in range(3))
+            rows = _encoded(batch, tokenizer, int(end).to_bytes(4, "little"), cache)
+            while part := list(itertools.islice(rows, STEP)):
                 done = []
-                for name, ids, p in zip(names, encode([t or "" for t in texts], tokenizer, cache), prompts, strict=True):
-                    for piece in _pieces(name, ids + int(end).to_bytes(4, "little"), int(p or 0), tokens, loss):
+                for name, ids, free in part:
+                    for piece in _pieces(name, ids, free, tokens, loss):
                         if piece.length == tokens:
                             done.append((first + made, [piece]))
                             made += 1

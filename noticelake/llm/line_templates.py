@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import BROADCAST_ROWS, cut, small_side
@@ -21,6 +21,7 @@ LONG_CHARS = 16  # a line of fewer tokens than MIN_TOKENS is short below it; scr
 SHINGLE = r"(?<!\S)(?=(\S+(?:\s+\S+){4}))"  # five words, from each word on
 SKETCH = 128  # smallest shingle hashes by which near copies are judged
 COPY = 0.65  # estimated share of the union that near copies have; 0.75 less what the estimate may be off
+MAX_LEAF = 20_000  # different lines of a leaf up to which one task counts its tokens; those of larger leaves are dealt by token
 MAX_PLACES = 3_000_000  # dropped lines whose places are broadcast; with more, documents and places are shuffled
 
 
@@ -62,6 +63,30 @@ def _exact_places(lines: DataFrame) -> DataFrame:
     return lines.join(recur, "exact").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
 
 
+def _templates(one: DataFrame, head: int, together: bool) -> DataFrame:
+    """(leaf, line, template) of different lines (leaf, line, s, docs).
+
+    All lines of a leaf have its leading tokens, so these are constant where the leaf has enough lines at all, and only
+    the tokens behind them are counted. Templates only ever meet in a leaf, so they are told by the hashes of the constants
+    with their places. If ``together``, the lines are dealt by leaf and stay there; else their tokens are shuffled."""
+    parts = F.split("s", " ")
+    leading = F.size(F.filter(F.slice(parts, 1, head), lambda x: x != ANY))
+    need = F.ceil(F.size(parts) * CONSTANT / 100.0) - leading  # constants behind the leading tokens that a template has
+    place = lambda x, i: F.when((i >= head) & (x != ANY), F.xxhash64(i, x))
+    # in two steps: beside the explode all would be worked out again for each token
+    lines = one.select("leaf", "line", "docs", need.alias("need"), F.transform(parts, place).alias("keys"))
+    tokens = lines.select("leaf", "line", "docs", "need", F.explode("keys").alias("key"))
+    if together:
+        support = F.sum("docs").over(Window.partitionBy("leaf", "key"))
+        tokens = tokens.withColumn("fixed", F.when(support >= MIN_DOCS, F.col("key")))
+    else:
+        support = tokens.filter("key is not null").groupBy("leaf", "key").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
+        tokens = tokens.join(support.select("leaf", "key", F.col("key").alias("fixed")), ["leaf", "key"], "left")
+    again = F.xxhash64(F.lit("again"), "fixed")  # two sums of different hashes tell sets of constants apart
+    lines = tokens.groupBy("leaf", "line").agg(F.min("need").alias("need"), F.count("fixed").alias("n"), F.bit_xor("fixed").alias("a"), F.bit_xor(F.when(F.col("fixed").isNotNull(), again)).alias("b"))
+    return lines.select("leaf", "line", F.when(F.col("n") >= F.col("need"), F.xxhash64("n", "a", "b")).otherwise(F.xxhash64(F.lit("="), "line")).alias("template"))
+
+
 def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, h, pos) of each line to drop."""
     lines = _lines(docs, wide)
@@ -78,20 +103,13 @@ def _recurring_places(docs: DataFrame, wide: bool) -> DataFrame:
     # one copy of the text of each such line
     texts = lines.select("leaf", "line", "s").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("s").alias("s"))
     one = cut(texts.join(held, ["leaf", "line"]))
-    # all lines of a leaf have its leading tokens, so these are constant where the leaf has enough lines at all, and only
-    # the tokens behind them are counted
     head = WIDE_DEPTH if wide else DEPTH
-    held_leaves = small_side(cut(one.groupBy("leaf").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS).select("leaf")))
-    one = one.join(held_leaves, "leaf", "left_semi")
-    tokens = one.select("leaf", "line", "docs", F.posexplode(F.split("s", " ")).alias("at", "token")).filter(F.col("at") >= head)
-    support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
-    fixed = tokens.filter(F.col("token") != ANY).join(support.select("leaf", "at", "token"), ["leaf", "at", "token"], "left_semi")
-    fixed = fixed.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    leading = F.filter(F.transform(F.slice(F.split("s", " "), 1, head), lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda x: x["token"] != ANY)
-    named = one.join(fixed, ["leaf", "line"], "left").withColumn("kept", F.when(F.col("kept").isNull(), leading).otherwise(F.concat(leading, "kept")))
-    general = F.concat_ws(" ", F.transform("kept", lambda x: F.concat_ws(":", x["at"].cast("string"), x["token"])))
-    enough = F.size("kept") * 100 >= F.size(F.split("s", " ")) * CONSTANT
-    named = named.select("leaf", "line", F.when(enough, F.xxhash64(general)).otherwise(F.xxhash64(F.concat(F.lit("="), F.col("s")))).alias("template"))
+    held_leaves = cut(one.groupBy("leaf").agg(F.sum("docs").alias("support"), F.count("*").alias("n")).filter(F.col("support") >= MIN_DOCS).select("leaf", "n"))
+    one = one.join(small_side(held_leaves), "leaf")
+    # lines are shuffled whole, so that all tokens of a leaf are counted where they are; only those of large leaves are shuffled
+    named = _templates(one.filter(F.col("n") <= MAX_LEAF).drop("n").repartition("leaf"), head, together=True)
+    if not held_leaves.filter(F.col("n") > MAX_LEAF).isEmpty():
+        named = named.unionAll(_templates(one.filter(F.col("n") > MAX_LEAF).drop("n"), head, together=False))
     # documents of each template; its first document keeps it
     found = cut(narrow.join(small_side(cut(named)), ["leaf", "line"]).select("doc_id", "h", "pos", "leaf", "template"))
     per_doc = found.groupBy("leaf", "template", "doc_id").agg(F.min("pos").alias("pos"))

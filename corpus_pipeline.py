@@ -12,7 +12,7 @@ from noticelake.session import scratch_dir, ship_package
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_kernel.fit(docs.filter(lang_kernel.in_training(F.col("doc_id"))))
-    return lang_kernel.keep_known(docs, model)
+    return lang_kernel.keep_known(docs, model, lang="lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=340_000)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=340_000, group="lang")
 
 
+#: The language that the first stage finds replaces the one that documents came with; the last stage packs by it.
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packed)]
 
 #: The language model of the first stage is trained, so SQL cannot state the rows.

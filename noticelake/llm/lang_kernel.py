@@ -206,8 +206,9 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2, F.lit(True))
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` whose text the model takes for one of its languages; columns stay as they are.
+def keep_known(docs: DataFrame, model: Model, lang: str | None = None) -> DataFrame:
+    """``docs`` whose text the model takes for one of its languages; columns stay as they are, but for ``lang``, which
+    names the column that gets the predicted language.
 
     Rejected are null texts, texts without a letter, and texts less familiar than labelled ones are: junk with letters,
     and texts in a language that was not learnt.
@@ -216,11 +217,17 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    own = docs.columns.index(lang) if lang else None
 
     def run(batches):
+        langs = shared.value.langs
         for batch in batches:
-            if shared.value.langs and batch.num_rows:
-                yield batch.filter(pa.array(familiarity(shared.value, batch.column(at)) >= shared.value.least))
+            if langs and batch.num_rows:
+                batch = batch.filter(pa.array(familiarity(shared.value, batch.column(at)) >= shared.value.least))
+                if lang:
+                    found = [langs[k] for k in scores(shared.value, batch.column(at)).argmax(axis=1)]
+                    batch = batch.set_column(own, lang, pa.array(found, batch.column(own).type))
+                yield batch
         give_back()
 
     return docs.filter(F.col("text").cast("string").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

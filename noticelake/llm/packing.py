@@ -20,7 +20,8 @@ TOKENS = 2048  # most tokens of a sequence
 SEGMENTS = 128  # most pieces of a sequence
 LOSS = 2048  # most loss-bearing tokens of a sequence
 END = 1  # id after each document
-POOL = 256  # pieces that wait for a sequence in a task
+POOL = 256  # pieces that wait for a sequence in a task, of each group
+POOLED = 4_096  # the same of all groups together
 CACHE = 1_000_000  # encodings of pieces of text that a worker keeps, about 200 bytes each; fewer take more time, with the same result
 STEP = 512  # rows of a batch that join the pool at once
 
@@ -131,7 +132,7 @@ def _rows(sequences: list[tuple[int, list[Piece]]], with_ids: bool) -> pa.Record
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, end: int = END, prompt: str | None = None, with_ids: bool = False, cache: int = CACHE
+    docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, end: int = END, prompt: str | None = None, with_ids: bool = False, cache: int = CACHE, group: str | None = None
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked).
 
@@ -143,40 +144,57 @@ def pack_documents(
     Each task packs the rows of its partition, so nothing is shuffled and no document is looked at by two tasks. A task
     keeps a bounded pool of pieces. Its last sequences are cut to powers of two instead of padding them. Sequence ids
     hold the task's partition number, so a task that is run again gives the same rows. Other columns are ignored.
+
+    ``group`` names a column, such as the language: a sequence then holds documents of one of its values (null is one).
+    Each value has a pool in a task; with very many values the largest pools are emptied early, by sequences cut to powers
+    of two.
     """
     ship_package(docs.sparkSession)
 
     def run(batches):
         first = TaskContext.get().partitionId() << 33
         made = 0
-        pool: list[Piece] = []
+        pools: dict[str, list[Piece]] = {}
+
+        def last(pool):
+            """A sequence of a pool that gets no more pieces."""
+            total = sum(p.length for p in pool)
+            return fill(pool, tokens if total >= tokens else 1 << (total.bit_length() - 1), segments, loss)
+
         for batch in batches:
+            groups = iter(batch.column(3).to_pylist())
             rows = _encoded(batch, tokenizer, int(end).to_bytes(4, "little"), cache)
             while part := list(itertools.islice(rows, STEP)):
                 done = []
-                for name, ids, free in part:
+                for (name, ids, free), value in zip(part, groups, strict=False):
+                    pool = pools.setdefault(value, [])
                     for piece in _pieces(name, ids, free, tokens, loss):
                         if piece.length == tokens:
                             done.append((first + made, [piece]))
                             made += 1
                         else:
                             pool.append(piece)
-                while len(pool) > POOL:
-                    chosen, pool = fill(pool, tokens, segments, loss)
-                    done.append((first + made, chosen))
-                    made += 1
+                held = sum(map(len, pools.values()))
+                for value, pool in sorted(pools.items(), key=lambda x: -len(x[1])):
+                    while len(pool) > POOL or pool and held > POOLED:
+                        before = len(pool)
+                        chosen, pool = fill(pool, tokens, segments, loss) if before > POOL else last(pool)
+                        held += len(pool) - before
+                        done.append((first + made, chosen))
+                        made += 1
+                    pools[value] = pool
+                pools = {value: pool for value, pool in pools.items() if pool}
                 if done:
                     yield _rows(done, with_ids)
         done = []
-        while pool:
-            total = sum(p.length for p in pool)
-            size = tokens if total >= tokens else 1 << (total.bit_length() - 1)
-            chosen, pool = fill(pool, size, segments, loss)
-            done.append((first + made, chosen))
-            made += 1
+        for pool in pools.values():
+            while pool:
+                chosen, pool = last(pool)
+                done.append((first + made, chosen))
+                made += 1
         if done:
             yield _rows(done, with_ids)
         give_back()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(prompt).cast("long") if prompt else F.lit(0).cast("long")).alias("prompt"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(prompt).cast("long") if prompt else F.lit(0).cast("long")).alias("prompt"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("group"))
     return own.mapInArrow(run, _OUT + (", ids array<long>" if with_ids else ""))

@@ -104,10 +104,12 @@ def assign_canonical(notices: DataFrame) -> DataFrame:
     """(id, dup_of) for rows inserted in id order; ``dup_of`` is null for canonical rows.
 
     Needs id, source, published_at and dedup_key. These narrow rows are checkpointed first, so titles are
-    read and normalised once however many jobs follow.
+    read and normalised once however many jobs follow. Keys are as long as titles and every cell is shuffled once per
+    day in reach, so 128 bits of their SHA-256 stand for them.
     """
     ensure_checkpoint_dir(notices.sparkSession)
-    notices = notices.select("id", *CELL).checkpoint()
+    digest = F.unhex(F.substring(F.sha2(F.col("dedup_key").cast("string"), 256), 1, 32))
+    notices = notices.withColumn("dedup_key", digest).select("id", *CELL).checkpoint()
     cells = _cell_matches(notices)
     pointers = cells.filter(F.col("hit") < F.col("m")).select("m", F.col("hit").alias("parent"))
     roots = _roots(pointers).withColumnsRenamed({"m": "hit"})
@@ -137,9 +139,10 @@ def place_new(arrived: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("hit") < F.col("id"), F.col("root")).alias("dup_of"))
 
 
-def with_groups(notices: DataFrame) -> DataFrame:
-    """Notices plus ``dup_of`` and ``group_id`` (the canonical row's id)."""
-    return notices.join(assign_canonical(notices), "id").withColumn("group_id", F.coalesce("dup_of", "id"))
+def with_groups(notices: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
+    """Notices plus ``dup_of`` and ``group_id`` (the canonical row's id). ``assigned``: kept rows of ``assign_canonical``."""
+    assigned = assign_canonical(notices) if assigned is None else assigned
+    return notices.join(assigned, "id").withColumn("group_id", F.coalesce("dup_of", "id"))
 
 
 def orphan_groups(notices: DataFrame) -> DataFrame:

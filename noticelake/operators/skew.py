@@ -22,13 +22,24 @@ def hot_lookup_join(
     rows / hot_rows such keys, so the list of hot keys is the only thing broadcast. Rows without a key
     can never match and are spread the same way.
     """
-    hot = F.broadcast(lookup.filter(F.col(n_col) > hot_rows).select(*on, F.lit(True).alias("_hot")))
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    spread = F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)).cast("int")
-    left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)).drop("_hot")
+    hot = lookup.filter(F.col(n_col) > hot_rows).select(*on)
     copies = F.when(F.col(n_col) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.withColumn("_salt", F.explode(copies)).drop(n_col)
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    return _salted(rows, hot, on, row_id, salts).join(right, [*on, "_salt"], "left").drop("_salt")
+
+
+def _salted(rows: DataFrame, hot: DataFrame, on: list[str], row_id: str, salts: int) -> DataFrame:
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    spread = F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)).cast("int")
+    return rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)).drop("_hot")
+
+
+def wide_lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], row_id: str, hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``hot_lookup_join`` with the hot keys given (columns ``on``, each once): a lookup of wide rows is shuffled once, as it is read."""
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return _salted(rows, hot, on, row_id, salts).join(right, [*on, "_salt"], "left").drop("_salt")
 
 
 def with_global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from noticelake import schemas
 from noticelake.operators import resolve
-from noticelake.operators.skew import hot_lookup_join
+from noticelake.operators.skew import HOT_ROWS, hot_lookup_join, wide_lookup_join
 
 FAR_PAST = 1 << 30
+CHOICE = ["id", "group_id", "source", "published_at", "status", "analysis_id"]
 
 
 def newest(published_at: str = "published_at", row_id: str = "id") -> list[Column]:
@@ -65,15 +66,18 @@ def pick_analysis(rows: DataFrame, tie: list[Column]) -> DataFrame:
     ).select("group_id", F.col("best.id").alias("shown_id"), F.col("best.status").alias("status"), "n_copies", "boards")
 
 
-def canonical_list(rows: DataFrame, analysis_columns: list[str], detail: bool = False) -> DataFrame:
+def canonical_list(rows: DataFrame, analysis_columns: list[str], detail: bool = False, heads: DataFrame | None = None) -> DataFrame:
     """One row per group: the canonical row, its boards and the chosen analysis.
 
     ``rows``: with_latest_analysis over grouped notices. Ties between copies: newest first in lists,
-    lowest id in details. The full list of copies is ``group_sources``.
+    lowest id in details. The full list of copies is ``group_sources``. ``heads``: the canonical rows with their own
+    columns, if ``rows`` holds only the columns that the choice needs (``CHOICE`` and the analysis).
     """
     tie = [F.col("id")] if detail else newest()
     chosen = pick_analysis(rows, tie)
-    head = rows.filter(F.col("id") == F.col("group_id")).drop("status", "analysis_id", "analyzed_hash", *analysis_columns)
+    head = heads
+    if head is None:
+        head = rows.filter(F.col("id") == F.col("group_id")).drop("status", "analysis_id", "analyzed_hash", *analysis_columns)
     shown = rows.filter(F.col("analysis_id").isNotNull()).select(F.col("id").alias("shown_id"), "analysis_id", *analysis_columns)
     picked = chosen.join(shown, "shown_id", "left")  # narrow; texts stay where the join by id has put them
     own = [c for c in head.columns if c != "group_id"]
@@ -92,13 +96,30 @@ def group_sources(rows: DataFrame, boards: DataFrame) -> DataFrame:
     )
 
 
-def detail_by_copy(rows: DataFrame, asked: DataFrame, analysis_columns: list[str]) -> DataFrame:
-    """The canonical notice for any copy's id. ``asked``: one column ``id``."""
-    details = canonical_list(rows, analysis_columns, detail=True)
+def detail_by_copy(
+    rows: DataFrame, asked: DataFrame, analysis_columns: list[str], notices: DataFrame | None = None, assigned: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The canonical notice for any copy's id. ``asked``: one column ``id``.
+
+    With ``notices`` (own columns of all rows) and ``assigned`` (their id and dup_of), ``rows`` holds only the columns that
+    the choice needs: copies find their canonical id and analysis first, and texts are shuffled once, to the copies.
+    """
+    heads = None
+    if notices is not None:
+        heads = assigned.filter("dup_of IS NULL").withColumn("group_id", F.col("id"))
+    details = canonical_list(rows, analysis_columns, detail=True, heads=heads)
     details = details.withColumnRenamed("id", "canonical_id")
     want = rows.select("id", "group_id").join(asked, "id", "left_semi").withColumnRenamed("id", "asked_id")
     sizes = details.withColumnRenamed("n_copies", "_n").withColumn("n_copies", F.col("_n"))
-    return hot_lookup_join(want, sizes, ["group_id"], "asked_id", "_n")
+    out = hot_lookup_join(want, sizes, ["group_id"], "asked_id", "_n", hot_rows)
+    if notices is None:
+        return out
+    hot = details.filter(F.col("n_copies") > hot_rows).select("canonical_id").distinct()
+    own = [c for c in notices.columns if c != "id"]
+    whole = wide_lookup_join(out, notices.withColumnRenamed("id", "canonical_id"), ["canonical_id"], "asked_id", hot)
+    first = ["group_id", "asked_id", "shown_id", "canonical_id"]
+    return whole.select(*first, *own, *[c for c in out.columns if c not in first])
 
 
 def current_copies(notices: DataFrame, analysis: DataFrame, prompt_version: str | None = None) -> DataFrame:

@@ -78,10 +78,10 @@ def keyed_docs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("dedup_key", text.dedup_key(F.col("title")))
 
 
-def grouped_docs(spark: SparkSession, sf: str) -> DataFrame:
+def grouped_docs(spark: SparkSession, sf: str, assigned: DataFrame | None = None) -> DataFrame:
     from noticelake.operators.resolve import with_groups
 
-    return with_groups(keyed_docs(spark, sf))
+    return with_groups(keyed_docs(spark, sf), assigned)
 
 
 # --- the stored state before the crawl ------------------------------------------------------------
@@ -116,9 +116,12 @@ NOTICE_PREV = """notice_prev AS (
 # --- analyses of documents -------------------------------------------------------------------------
 
 def analysis_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    second = F.col("doc_id") % 3 == 0
+    # hashed before the join, so that no text is shuffled; only versions of stale rows have the other hash
+    edited = F.when((F.col("doc_id") % 5 == 0) | (second & ((F.col("doc_id") + 1) % 5 == 0)), F.sha2(F.concat("text", F.lit(" (edited)")), 256))
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("_hash"), edited.alias("_edited"))
     rows = table(spark, sf, "labels").join(docs, "doc_id")
-    versions = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    versions = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("v", F.explode(versions))
     stale = (F.col("doc_id") + F.col("v")) % 5 == 0
     return rows.select(
@@ -126,7 +129,7 @@ def analysis_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("notice_id"),
         F.when((F.col("doc_id") + F.col("v")) % 4 == 0, "v2").otherwise("v3").alias("prompt_version"),
         F.when(F.col("toxic") == 1, "other").when(F.col("quality") == 1, "academic").otherwise("recruitment").alias("category"),
-        F.sha2(F.when(stale, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")), 256).alias("content_hash"),
+        F.when(stale, F.col("_edited")).otherwise(F.col("_hash")).alias("content_hash"),
         F.when(F.col("doc_id") % 4 != 1, _day_text((F.col("doc_id") * 7 + F.col("v")) % 30)).alias("deadline"),
         F.when(F.col("doc_id") % 5 != 2, _day_text(F.col("doc_id") % 25)).alias("application_end"),
         F.when(F.col("doc_id") % 3 == 1, _day_text(F.col("doc_id") % 20 + 4)).alias("event_date"),

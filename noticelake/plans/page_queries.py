@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import text as texts
-from noticelake.operators.views import detail_by_copy
+from noticelake.operators.resolve import assign_canonical
+from noticelake.operators.views import CHOICE, detail_by_copy
 from noticelake.plans import adapters as ad
 from noticelake.plans import store_queries as store
 from noticelake.plans.adapters import ctes
 from noticelake.plans.registry import query
-from noticelake.session import scratch_dir
+from noticelake.session import kept, scratch_dir, shuffles_freed
 from noticelake.sources import export
 from noticelake.sources import pages as pg
 
@@ -166,9 +167,13 @@ def _(spark, sf):
 def _(spark, sf):
     """Writes the whole snapshot and reads the details back."""
     path = scratch_dir(spark, "snapshot")
-    rows = store.latest_docs(spark, sf)
-    details = detail_by_copy(rows, rows.select("id"), store.ANALYSIS_COLS)
-    items = store.doc_items(spark, sf)
-    meta = items.agg(F.count("*").alias("notices"), F.max("crawled_at").alias("last_checked_at"))
-    export.export_snapshot(items, details, meta, path)
+    notices = ad.keyed_docs(spark, sf)
+    # groups and choices are kept without texts, for the list and the details
+    with shuffles_freed(spark), kept(assign_canonical(notices), "assigned") as assigned:
+        choice = store.latest_docs(spark, sf, assigned).select(*CHOICE, *store.ANALYSIS_COLS)
+        with kept(choice, "choice") as rows:
+            details = detail_by_copy(rows, rows.select("id"), store.ANALYSIS_COLS, notices, assigned)
+            items = store.doc_items(spark, sf, rows, ad.grouped_docs(spark, sf, assigned.filter("dup_of IS NULL")))
+            meta = items.agg(F.count("*").alias("notices"), F.max("crawled_at").alias("last_checked_at"))
+            export.export_snapshot(items, details, meta, path)
     return store.detail_columns(spark.read.schema(details.schema).json(f"{path}/details"))

@@ -23,12 +23,12 @@ def _day(column: str):
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 
 
-def latest_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return views.with_latest_analysis(ad.grouped_docs(spark, sf), ad.analysis_docs(spark, sf), ANALYSIS_COLS)
+def latest_docs(spark: SparkSession, sf: str, assigned: DataFrame | None = None) -> DataFrame:
+    return views.with_latest_analysis(ad.grouped_docs(spark, sf, assigned), ad.analysis_docs(spark, sf), ANALYSIS_COLS)
 
 
-def doc_items(spark: SparkSession, sf: str) -> DataFrame:
-    return views.canonical_list(latest_docs(spark, sf), ANALYSIS_COLS)
+def doc_items(spark: SparkSession, sf: str, rows: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
+    return views.canonical_list(latest_docs(spark, sf) if rows is None else rows, ANALYSIS_COLS, heads=heads)
 
 
 # The list view as SQL: the chosen copy by ladder, then the canonical row with that copy's analysis.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from noticelake.session import scratch_dir
+from noticelake.session import kept, shuffles_freed
 
 
 def as_json(rows: DataFrame, key: str) -> DataFrame:
@@ -22,22 +22,27 @@ def export_snapshot(items: DataFrame, details: DataFrame, meta: DataFrame, path:
 
     One file per notice would be millions of tiny files. Details are sorted by key into files of about ``file_bytes``
     of JSON, however many that makes; the index holds the least and the largest key of each, so that a reader of one
-    copy opens the files that can hold it (``read_details``): one, unless a key has more rows than a file.
+    copy opens the files that can hold it (``read_details``): one, unless a key has more rows than a file. The list and
+    the details are gzip files, as they carry texts.
     """
-    items.write.mode("errorifexists").json(f"{path}/notices")
-    meta.write.mode("errorifexists").json(f"{path}/meta")
-    # kept packed until the number of files is known; their bounds are then found in the key's column alone
-    octets, kept = Observation(), scratch_dir(details.sparkSession, "details")
-    details.observe(octets, F.sum(F.octet_length(F.to_json(F.struct(*details.columns)))).alias("n")).write.parquet(kept)
-    size = octets.get["n"] or 0
-    details = details.sparkSession.read.schema(details.schema).parquet(kept)
-    files = max(1, -(-size // file_bytes))
-    details.repartitionByRange(files, detail_key).sortWithinPartitions(detail_key).write.mode("errorifexists").json(f"{path}/details")
-    schema = f"{detail_key} {details.schema[detail_key].dataType.simpleString()}"
-    stored = details.sparkSession.read.schema(schema).json(f"{path}/details")
-    index = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.min(detail_key).alias("least"), F.max(detail_key).alias("largest"), F.count("*").alias("rows"))
-    index.coalesce(1).write.mode("errorifexists").json(f"{path}/detail_index")
+    with shuffles_freed(details.sparkSession):
+        # kept packed until the number of files is known; their bounds are then found in the key's column alone
+        octets = Observation()
+        counted = details.observe(octets, F.sum(F.octet_length(F.to_json(F.struct(*details.columns)))).alias("n"))
+        with kept(counted, "details") as packed:
+            files = max(1, -(-(octets.get["n"] or 0) // file_bytes))
+            _write(packed.repartitionByRange(files, detail_key).sortWithinPartitions(detail_key), f"{path}/details")
+        schema = f"{detail_key} {details.schema[detail_key].dataType.simpleString()}"
+        stored = details.sparkSession.read.schema(schema).json(f"{path}/details")
+        index = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+            F.min(detail_key).alias("least"), F.max(detail_key).alias("largest"), F.count("*").alias("rows"))
+        index.coalesce(1).write.mode("errorifexists").json(f"{path}/detail_index")
+        _write(items, f"{path}/notices")
+        meta.write.mode("errorifexists").json(f"{path}/meta")
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("errorifexists").options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).json(path)
 
 
 def read_details(spark: SparkSession, path: str, schema: StructType, keys: list, detail_key: str = "asked_id") -> DataFrame:
